@@ -23,7 +23,7 @@ from .common import Sealed, store
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 #: The vector's parts, each with the least standard deviation that it is given.
-PARTS = {"x0": 0.12, "x1": 0.55, "x2": 0.8, "x3": 0.8, "x4": 0.55}
+PARTS = {"x0": 0.12, "x1": 0.55, "x2": 1.1, "x3": 1.1, "x4": 0.55}
 P = len(PARTS)
 _SYMBOLS, _SPACES = np.array([ord(c) for c in SYMBOLS]), np.array([9, 10, 11, 12, 13, 32])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, token_counts
+from . import chat, decontam, line_dedup, mixing, quality, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    page = warc.page_of(F.col("record_id")).alias("page_id")
+    return warc.read(manifest, payloads=False).select(page, "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "url")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, pieces = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.taken(sized, pieces).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -45,6 +51,20 @@ FROM j GROUP BY doc_id
 """
 
 
+#: The conversation that op6 adds to the table.
+ADDED = [(-7, t, r, r"\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(turns, tokenizer_path()))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
@@ -60,8 +80,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_chat": op6_chat,
+    "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
