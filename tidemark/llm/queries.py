@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, near_dup, quality, token_counts, warc
+from . import chat, decontam, line_dedup, mixing, near_dup, quality, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, payloads=False).select(page, "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"), "url")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"), fold("id") != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, pieces = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.taken(sized, pieces).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -85,6 +93,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat": op6_chat,
