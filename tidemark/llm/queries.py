@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, near_dup, quality, token_counts, toxicity, warc
+from . import chat, decontam, line_dedup, lm, mixing, near_dup, quality, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 7
+    scored = lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc") != 2)
+    return scored.withColumn("held_out", F.coalesce(fold("doc_id") == 2, F.lit(False)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, pieces = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixing.taken(sized, pieces).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -94,6 +100,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat": op6_chat,
