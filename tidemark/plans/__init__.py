@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational",)
+MODULES = ("relational", "dialect")
 
 
 def _modules():
