@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "dialect")
+MODULES = ("relational", "dialect", "temporal", "dml")
 
 
 def _modules():
