@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def groups(text: str) -> list[tuple[set[str], list[tuple[bool, str]]]]:
@@ -44,6 +45,6 @@ def allowed(text: str | None, agent: str, path: str) -> bool:
     return max(hits)[1] if hits else True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def robots_allowed(text: pd.Series, agent: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([allowed(t, a, p) for t, a, p in zip(text, agent, path, strict=True)])

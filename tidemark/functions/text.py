@@ -21,18 +21,19 @@ def _c(x) -> Column:
 
 def folded(x) -> Column:
     """Full-width letters as ASCII, in lower case."""
-    return F.lower(F.translate(_c(x), WIDE, NARROW))
+    x = _c(x)
+    return F.lower(F.when(x.rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]"), F.translate(x, WIDE, NARROW)).otherwise(x))
 
 
 def words(x) -> Column:
     """Alphanumeric runs without the scripts of CJK, in order."""
-    return F.regexp_extract_all(folded(x), F.lit(rf"(?:(?![{CJK}])[\p{{L}}\p{{N}}])+"), F.lit(0))
+    return F.regexp_extract_all(folded(x), F.lit(rf"[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
 
 def cjk_bigrams(x) -> Column:
     runs = F.regexp_extract_all(folded(x), F.lit(rf"[{CJK}]+"), F.lit(0))
     pairs = F.transform(runs, lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(r) - 1)), lambda i: r.substr(i, F.lit(2)))))
-    return F.flatten(pairs)
+    return F.when(_c(x).rlike(rf"[{CJK}]"), F.flatten(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def terms(x) -> Column:
