@@ -43,7 +43,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2,
     if min_docs == 2:
         spread = hashed.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     else:
-        once = hashed.groupBy("h1", "h2", "doc").agg()
+        once = hashed.select("h1", "h2", "doc").distinct()
         spread = once.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     repeated = store(spread, "repeated-lines")
     gone = hashed.join(repeated, ["h1", "h2"]).where("doc > first")

@@ -92,7 +92,7 @@ class Archive:
         """The central directory, by the ZIP64 end record where there is one."""
         tail_at = max(0, self.size - 65_557)
         tail = self.at(tail_at, self.size - tail_at)
-        end = tail.rfind(b"PK\x05\x06")
+        end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
             end = tail.rfind(b"PK\x05\x06", 0, end)
         if end < 0:
