@@ -36,7 +36,7 @@ def masks(pattern: str) -> dict[str, int]:
 def myers(peq: dict[str, int], m: int, text: str, most: int) -> int:
     """The least edit distance of a pattern of m characters to any substring of text, or most + 1 if it is over most."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, most + 1
+    pv, mv, score, best = full, 0, m, min(m, most + 1)
     for c in text:
         eq = peq.get(c, 0)
         xv = eq | mv

@@ -129,7 +129,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1), axis=1)[:, :VOTERS].astype(float)
 
 
-def fit_labels(voted: DataFrame, steps: int = 4) -> LabelModel:
+def fit_labels(voted: DataFrame, steps: int = 10) -> LabelModel:
     """EM over all rows of voted (votes, y), y null where no label is known. What each step brings back is of fixed size."""
     rates = np.vstack([np.full(VOTERS, 0.02), np.r_[np.full(FIXED + LEXICONS, 0.3), np.full(len(PATTERNS), 0.05)]])
     model = LabelModel(0.1, rates, np.full(VOTERS, 0.5))
