@@ -129,3 +129,29 @@ def edge_triggered(observations: DataFrame, key: list[str], ts: str, met: Column
     """The rows at which a condition holds that didn't hold at the row before."""
     w = Window.partitionBy(*key).orderBy(ts)
     return observations.withColumn("met_", met).withColumn("was_", F.lag("met_").over(w)).where(F.col("met_") & ~F.coalesce("was_", F.lit(False))).drop("met_", "was_")
+
+
+def observed_statistics(windows: DataFrame, key: list[str]) -> DataFrame:
+    """Of SCD2 windows (value, valid_at, last_observed_at), by key: low, quartiles and high by observed seconds, the
+    latest value, and the share of time below it in basis points. Windows without length don't weigh."""
+    seen = F.greatest(F.coalesce("last_observed_at", "valid_at"), "valid_at")
+    spans = windows.select(*key, "value", F.col("valid_at").alias("start"), seen.alias("end"))
+    last = spans.groupBy(*key).agg(F.max_by("value", "start").alias("latest"))
+    q = weighted_quantiles(spans.where(F.col("end") > F.col("start")), key, {"low": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "high": 1.0})
+    below = spans.join(last, key).groupBy(*key, "latest").agg(F.sum(F.when(F.col("value") < F.col("latest"), F.col("end") - F.col("start")).otherwise(0)).alias("below"))
+    return below.join(q, key).select(*key, "low", "p25", "median", "p75", "high", "latest", "seconds", F.floor(F.col("below") * 10000 / F.col("seconds")).alias("share_below_latest_bps"))
+
+
+def changes(snapshots: DataFrame, key: list[str], at: str, fields: list[str]) -> DataFrame:
+    """(key, at, field, before, after, across_gap): a field that differs from the last time it was known.
+
+    A field that isn't observed keeps what was known; a change over such a gap is marked.
+    """
+    w = Window.partitionBy(*key).orderBy(at)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = []
+    for f in fields:
+        known = F.last(f, ignorenulls=True).over(before)
+        rows.append(F.struct(F.lit(f).alias("field"), known.cast("string").alias("before"), F.col(f).cast("string").alias("after"), F.lag(f).over(w).isNull().alias("across_gap")))
+    out = snapshots.select(*key, at, F.array(*rows).alias("r")).select(*key, at, F.explode("r").alias("c")).select(*key, at, "c.*")
+    return out.where("before IS NOT NULL AND after IS NOT NULL AND before <> after")

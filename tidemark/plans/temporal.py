@@ -169,3 +169,29 @@ def range_overlap_neighbours(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("lo", "event_id")
     n = i.withColumns({"nlo": F.lead("lo").over(w), "nv": F.lead("value").over(w)})
     return n.where("nlo < lo + 7200 AND nv <> value").select("user_id", "event_id")
+
+
+@query(
+    "observed_statistics",
+    SERIES
+    + WINDOWS
+    + """, sp2 AS (SELECT user_id, event_type, value, valid_at, greatest(coalesce(last_observed_at, valid_at), valid_at) - valid_at AS w FROM win),
+l AS (SELECT user_id, event_type, arg_max(value, valid_at) AS latest FROM sp2 GROUP BY 1, 2), v AS (SELECT user_id, event_type, value, sum(w) AS w FROM sp2 WHERE w > 0 GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(w) OVER (PARTITION BY user_id, event_type ORDER BY value) AS cum, sum(w) OVER (PARTITION BY user_id, event_type) AS tot FROM v)
+SELECT user_id, event_type, min(value) FILTER (WHERE cum >= 0) AS low, min(value) FILTER (WHERE cum >= 0.25 * tot) AS p25, min(value) FILTER (WHERE cum >= 0.5 * tot) AS median, min(value) FILTER (WHERE cum >= 0.75 * tot) AS p75, min(value) FILTER (WHERE cum >= tot) AS high,
+any_value(latest) AS latest, CAST(max(tot) AS BIGINT) AS seconds, CAST(coalesce(sum(w) FILTER (WHERE value < latest), 0) * 10000 // max(tot) AS BIGINT) AS share_below_latest_bps FROM c JOIN l USING (user_id, event_type) GROUP BY 1, 2""",
+)
+def observed_statistics(spark, sf_dir):
+    return t.observed_statistics(windows(spark, sf_dir), KEY)
+
+
+@query(
+    "change_events",
+    """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS kind FROM events),
+k AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(kind) OVER (PARTITION BY user_id ORDER BY ts) IS NULL AS across_gap FROM s)
+SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, 'kind' AS field, before, kind AS after, across_gap FROM k WHERE before IS NOT NULL AND kind IS NOT NULL AND before <> kind""",
+)
+def change_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "ts", F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("kind"))
+    c = t.changes(e, ["user_id"], "ts", ["kind"])
+    return c.select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"), "field", "before", "after", "across_gap")

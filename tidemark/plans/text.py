@@ -93,3 +93,22 @@ def reply_tree(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.format_string("%d:%d", "conv_id", "turn").alias("id"), F.when(F.col("turn") > 0, F.format_string("%d:%d", "conv_id", F.col("turn") - 1)).alias("parent"))
     d = depths(c, "id", "parent", 20)
     return c.join(d, "id").select("conv_id", "turn", F.col("depth").cast("long").alias("depth"))
+
+
+@query("name_resolution")
+def name_resolution(spark, sf_dir):
+    """Part names against the names of every third part."""
+    from tidemark.operators.names import resolve
+
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return resolve(p, p.where("id % 3 = 0"))
+
+
+@query("leader_clusters")
+def leader_clusters(spark, sf_dir):
+    """Benchmark items of each fifth as posts of a topic, clustered by shared terms."""
+    from tidemark.operators.clusters import leader_clusters as run
+
+    b = table(spark, sf_dir, "benchmark")
+    posts = b.select(F.concat(F.lit("t"), (F.col("item_id") % 5).cast("string")).alias("topic"), F.col("item_id").alias("post_id"), (F.col("item_id") * 3600.0).alias("published"), x.terms("text").alias("terms"))
+    return run(posts)
