@@ -93,3 +93,34 @@ def test_registered_functions_run_in_sql(spark):
 def test_parameters(spark, sql):
     args = {"a": 4} if ":a" in sql else [4]
     assert spark.sql(sql, args=args).first().x == 5
+
+
+def test_prices(spark):
+    from tidemark.functions import price
+
+    texts = ["1.234,56 €", "$1,234.56", "¥1,980", "1.234 EUR", "12,5 kg", "1 234,00", "1'234.5 CHF", "12.345.678", "free", "US$0.99", "1,23,456.7"]
+    got = [tuple(r) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(price.amount("t"), price.currency("t")).collect()]
+    assert got == [("1234.56", "EUR"), ("1234.56", "USD"), ("1980", "JPY"), ("1234", "EUR"), ("12.5", None), ("1234.00", None), ("1234.5", "CHF"), ("12345678", None), (None, None), ("0.99", "USD"), ("123456.7", None)]
+
+
+def test_availability(spark):
+    from tidemark.functions import availability as a
+
+    texts = ["http://schema.org/InStock", "out_of_stock", "Pre-Order", "whatever", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(a.availability_class("t")).collect()]
+    assert got == ["AVAILABLE", "UNAVAILABLE", "ORDERABLE", "UNKNOWN", "UNKNOWN"]
+
+
+def test_products(spark):
+    from tidemark.sources import products
+
+    ld = '<script type="application/ld+json">{"@graph":[{"@type":["Product"],"name":"A","brand":{"name":"B"},"gtin13":"4006381333931","offers":[{"price":1.10,"priceCurrency":"EUR","availability":"http://schema.org/InStock"}]}]}</script><script type="application/ld+json">{bad</script>'
+    micro = '<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name">My <b>thing</b></h1><div itemprop="offers" itemscope itemtype="http://schema.org/Offer"><meta itemprop="price" content="5.00"><span itemprop="priceCurrency">USD</span></div><span itemprop="sku">S1</span></div>'
+    og = '<meta property="og:type" content="product"><meta property="og:title" content="T"><meta property="product:price:amount" content="9">'
+    df = spark.createDataFrame([(1, ld), (2, micro), (3, og), (4, "<p>none</p>"), (5, None)], "id int, html string")
+    got = {r.key: tuple(r)[1:] for r in products.products(df, "id", "html").collect()}
+    assert got == {
+        "1": ("JSON_LD", "A", "B", None, "4006381333931", "1.10", "EUR", "http://schema.org/InStock", None),
+        "2": ("MICRODATA", "My thing", None, "S1", None, "5.00", "USD", None, None),
+        "3": ("OPEN_GRAPH", "T", None, None, None, "9", None, None, None),
+    }
