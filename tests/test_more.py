@@ -124,3 +124,14 @@ def test_products(spark):
         "2": ("MICRODATA", "My thing", None, "S1", None, "5.00", "USD", None, None),
         "3": ("OPEN_GRAPH", "T", None, None, None, "9", None, None, None),
     }
+
+
+def test_hosts(spark):
+    from tidemark.functions import hosts
+
+    rules = spark.createDataFrame([("com", "normal"), ("co.uk", "normal"), ("uk", "normal"), ("ck", "wildcard"), ("www.ck", "exception")], "suffix string, kind string")
+    names = ["a.b.com", "com", "x.co.uk", "co.uk", "a.b.ck", "b.ck", "www.ck", "shop.www.ck", "1.2.3.4", "a..com", "deep.site.unknown", "Host.COM."]
+    got = {r.host: r.domain for r in hosts.registrable_domains(spark.createDataFrame([(n,) for n in names], "host string"), rules).collect()}
+    assert got == {"a.b.com": "b.com", "com": None, "x.co.uk": "x.co.uk", "co.uk": None, "a.b.ck": "a.b.ck", "b.ck": None, "www.ck": "www.ck", "shop.www.ck": "www.ck", "1.2.3.4": None, "a..com": None, "deep.site.unknown": "site.unknown", "Host.COM.": "host.com"}
+    ips = spark.createDataFrame([("8.8.8.8",), ("10.0.0.1",), ("::1",), ("x",), (None,)], "ip string")
+    assert [r[0] for r in ips.select(hosts.is_public_address("ip")).collect()] == [True, False, False, None, None]
