@@ -67,6 +67,20 @@ def test_near_duplicates_are_brute_force(spark):
     assert all(0 < r.n_links <= degree[i] for i, r in got.items() if i in crowded and degree[i])
 
 
+def test_near_duplicates_count_all_links_of_a_crowded_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SQUARE", 50)  # more than one block
+    rows = [(i, t) for i, t in fixture() if i >= 100]
+    r = random.Random(4)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]  # so long that all pairs are far over the threshold
+    texts = [edited(base, r, r.choice((0, 1, 1, 2))) for _ in range(150)]
+    rows += [(1000 + i, t) for i, t in enumerate(texts + texts[:30])]  # copies count for each of their own
+    got = {r.doc_id: r for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = similar(rows)
+    degree = Counter(x for pair in links for x in pair)
+    assert max(degree.values()) > 100
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (c, degree[i]) for i, c in grouped([i for i, _ in rows], links).items()}
+
+
 def test_near_duplicates_of_tables(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -1,14 +1,14 @@
 """Near duplicates by word n-gram Jaccard similarity, through a MinHash LSH forest.
 
-Documents with the same set of shingles are one node. Each node has a path of minima in each tree of the forest; sorted
-paths are the tree's prefix trie. A node is compared with its neighbours in that order, the longest shared prefix first,
-down to the prefix length at which the forest finds a pair at the threshold with the target recall. Each candidate is
-verified on its whole shingle sets. Classes are the connected components of the verified links.
+Documents with the same set of shingles are one node. Each node has a path of minima in each tree of the forest, and is
+in a bucket per tree: that of the nodes whose paths begin alike, down to the prefix length at which the forest finds a
+pair at the threshold with the target recall. All pairs of a bucket are candidates, those of crowded buckets block by
+block, and each candidate is verified on its whole shingle sets. Classes are the connected components of the verified
+links.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import Sealed, store
 
-TREES, DEPTH, NEIGHBOURS = 16, 8, 5
+TREES, DEPTH = 16, 8
 RECALL = 0.998
+#: Nodes of a bucket that is compared pair by pair; a bucket of more is crowded.
+FEW = 6
 #: Nodes of a crowded bucket that a task compares with as many others.
 SQUARE = 512
 #: Word hashes that a worker remembers.
@@ -85,47 +87,59 @@ def _sign(n: int):
 
 
 def _paths(k: int):
-    """From nodes to their places in the trees: tree, bucket (of the tree and the first k minima), path, node, size."""
+    """From nodes to their places in the trees: tree, bucket (of the tree and the first k minima), node, size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            keys, paths, width = [], [], DEPTH * 4
+            keys, width = [], DEPTH * 4
             for s in b.column("sig").to_pylist():
                 for t in range(TREES):
-                    path = s[t * width : (t + 1) * width]
-                    keys.append(xxh3_64_intdigest(path[: 4 * k], seed=t) - 2**63)
-                    paths.append(path)
+                    keys.append(xxh3_64_intdigest(s[t * width : t * width + 4 * k], seed=t) - 2**63)
             rep = lambda c: pa.array(np.repeat(np.array(c), TREES))
-            yield pa.RecordBatch.from_arrays([pa.array(list(range(TREES)) * b.num_rows, pa.int32()), pa.array(keys, pa.int64()), pa.array(paths, pa.binary()), rep(b.column("doc")), rep(b.column("n"))], names=["tree", "bucket", "path", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(range(TREES)) * b.num_rows, pa.int32()), pa.array(keys, pa.int64()), rep(b.column("doc")), rep(b.column("n"))], names=["tree", "bucket", "node", "n"])
 
     return run
 
 
-def _neighbours(threshold: float):
-    """From sorted places to candidate pairs (a < b), and the places (a, null) of buckets of which some pairs are left."""
+def _candidates(threshold: float):
+    """From sorted places to the pairs (a < b) of buckets of up to FEW nodes, and the places (tree, crowded, a) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, recent, seen = None, deque(maxlen=NEIGHBOURS), 0
+        last, held, full, out = None, [], False, ([], [], [], [])
+
+        def put(*row):
+            for c, x in zip(out, row, strict=True):
+                c.append(x)
+
+        def pairs():
+            for i, (node, n) in enumerate(held):
+                for other, m in held[:i]:
+                    if other != node and min(n, m) >= threshold * max(n, m):
+                        put(min(node, other), max(node, other), None, None)
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["a", "b", "tree", "crowded"])
+            for c in out:
+                c.clear()
+            return made
+
         for b in batches:
-            one, two, keys = [], [], []
-            for key, node, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "node", "n")), strict=True):
+            for tree, key, node, n in zip(*(b.column(c).to_pylist() for c in ("tree", "bucket", "node", "n")), strict=True):
                 if key != last:
-                    last, seen = key, 0
-                    recent.clear()
-                for other, m in recent:
-                    if other != node and min(n, m) >= threshold * max(n, m):
-                        one.append(min(node, other))
-                        two.append(max(node, other))
-                        keys.append(None)
-                if seen == NEIGHBOURS + 1:
-                    one.append(node)
-                    two.append(None)
-                    keys.append(key)
-                recent.append((node, n))
-                seen += 1
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.int64())], names=["a", "b", "crowded"])
+                    pairs()
+                    last, held, full = key, [], False
+                if not full and len(held) < FEW:
+                    held.append((node, n))
+                    continue
+                for other, _ in held:
+                    put(other, None, tree, key)
+                put(node, None, tree, key)
+                held, full = [], True
+            yield batch()
+        pairs()
+        yield batch()
 
     return run
 
@@ -194,9 +208,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str
     """(id_col, class_id, n_links), one row per row of docs.
 
     class_id: the least id of the documents that verified links join, directly or not; a document without any has its
-    own. n_links: the other documents whose set of shingles is the same, and those of its verified links. In a bucket of
-    more than NEIGHBOURS + 1 nodes not all pairs are compared at first; afterwards all pairs of it that are still in
-    different classes are, so no class is left apart, while links inside a class may stay uncounted.
+    own. n_links: the other documents whose set of shingles is the same, and those of its verified links. All pairs of
+    a bucket are compared. The links of crowded buckets are counted where they are found, so their number, which grows
+    with the square of a group, makes no rows.
 
     Words go by white space. A null text is empty; texts without words have the same empty set, and are one class. Rows
     that share an id are one document. Rows with a null id have null class_id and 0 links. An empty table gives none.
@@ -210,24 +224,22 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str
     sets = store(signed.groupBy("dig").agg(F.min("doc").alias("node"), F.count("*").alias("copies")), "shingle-sets")
     mine = sets.select(F.col("dig").alias("d2"), "node")
     nodes = signed.join(mine, (signed["dig"] == mine["d2"]) & (signed["doc"] == mine["node"])).where("n > 0").select("doc", "n", "sig")
-    forest = nodes.mapInArrow(_paths(k), "tree int, bucket long, path binary, node long, n int")
-    order = forest.repartition("bucket").sortWithinPartitions("bucket", "path", "node").select("bucket", "node", "n")
-    found = store(order.mapInArrow(_neighbours(threshold), "a long, b long, crowded long"), "candidates")
+    forest = nodes.mapInArrow(_paths(k), "tree int, bucket long, node long, n int")
+    order = forest.repartition("bucket").sortWithinPartitions("bucket", "node")
+    found = store(order.mapInArrow(_candidates(threshold), "a long, b long, tree int, crowded long"), "candidates")
     first = store(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    links = store(verify(texts, first, words, threshold), "links")
-    labels = components(links)
-
-    crowded = found.where("crowded IS NOT NULL").select(F.col("crowded").alias("bucket")).distinct()
-    if not crowded.isEmpty():
-        split = _split(forest.select("tree", "bucket", "node").join(crowded, "bucket"), labels)
-        more = store(_rest(texts, signed, split, words, threshold, k), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-
-    ends = links.distinct().select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("x")).select("x.*")
+    links = store(verify(texts, first, words, threshold), "links").distinct()
     count = sets.groupBy("node").agg(F.sum("copies").alias("copies"))
-    linked = ends.join(count.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.sum("copies").alias("linked"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("x")).select("x.*")
+    linked = ends.join(count.withColumnRenamed("node", "to"), "to").select("node", F.col("copies").alias("linked"))
+
+    places = found.where("crowded IS NOT NULL").select("tree", F.col("crowded").alias("bucket"), F.col("a").alias("node"))
+    if not places.isEmpty():
+        more = store(_crowded(texts, signed, count, places, words, threshold, k), "links")
+        links = links.union(more.where("b IS NOT NULL").select("a", "b"))
+        linked = linked.union(more.where("linked IS NOT NULL").select("a", "linked"))
+    labels = components(links)
+    linked = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
     least = labels.groupBy("label").agg(F.min("node").alias("class_id"))
     named = labels.join(least, "label").select("node", "class_id")
     known = sets.join(named, "node", "left").join(linked, "node", "left")
@@ -237,67 +249,80 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str
     return out.unionByName(unnamed)
 
 
-def _split(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of the places in crowded buckets, those in buckets that still hold more than one class."""
-    named = store(places.join(labels, "node", "left").select("tree", "bucket", "node", F.coalesce("label", "node").alias("label")), "crowded")
-    kinds = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
-    return store(named.join(kinds, "bucket"), "crowded")
-
-
-def _rest(texts: DataFrame, signed: DataFrame, places: DataFrame, n: int, threshold: float, k: int) -> DataFrame:
-    """The links between nodes of different classes in the given buckets.
+def _crowded(texts: DataFrame, signed: DataFrame, count: DataFrame, places: DataFrame, n: int, threshold: float, k: int) -> DataFrame:
+    """The links in the given buckets, as sums of copies by node (a, linked) and as those (a, b) that connect a unit's nodes.
 
     A bucket's nodes are dealt into blocks of about SQUARE, and each pair of blocks is a unit of work: a node is sent to
-    as many units as the bucket has blocks, and only links come out.
+    as many units as the bucket has blocks.
     """
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / SQUARE).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    units = places.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    units = units.select("tree", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "label", "mine")
-    nodes = places.select("node").distinct().hint("merge")  # grows with the corpus
-    sigs = signed.join(nodes, signed["doc"] == nodes["node"], "left_semi").groupBy("doc").agg(F.min("sig").alias("sig"))
+    units = places.join(sizes, "bucket").withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    units = units.select("tree", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine")
+    nodes = places.groupBy("node").agg(F.bit_or(F.expr("1 << tree")).alias("trees")).hint("merge")  # grows with the corpus
+    sigs = signed.join(nodes, signed["doc"] == nodes["node"]).groupBy("doc", "trees").agg(F.min("sig").alias("sig"))
     with_text = texts.join(nodes, texts["doc"] == nodes["node"], "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    known = sigs.join(with_text, "doc").withColumnRenamed("doc", "node")
-    rows = units.join(known, "node").select("bucket", "i", "j", "tree", "mine", "node", "label", "sig", "text")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mine", "node").mapInArrow(_square(n, threshold, k), "a long, b long")
+    known = sigs.join(with_text, "doc").withColumnRenamed("doc", "node").join(count, "node")
+    rows = units.join(known, "node").select("bucket", "i", "j", "tree", "mine", "node", "copies", "trees", "sig", "text")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mine", "node").mapInArrow(_square(n, threshold, k), "a long, b long, linked long")
 
 
 def _square(n: int, threshold: float, k: int):
-    """From the sorted rows of units to the links between nodes of different classes whose first common bucket this is."""
+    """From the sorted rows of units to the links of the pairs whose first common bucket this is, if no bucket that is
+    compared pair by pair has them."""
 
-    def links(tree: int, apart: bool, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        sets = [shingles(r[4] or b"", n) for r in rows]
+    def links(tree: int, apart: bool, rows: list[tuple]) -> Iterator[tuple[int, int | None, int | None]]:
+        side, node, copies, trees, sig, sets = zip(*rows, strict=True)
+        side, copies, node = np.array(side), np.array(copies), np.array(node)
         size = np.array([len(s) for s in sets])
-        label = np.array([r[2] for r in rows])
-        side = np.array([r[0] for r in rows])
-        sig = np.stack([np.frombuffer(r[3], ">u4") for r in rows]).astype(np.uint32).reshape(len(rows), TREES, DEPTH)[:, :, :k]
+        first = np.r_[0, np.cumsum(size)]
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+        sigs = np.stack([np.frombuffer(x, ">u4") for x in sig]).astype(np.uint32).reshape(len(rows), TREES, DEPTH)[:, :, :k]
+        buckets = np.stack([np.unique(sigs[:, t], axis=0, return_inverse=True)[1].reshape(-1) for t in range(TREES)], 1)
+        # The trees in which a common bucket means that the pair is compared there.
+        t = np.arange(TREES)
+        elsewhere = (t < tree) | (np.array(trees)[:, None] >> t & 1 == 0)
+        mark, group, linked = np.zeros(ids.max() + 1, np.uint8), np.arange(len(rows)), np.zeros(len(rows), np.int64)
         for x in range(len(rows) - 1):
             y = np.arange(x + 1, len(rows))
-            ok = (label[y] != label[x]) & (np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x]))
+            ok = np.minimum(size[y], size[x]) >= threshold * np.maximum(size[y], size[x])
             if apart:
                 ok &= side[y] != side[x]
-            y = y[ok]
-            if tree and len(y):  # pairs that share a bucket of an earlier tree are compared there
-                y = y[~(sig[y, :tree] == sig[x, :tree]).all(2).any(1)]
-            for z in y:
-                both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
-                if both >= threshold * (size[x] + size[z] - both) - 1e-9:
-                    a, b = rows[x][1], rows[z][1]
-                    yield min(a, b), max(a, b)
+            ok &= ~((buckets[y] == buckets[x]) & elsewhere[x]).any(1)
+            y = y[ok & (node[y] != node[x])]
+            if not len(y):
+                continue
+            starts = np.r_[0, np.cumsum(size[y])]
+            at = np.arange(starts[-1]) + np.repeat(first[y] - starts[:-1], size[y])
+            mark[ids[first[x] : first[x + 1]]] = 1
+            both = np.add.reduceat(mark[ids[at]], starts[:-1], dtype=np.int64)
+            mark[ids[first[x] : first[x + 1]]] = 0
+            y = y[both >= threshold * (size[x] + size[y] - both) - 1e-9]
+            linked[x] += copies[y].sum()
+            linked[y] += copies[x]
+            for g, z in zip(*np.unique(group[y], return_index=True), strict=True):
+                if g != group[x]:
+                    group[group == g] = group[x]
+                    a, b = int(node[x]), int(node[y[z]])
+                    yield min(a, b), max(a, b), None
+        for x in np.flatnonzero(linked):
+            yield int(node[x]), None, int(linked[x])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("bucket", "i", "j", "tree", "mine", "node", "label", "sig", "text")]
-            for bucket, i, j, tree, *row in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("bucket", "i", "j", "tree", "mine", "node", "copies", "trees", "sig", "text")]
+            for bucket, i, j, tree, *row, text in zip(*cols, strict=True):
                 if (bucket, i, j, tree) != key:
                     if rows:
                         found += links(key[3], key[1] != key[2], rows)
                     key, rows = (bucket, i, j, tree), []
-                rows.append(row)
+                rows.append((*row, shingles(text or b"", n)))
         if rows:
             found += links(key[3], key[1] != key[2], rows)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        a, two, linked = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(two, pa.int64()), "linked": pa.array(linked, pa.int64())})
 
     return run
 
