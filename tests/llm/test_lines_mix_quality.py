@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -165,6 +166,17 @@ def test_quality_verdicts(spark):
     assert [r.doc_id for r in quality.keep_good(few).collect()] == [1]
 
 
+def test_quality_rejects_duplicate_lines_alone(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = [(i, "en", "s", " ".join(r.choice(words) for _ in range(200))) for i in range(200)]
+    rows.append((-1, "en", "s", "\n".join(r.choice(words[:10]) for _ in range(200))))  # 95 % of the lines, few windows twice
+    measured = quality.measure(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).cache()
+    got = {x.doc_id: x for x in quality.judge(measured, quality.fit(measured)).collect()}
+    assert got[-1].n_dup_lines == 190 and not got[-1].base_failed and not got[-1].kept
+    assert all(x.kept for i, x in got.items() if i >= 0)
+
+
 def test_sha_and_crc_of_the_contracts(spark):
     r = spark.range(1).select(F.sha2(F.lit("é"), 256).alias("s"), F.crc32(F.lit("42").cast("binary")).alias("c")).first()
     assert r.s == sha256("é".encode()).hexdigest() and r.c == zlib.crc32(b"42")
