@@ -235,35 +235,81 @@ def test_lm_base_and_counts(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
-def test_tables_are_sampled_from_their_conditional():
-    d, s = 0.6, lm.stirling(0.6)
-    n, a = np.full(40_000, 6), np.full(40_000, 1.7)
-    t = lm.sample_tables(n, a, d, s, np.arange(40_000, dtype=np.uint64) * np.uint64(7919), 3)
-    # Seat six customers every way, each new table weighing a.
-    ways = {(1,): 1.7}
+def test_tables_are_seated_customer_by_customer():
+    d, n = 0.6, np.full(40_000, 6)
+    rng = np.random.default_rng(1)
+    t = lm.seat(n, np.full(40_000, 1.7), np.full(40_000, 0.2), d, rng)
+    # Seat six customers every way: a new table weighs 1.7, and 0.2 more for each that there is.
+    ways = {(1,): 1.0}
     for i in range(1, 6):
         more = defaultdict(float)
-        for tables, w in ways.items():
-            more[tuple(sorted((*tables, 1)))] += w * 1.7
+        for tables, p in ways.items():
+            new = 1.7 + 0.2 * len(tables)
+            every = new + i - d * len(tables)
+            more[tuple(sorted((*tables, 1)))] += p * new / every
             for k in range(len(tables)):
-                more[tuple(sorted((*tables[:k], tables[k] + 1, *tables[k + 1 :])))] += w * (tables[k] - d)
+                more[tuple(sorted((*tables[:k], tables[k] + 1, *tables[k + 1 :])))] += p * (tables[k] - d) / every
         ways = more
-    total = sum(ways.values())
+    assert sum(ways.values()) == pytest.approx(1)
     for k in range(1, 7):
-        assert (t == k).mean() == pytest.approx(sum(w for x, w in ways.items() if len(x) == k) / total, abs=0.01)
-    big = lm.sample_tables(np.array([1, 0, 1000, 1_000_000]), np.array([1.0, 1.0, 2.0, 0.01]), d, s, np.arange(4, dtype=np.uint64), 1)
-    assert big[0] == 1 and big[1] == 0 and 1 < big[2] < 1000 and 1 <= big[3] < 10_000
-
-
-def test_predictions_sum_to_one():
-    """Over all training words and the unknown one, with every word's tables in the totals."""
-    r = np.random.default_rng(2)
-    n = r.integers(1, 30, 50)
-    t = np.minimum(n, r.integers(1, 5, 50))
-    totals = lm.Totals(np.zeros(lm.R), np.zeros(lm.R), 50, int(n.sum()), 0.7, 0.6)
-    totals.customers[0], totals.tables[0] = n.sum(), t.sum()
-    p = totals.parent_probability(n, t).sum() + totals.parent_probability(np.zeros(1), np.zeros(1))[0]
-    assert p == pytest.approx(1.0)
+        assert (t == k).mean() == pytest.approx(sum(p for x, p in ways.items() if len(x) == k), abs=0.01)
+    assert lm.seat(np.array([0, 1]), np.ones(2), np.ones(2), d, rng).tolist() == [0, 1]
+    assert lm.seat(np.zeros(0, int), np.ones(0), np.ones(0), d, rng).tolist() == []
+
+
+def test_runs_of_customers_are_seated_as_single_ones(monkeypatch):
+    args = np.full(4_000, 3_000), np.full(4_000, 5.0), np.full(4_000, 0.3), 0.7
+    runs = lm.seat(*args, np.random.default_rng(2))
+    monkeypatch.setattr(lm, "EXACT", 10_000)
+    single = lm.seat(*args, np.random.default_rng(3))
+    assert runs.mean() == pytest.approx(single.mean(), rel=0.02) and runs.std() == pytest.approx(single.std(), rel=0.08)
+
+
+def test_predictions_of_every_context_sum_to_one(spark, monkeypatch):
+    """Over all training words, the end of a text and one unknown word; several blocks; pairs that occur once and more often."""
+    monkeypatch.setattr(lm, "BLOCK", 150)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    texts = [" ".join(r.choice(vocabulary[: 2 + i % 11]) for _ in range(r.randrange(1, 30))) for i in range(40)]
+    words = sorted({w for t in texts for w in t.split()})
+    probes = [f"{u} {w}" for u in [*words, "unseen"] for w in [*words, "unseen"]]
+    docs = spark.createDataFrame(list(enumerate(texts + probes)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in lm.score(docs, F.col("doc") < len(texts), each=True).collect()}
+    assert all(x.score == pytest.approx(sum(x.token_scores)) and len(x.token_scores) == x.n_tokens for x in got.values())
+    first, inner, end = {}, defaultdict(dict), {}
+    for i, probe in enumerate(probes, len(texts)):
+        u, w = probe.split()
+        logs = [10**x for x in got[i].token_scores]
+        first[u], inner[u][w], end[w] = logs
+    for u, p in inner.items():
+        assert sum(p.values()) + end[u] == pytest.approx(1, abs=1e-6)
+    empty = spark.createDataFrame([(1, "x y")] + [(i, t) for i, t in enumerate(texts, 2)], "doc_id long, text string")
+    assert lm.score(empty, F.col("doc") > 1).where("doc_id = 1").first().n_known == 1  # the end of text
+
+
+def test_lm_scores_are_those_of_the_seating(spark):
+    """Where no pair occurs twice, each has one table, and all but the parent's seating is known."""
+    texts = ["a b c", "b a", "c c d"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "a b d")], "doc_id long, text string")
+    got = {x.doc_id: x for x in lm.score(docs, F.col("doc") < 9, each=True).collect()}
+    pairs = Counter()
+    for t in texts:
+        w = ["<", *t.split(), ">"]
+        pairs.update(zip(w, w[1:], strict=False))
+    assert set(pairs.values()) == {1}
+    d, guests = 0.95, Counter(u for u, _ in pairs)  # all pairs once: the discount's upper bound
+    scores = [10**x for x in got[9].token_scores]
+    # b after a and a at the start were seen, d after b and the end after d: what is left is the parent's, below the rest of the room.
+    for (u, w), p in zip([("<", "a"), ("a", "b"), ("b", "d"), ("d", ">")], scores, strict=True):
+        seen = (pairs[u, w] - d * (pairs[u, w] > 0)) / (1 + guests[u])
+        assert seen < p < seen + (1 + d * guests[u]) / (1 + guests[u])
+
+
+def test_lm_odd_rows(spark):
+    rows = [(None, "a b"), (1, None), (1, "a"), (2, "a " * 300_000), (3, "\x1c\u00a0 \u00c9a \u00e9A"), (3, "\x1c\u00a0 \u00c9a \u00e9A")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("doc", "train", "kind", "shard", "block", "data", "n_tokens")})
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in lm.score(docs, F.col("doc") == 2).collect())
+    assert got == [("1", 1, 1), ("1", 2, 2), ("2", 300_001, 300_001), ("3", 4, 1), ("3", 4, 1), ("None", 3, 2)]
 
 
 def test_pipeline_stages(spark):

@@ -17,9 +17,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without one, a temporary folder does on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
     return base.rstrip("/") + "/tidemark"
@@ -29,14 +31,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: its lineage is cut, and lost executors don't matter."""
+def _stored(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder: its lineage is cut, and lost executors don't matter."""
+    return _stored(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one run of an operator in the shared folder; they go when the run ends, but for those that are kept."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.folder = spark, name, new_path(spark, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.folder)
+
+    def store(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        return _stored(df, f"{self.folder}/{name}", by)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that outlives the run: the operator's result, which is read from it."""
+        return store(df, f"{self.name}-{name}")
+
+    def drop(self, name: str) -> None:
+        self._remove(f"{self.folder}/{name}")
+
+    def _remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Sealed:
     """A frame under internal column names, so that no input column can clash with an operator's own ones."""
 

@@ -1,17 +1,22 @@
 """A hierarchical Pitman-Yor language model over words.
 
-Each of the CONTEXTS most frequent words, and the start of a text, has a restaurant for the words that follow it; words
-after any other go straight to the parent restaurant, which all contexts share and whose base is uniform over the
-training words and one unknown word. The numbers of tables are sampled by Gibbs: each dish's from its conditional given
-its customers, the parent's probability and the other dishes' tables. Predictive probabilities are averaged over sweeps.
-
-Words are spread by hash: a word's row has its customers in every context, so a sweep is local but for the totals of
-each restaurant, which are sums of fixed size, brought up to date between passes. Texts are held as blocks of word
-numbers; a block asks for the probabilities of its own words, and gets an answer for each of them.
+Every word of the training texts, and the start of a text, is a context with a restaurant of its own for the words that
+follow it; all of them share one parent restaurant, whose base is uniform over the training words and one unknown word.
+The customers of the parent are the tables of the contexts. Tables are sampled by Gibbs: a dish's customers are seated
+one after the other given the other dishes' tables and the parent's probability, all dishes of a sweep at the same
+time. The tables of the kept sweeps are averaged, in both levels over the same sweeps, so the predictive probabilities
+of each context sum to one.
+
+Texts are held as blocks of word numbers. What a block has to tell or to ask about its distinct words and pairs of
+words goes to shards, by hash: a shard gets at most one entry of a word or pair from a block, however frequent it is, so
+no key makes a shard large. Words and pairs are known by 64-bit hashes. A pair that occurs once has one table in every
+sweep; only the others ("dishes") are held for sampling, in the first block that has them.
 """
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,442 +25,529 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sealed, store
+from .common import Scratch, Sealed
 
-CONTEXTS = 256
-#: Restaurants: 0 is none (the parent's), 1 the start of a text, then the frequent words.
-R = CONTEXTS + 2
-#: Tokens in a block. Customers of a dish up to which its tables are sampled exactly.
-BLOCK, EXACT = 2_000_000, 64
-#: Bits of a word's number in its block, and of a block's number in its partition; the other 25 are the partition's.
-WORD_BITS, BLOCK_BITS = 26, 12
+#: Tokens in a block. Customers of a dish that are seated one by one; those beyond come in runs, a RUN-th of those before.
+BLOCK, EXACT, RUN = 2_000_000, 128, 16
 STRENGTH = 1.0
-#: The end of a text as a word: words have no spaces.
-END = b" "
-ENTRY = np.dtype([("ctx", "<u2"), ("n", "<u4")])
-GUEST = np.dtype([("ctx", "<u2"), ("p", "<f4")])
+#: The start of a text, which is a context only, and its end, which is a token: words have no white space.
+START, END = b"\n", b" "
+#: Order of a block's rows: what came back from the shards, and then the block.
+COUNTED, WORDS, DISHES, PAIRS, WHOLE = range(5)
+U64 = np.uint64
+_ROW = "kind int, shard int, block long, keys binary, data binary"
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, byte by byte of their items: small numbers leave hardly anything."""
+    import zstandard
 
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
+    body = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(head + b"".join(body), 1)
 
-def _pack(docs: list, lens: np.ndarray, words: list[bytes], ids: np.ndarray) -> bytes:
-    """What scoring needs of a block, as one value: rows with few columns are cheap to hand to Python."""
-    import pickle
 
+def _unpack(raw: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return zstandard.compress(pickle.dumps((docs, lens, b"\n".join(words), len(words), ids.tobytes()), 5), 3)
+    raw = zstandard.decompress(raw)
+    kinds = [struct.unpack_from("<cI", raw, 1 + 5 * i) for i in range(raw[0])]
+    out, at = [], 1 + 5 * len(kinds)
+    for char, n in kinds:
+        dtype = np.dtype(char.decode())
+        part = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).view(dtype).reshape(n))
+        at += n * dtype.itemsize
+    return out
 
 
-def _unpack(raw: bytes) -> tuple[list, np.ndarray, list[bytes], np.ndarray]:
-    import pickle
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U64(0)))
 
-    import zstandard
 
-    docs, lens, words, n, ids = pickle.loads(zstandard.decompress(raw))
-    return docs, lens, words.split(b"\n") if n else [], np.frombuffer(ids, np.uint32)
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw)[0], dtype=U64)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else U64)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of hashes, good in all its bits."""
+    x = (a ^ (a >> U64(31))) * U64(0x9E3779B97F4A7C15) + (b ^ (b >> U64(29))) * U64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+def _ranked(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, the number of each item's value, the first item of each value)."""
+    order = np.argsort(flat, kind="stable")
+    s = flat[order]
+    new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+    group = np.empty(len(flat), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return s[new], group, order[new]
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+@dataclass
+class Block:
+    """Texts as word numbers. flags: 1 for a training text, 2 for a null id. words: the hash of each number."""
+
+    docs: np.ndarray
+    flags: np.ndarray
+    lens: np.ndarray
+    ids: np.ndarray
+    words: np.ndarray
+
+    @property
+    def train(self) -> np.ndarray:
+        """By token, ends included."""
+        return np.repeat((self.flags & 1).astype(np.int64), self.lens + 1)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of the distinct pairs, sorted; their contexts; their words; the pair of each token)."""
+        first = np.cumsum(self.lens + 2) - (self.lens + 2)
+        flat = np.empty(len(self.ids) + 2 * len(self.lens), np.int64)
+        inner = np.ones(len(flat), bool)
+        last = first + self.lens + 1
+        inner[first] = inner[last] = False
+        flat[first], flat[last], flat[inner] = 0, 1, self.ids
+        at = np.ones(max(0, len(flat) - 1), bool)
+        at[last[:-1]] = False
+        one = flat[:-1][at] * len(self.words) + flat[1:][at]
+        seen, pair = np.unique(one, return_inverse=True)
+        u, w = np.divmod(seen, len(self.words))
+        keys = _mix(self.words[u], self.words[w])
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return keys[order], u[order], w[order], place[pair.reshape(-1)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks of word numbers."""
+    """Texts to blocks."""
     from pyspark import TaskContext
+    from xxhash import xxh3_64_intdigest as digest
 
     part, seq = TaskContext.get().partitionId(), 0
 
     def close():
         nonlocal seq
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
-        lens = np.array([len(a) for a in arrays])
-        counts = np.bincount(flat[np.repeat(np.array(train, bool), lens)], minlength=len(number))
-        words = list(number)
-        if len(words) + 1 >= 1 << WORD_BITS or seq >= 1 << BLOCK_BITS:
-            raise ValueError("a block or a partition is too large for its number")
-        top = np.argsort(-counts, kind="stable")[: 4 * CONTEXTS]
-        row = {
-            "block": pa.array([part << BLOCK_BITS | seq], pa.int64()),
-            "train": pa.array([train], pa.list_(pa.bool_())),
-            "whole": pa.array([_pack(docs, lens, words, flat)], pa.binary()),
-            "top": pa.array([[words[i] for i in top]], pa.list_(pa.binary())),
-            "top_n": pa.array([counts[top].tolist()], pa.list_(pa.int64())),
-        }
+        if seq >= 1 << 20:
+            raise ValueError("a partition is too large for the number of its block")
+        words = np.fromiter(map(digest, number), U64, len(number))
+        flat = np.concatenate(arrays)
+        lens = np.array([len(a) for a in arrays], np.uint32)
+        ids = np.array([d or 0 for d in docs], np.int64)
+        flags = np.array([t | (d is None) << 1 for d, t in zip(docs, train, strict=True)], np.uint8)
+        whole = pa.array([_pack(ids, flags, lens, flat, words)], pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array([part << 20 | seq], pa.int64()), whole], names=["block", "data"])
         seq += 1
-        return pa.RecordBatch.from_pydict(row)
+        return out
 
-    number, arrays, docs, train, size = _Numbers(), [], [], [], 0
+    fresh = lambda: (_Numbers({START: 0, END: 1}), [], [], [], 0)
+    number, arrays, docs, train, size = fresh()
     for b in batches:
         for doc, text, learn in zip(b.column("doc").to_pylist(), b.column("text"), b.column("train").to_pylist(), strict=True):
             words = text.as_py().lower().split()
             arrays.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
             docs.append(doc)
             train.append(learn)
-            size += len(words)
+            size += len(words) + 1
             if size >= BLOCK:
                 yield close()
-                number, arrays, docs, train, size = _Numbers(), [], [], [], 0
+                number, arrays, docs, train, size = fresh()
     if docs:
         yield close()
 
 
-_BLOCK = "block long, train array<boolean>, whole binary, top array<binary>, top_n array<long>"
+def _block(raw: bytes) -> Block:
+    docs, flags, lens, ids, words = _unpack(raw)
+    return Block(docs, flags, lens.astype(np.int64), ids.astype(np.int64), words)
 
 
-def _pairs(ids: np.ndarray, lens: np.ndarray, n_words: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word * R + context of each token, ends included; first token of each text). context: by word number."""
-    ends = np.cumsum(lens + 1) - 1
-    word = np.full(len(ids) + len(lens), n_words, np.int64)
-    inner = np.ones(len(word), bool)
-    inner[ends] = False
-    word[inner] = ids
-    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-    ctx = np.zeros(len(word), np.int64)
-    ctx[1:] = context[word[:-1]]
-    ctx[starts] = 1
-    return word * R + ctx, starts
+def _rows(kind: int, block: int, bits: int, keys: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and their columns as a row for each shard that has any."""
+    shard = (keys >> U64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(keys) else np.zeros(1, np.int64)
+    cuts = list(zip(edges[:-1], edges[1:], strict=True))
+    blobs = [_pack(*[c[a:b] for c in cols]) if cols else None for a, b in cuts]
+    n = len(cuts)
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(shard[edges[:-1]].astype(np.int32)), pa.array(np.full(n, block, np.int64))]
+    columns += [pa.array([_pack_keys(keys[a:b]) for a, b in cuts], pa.binary()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "shard", "block", "keys", "data"])
 
 
-def _contexts(words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
-    return np.array([frequent.get(w, 0) for w in words] + [0], np.int64)
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    types = {"kind": pa.int32(), "shard": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "data": pa.binary(), "sums": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[n]) for i, n in enumerate(names)], names=list(names))
 
 
-def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Slices of an array's bytes as binary values."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Sorted rows by key, one key's at a time."""
+    last, held = None, []
+    for b in batches:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in (key, *names)), strict=True):
+            if k != last and held:
+                yield last, held
+                held = []
+            last = k
+            held.append(tuple(row))
+    if held:
+        yield last, held
 
 
-def _asked(frequent: dict[bytes, int], counts: bool):
-    """Blocks to rows by word: its contexts in the block with their training counts. counts: leave out those without."""
+def _ask_pairs(bits: int):
+    """Blocks to their distinct pairs with their training counts, by shard of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                _, lens, words, ids = _unpack(row["whole"])
-                keys, _ = _pairs(ids, lens, len(words), _contexts(words, frequent))
-                keys, inverse = np.unique(keys, return_inverse=True)
-                n = np.bincount(inverse, np.repeat(np.array(row["train"], float), lens + 1), len(keys))
-                if counts:
-                    keys, n = keys[n > 0], n[n > 0]
-                entries = np.empty(len(keys), ENTRY)
-                entries["ctx"], entries["n"] = keys % R, n
-                lids, first = np.unique(keys // R, return_index=True)
-                offsets = np.r_[first, len(keys)]
-                names = pa.array([*words, END], pa.binary()).take(pa.array(lids))
-                for i in range(0, len(lids), 100_000):
-                    j = min(i + 100_000, len(lids))
-                    cut = offsets[i : j + 1]
-                    blob = _binary(entries[cut[0] : cut[-1]], cut - cut[0])
-                    at = pa.array(lids[i:j] + (row["block"] << WORD_BITS), pa.int64())
-                    cols = {"w": names.slice(i, j - i), "e": blob} | ({} if counts else {"at": at})
-                    yield pa.RecordBatch.from_pydict(cols)
+            for number, raw in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                block = _block(raw.as_py())
+                keys, _, _, pair = block.pairs()
+                yield _rows(PAIRS, number, bits, keys, _small(np.bincount(pair, block.train, len(keys))))
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word to one row per word, its counts summed over blocks."""
-    word, total, parts = None, None, []
-    names, blobs = [], []
-
-    def flush():
-        nonlocal total
-        if len(parts) == 1:
-            out = parts[0]
-        else:
-            e = np.frombuffer(b"".join(parts), ENTRY)
-            n = np.bincount(e["ctx"], e["n"], R)
-            at = np.flatnonzero(n)
-            made = np.empty(len(at), ENTRY)
-            made["ctx"], made["n"] = at, n[at]
-            out = made.tobytes()
-        names.append(word)
-        blobs.append(out)
-
-    def batch():
-        out = pa.RecordBatch.from_pydict({"w": pa.array(names, pa.binary()), "e": pa.array(blobs, pa.binary())})
-        names.clear()
-        blobs.clear()
-        return out
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each asked pair's count over all blocks, times two, plus one in the first block that trains on it."""
+    for shard, rows in _grouped(batches, "shard", "block", "keys", "data"):
+        asked = [_unpack_keys(k) for _, k, _ in rows]
+        n = np.concatenate([_unpack(d)[0] for _, _, d in rows]).astype(np.int64)
+        kinds, group, _ = _ranked(np.concatenate(asked))
+        out = np.bincount(group, n, len(kinds)).astype(np.int64)[group] * 2
+        have = np.flatnonzero(n)
+        _, _, first = _ranked(group[have])
+        out[have[first]] += 1
+        ends = np.cumsum([len(k) for k in asked])
+        yield _batch([(COUNTED, shard, r[0], _pack(_small(x))) for r, x in zip(rows, np.split(out, ends[:-1]), strict=True)], "kind", "shard", "block", "data")
 
-    for b in batches:
-        for w, e in zip(b.column("w").to_pylist(), b.column("e").to_pylist(), strict=True):
-            if w != word:
-                if parts:
-                    flush()
-                    if len(names) >= 20_000:
-                        yield batch()
-                word, parts = w, []
-            parts.append(e)
-            if len(parts) > 256:  # a hot word: what is held stays small
-                flush()
-                parts = [blobs.pop()]
-                names.pop()
-    if parts:
-        flush()
-    yield batch()
+
+def _counted(bits: int):
+    """Blocks with their pairs' counts to: the counts; sums by word (tokens, customers as a context, kinds of pairs as a
+    context and as a word); the dishes that the block holds; and the asked pairs that occur twice or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in _grouped(batches, "block", "kind", "data"):
+            block = _block(rows[-1][1])
+            told = np.concatenate([_unpack(d)[0] for k, d in rows if k == COUNTED]).astype(np.int64)
+            keys, u, w, pair = block.pairs()
+            if len(told) != len(keys):
+                raise ValueError("a block's counts aren't whole")
+            n, own = told >> 1, told & 1
+            here, size = np.bincount(pair, block.train, len(keys)), len(block.words)
+            sums = [_small(np.bincount(i, x, size)) for i, x in ((w, here), (u, here), (u, own), (w, own))]
+            order = np.argsort(block.words)
+            yield _rows(WORDS, number, bits, block.words[order], *[s[order] for s in sums])
+            yield _rows(PAIRS, number, bits, keys[n > 1])
+            some = (own > 0) & (n > 1)
+            names = np.sort(block.words[np.unique(np.r_[u[some], w[some]])])
+            ends = [np.searchsorted(names, block.words[x[some]]).astype(np.uint32) for x in (u, w)]
+            held = _pack(names, *ends, _small(n[some]), np.ones(some.sum(), np.uint32))
+            few = [int(((own > 0) & (n == k)).sum()) for k in (1, 2)]
+            yield _batch([(COUNTED, few[0], number, None, _pack(_small(n))), (DISHES, few[1], number, None, held)], "kind", "shard", "block", "keys", "data")
+
+    return run
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all blocks, a row per shard; and what is summed over all words: words, tokens, pairs, words in one and in two kinds of pairs."""
+    for shard, rows in _grouped(batches, "shard", "keys", "data"):
+        kinds, group, _ = _ranked(np.concatenate([_unpack_keys(k) for k, _ in rows]))
+        cols = [np.concatenate(x).astype(np.int64) for x in zip(*(_unpack(d) for _, d in rows), strict=True)]
+        sums = [np.bincount(group, c, len(kinds)).astype(np.int64) for c in cols]
+        as_word = sums[3]
+        told = [float((sums[0] > 0).sum()), float(sums[0].sum()), float(as_word.sum()), float((as_word == 1).sum()), float((as_word == 2).sum())]
+        yield _batch([(shard, -1, _pack_keys(kinds), _pack(*map(_small, sums)), told)], "shard", "block", "keys", "data", "sums")
 
 
 @dataclass
 class Totals:
-    """Sums over all words: customers and tables of each restaurant, the parent's at index 0; words, tokens, discounts."""
+    """Training words, tokens and discounts; customers and tables of the parent restaurant."""
 
-    customers: np.ndarray
-    tables: np.ndarray
     kinds: int
     tokens: int
     child: float
     parent: float
+    customers: float
+    tables: float
 
     @property
-    def back_off(self) -> np.ndarray:
-        """Mass of new tables by context; 1 for context 0, which is the parent itself."""
-        out = (STRENGTH + self.child * self.tables) / (STRENGTH + self.customers)
-        out[0] = 1.0
-        return out
-
-    def parent_probability(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
-        s, d = STRENGTH + self.customers[0], self.parent
-        return (n - d * t) / s + (STRENGTH + d * self.tables[0]) / s / (self.kinds + 1)
+    def base(self) -> float:
+        """What a word without customers gets from the parent."""
+        return (STRENGTH + self.parent * self.tables) / (STRENGTH + self.customers) / (self.kinds + 1)
 
+    def own(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """What the parent gives a word of n customers at t tables beyond the base."""
+        return (n - self.parent * t) / (STRENGTH + self.customers)
 
-def stirling(d: float) -> np.ndarray:
-    """Logs of generalised Stirling numbers: ways in which n customers sit at t tables, by n and t up to EXACT."""
-    s = np.full((EXACT + 1, EXACT + 2), -np.inf)
-    s[1, 1] = 0.0
-    for n in range(1, EXACT):
-        t = np.arange(1, n + 2)
-        with np.errstate(divide="ignore"):
-            s[n + 1, 1 : n + 2] = np.logaddexp(s[n, 0 : n + 1], s[n, 1 : n + 2] + np.log(np.maximum(n - t * d, 1e-300)))
-    return s
+    def seat(self, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables of the parent's dishes."""
+        a = self.parent / (self.kinds + 1)
+        return seat(n, np.full(len(n), STRENGTH / (self.kinds + 1) + a * max(0.0, self.tables - 1)), np.full(len(n), a), self.parent, rng)
 
 
-def _uniform(keys: np.ndarray, turn: int) -> np.ndarray:
-    """A number in (0, 1) for each key and turn, the same wherever it is made."""
-    x = keys + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+def seat(n: np.ndarray, mass: np.ndarray, growth: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of n customers who come one after the other.
 
-
-def sample_tables(n: np.ndarray, a: np.ndarray, d: float, s: np.ndarray, keys: np.ndarray, turn: int) -> np.ndarray:
-    """Tables of dishes with n customers; a: mass of a new table. Exact up to EXACT customers: P(t) ~ S(n, t) a^t.
-
-    Beyond, EXACT customers are seated so and the rest as they come, in runs an eighth as long as the line before them.
+    A customer takes a new table with a weight of mass, plus growth for each table that the dish has, and else an old
+    one, with a weight of the customers there less d for each table. Beyond EXACT customers a run of them comes at a
+    time, with the chance at its middle.
     """
     t = np.minimum(n, 1).astype(np.int64)
-    u = _uniform(keys, turn)
-    m = np.minimum(n, EXACT)
-    order = np.argsort(m, kind="stable")
-    edges = np.searchsorted(m[order], np.arange(2, EXACT + 2))
-    for size, lo, hi in zip(range(2, EXACT + 1), edges[:-1], edges[1:], strict=True):
-        if lo == hi:
-            continue
-        i = order[lo:hi]
-        z = s[size, 1 : size + 1] + np.log(a[i])[:, None] * np.arange(1, size + 1)
-        p = np.exp(z - z.max(1, keepdims=True)).cumsum(1)
-        t[i] = 1 + (p < u[i, None] * p[:, -1:]).sum(1)
-    i, j, step = np.flatnonzero(n > EXACT), EXACT, 0
-    while len(i):
-        run = np.minimum(max(1, j // 8), n[i] - j)
-        mean = run * a[i] / (a[i] + np.maximum(j - d * t[i], 1e-9))
-        t[i] += np.minimum(run, np.floor(mean + _uniform(keys[i], turn * 1000 + 7 + step)).astype(np.int64))
-        j += max(1, j // 8)
-        step += 1
-        i = i[n[i] > j]
+    order = np.argsort(-n.astype(np.int64), kind="stable")
+    m, mass, growth, x = n[order].astype(np.int64), mass[order], growth[order], t[order]
+    more = lambda j: int(np.searchsorted(-m, -j))  # noqa: E731  dishes of over j customers: they come first
+    for j in range(1, EXACT):
+        if not (k := more(j)):
+            break
+        new = mass[:k] + growth[:k] * x[:k]
+        x[:k] += rng.random(k) * (new + j - d * x[:k]) < new
+    j = EXACT
+    while k := more(j):
+        run = np.minimum(j // RUN, m[:k] - j)
+        chance = lambda y, at, k=k: (a := mass[:k] + growth[:k] * y) / (a + at - d * y)
+        half = chance(x[:k], j)
+        x[:k] += rng.binomial(run, np.clip(chance(x[:k] + half * run / 2, j + run / 2), 0, 1))
+        j += j // RUN
+    t[order] = x
     return t
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(word row of each entry, entries)."""
-    blobs = b.column("e").to_pylist()
-    e = np.frombuffer(b"".join(blobs), ENTRY)
-    return np.repeat(np.arange(len(blobs)), [len(x) // ENTRY.itemsize for x in blobs]), e
-
-
-def _sweeps(b: pa.RecordBatch, totals: Totals, burn: int, keep: int):
-    """Gibbs sweeps over a batch of words; means over the kept ones: (row, context, customers, tables) of the context
-    entries, parent's customers, tables and probability by word, and counts by word."""
-    from xxhash import xxh3_64_intdigest
-
-    row, e = _flat(b)
-    rows = b.num_rows
-    count = np.bincount(row, e["n"], rows).astype(np.int64)
-    at = e["ctx"] > 0
-    direct = np.bincount(row[~at], e["n"][~at], rows).astype(np.int64)
-    r, c, n = row[at], e["ctx"][at].astype(np.int64), e["n"][at].astype(np.int64)
-    word = np.array([xxh3_64_intdigest(w) for w in b.column("w").to_pylist()], np.uint64)
-    keys = word[r] * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64)
-    up, down = stirling(totals.parent), stirling(totals.child)
-    t, mass = np.minimum(n, 1), STRENGTH + totals.child * totals.tables[c]
-    top = STRENGTH + totals.parent * totals.tables[0]
-    sums = [np.zeros(len(n)), np.zeros(rows), np.zeros(rows), np.zeros(rows)]
-    for k in range(burn + keep):
-        guests = direct + np.bincount(r, t, rows).astype(np.int64)
-        held = sample_tables(guests, np.full(rows, top / (totals.kinds + 1)), totals.parent, up, word, 2 * k)
-        p = totals.parent_probability(guests, held)
-        t = sample_tables(n, mass * p[r], totals.child, down, keys, 2 * k + 1)
-        if k >= burn:
-            for s, x in zip(sums, (t, guests, held, p), strict=True):
-                s += x / keep
-    return r, c, n, sums[0], sums[1], sums[2], sums[3], count
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's sums before any seating: as if each dish had one table."""
-    s = np.zeros(2 * R + 6)
-    for b in batches:
-        row, e = _flat(b)
-        at = e["ctx"] > 0
-        s[:R] += np.bincount(e["ctx"][at], e["n"][at], R)
-        s[R : 2 * R] += np.bincount(e["ctx"][at], minlength=R)
-        guests = np.bincount(row[~at], e["n"][~at], b.num_rows) + np.bincount(row[at], minlength=b.num_rows)
-        s[2 * R :] += [b.num_rows, e["n"].sum(dtype=np.int64), (e["n"][at] == 1).sum(), (e["n"][at] == 2).sum(), (guests == 1).sum(), (guests == 2).sum()]
-        s[0] += guests.sum()
-    yield pa.RecordBatch.from_pydict({"s": pa.array([s.tolist()], pa.list_(pa.float64()))})
-
+def _dish_sums(bits: int, kept: int = 0):
+    """Dishes to what their tables add to their contexts and words, by shard of the word; kept: each of the last sweeps'."""
 
-def _tables(totals: Totals, burn: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = np.zeros(R + 1)
         for b in batches:
-            _, c, _, t, guests, held, _, _ = _sweeps(b, totals, burn, keep)
-            s[:R] += np.bincount(c, t, R)
-            s[0] += held.sum()
-            s[R] += guests.sum()
-        yield pa.RecordBatch.from_pydict({"s": pa.array([s.tolist()], pa.list_(pa.float64()))})
+            for number, raw in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                names, u, w, _, *tables = _unpack(raw.as_py())
+                more = [t.astype(np.int64) - 1 for t in tables[-max(kept, 1) :]]
+                as_word = [_small(np.bincount(w, x, len(names))) for x in more]
+                yield _rows(DISHES, number, bits, names, _small(np.bincount(u, sum(more), len(names))), *as_word)
 
     return run
 
 
-def _summed(words: DataFrame, f) -> np.ndarray | None:
-    """Sums of fixed size over all words, added up before they come to the driver."""
-    rows = words.mapInArrow(f, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    return np.array([r["x"] for r in rows]) if rows else None
+def _tables_now(state: tuple, rows: list[tuple], kept: int = 1) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """(keys, sums by word, [tables as a context, then customers in the parent by sweep], the place of each row's keys)."""
+    keys, sums = _unpack_keys(state[0]), [x.astype(np.int64) for x in _unpack(state[1])]
+    now = [sums[2] * kept] + [sums[3].copy() for _ in range(kept)]
+    places = []
+    for k, d in rows:
+        places.append(np.searchsorted(keys, _unpack_keys(k)))
+        for total, more in zip(now, _unpack(d), strict=True):
+            total[places[-1]] += more.astype(np.int64)
+    return keys, sums, now, places
 
 
-def _guests(totals: Totals, burn: int, keep: int):
-    """Words to their averaged probabilities: of the parent, and what each context adds to it."""
+def _parents(totals: Totals, turn: int):
+    """A shard's words with the tables of their dishes, to the tables of each context and the parent's probability of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r, c, n, t, _, _, p, count = _sweeps(b, totals, burn, keep)
-            g = np.empty(len(r), GUEST)
-            g["ctx"], g["p"] = c, (n - totals.child * t) / (STRENGTH + totals.customers[c])
-            offsets = np.r_[0, np.cumsum(np.bincount(r, minlength=b.num_rows))]
-            yield pa.RecordBatch.from_arrays([b.column("w"), pa.array(count, pa.int64()), pa.array(p, pa.float64()), _binary(g, offsets)], names=["w", "c", "p", "g"])
+        for shard, rows in _grouped(batches, "shard", "block", "keys", "data"):
+            _, _, (tables, guests), places = _tables_now(rows[0][1:], [r[1:] for r in rows[1:]])
+            held = totals.seat(guests, np.random.default_rng([turn, shard]))
+            p = totals.own(guests, held) + totals.base
+            out = [(WORDS, shard, r[0], _pack(_small(tables[at]), p[at])) for r, at in zip(rows[1:], places, strict=True)]
+            out.append((WORDS, shard, -1, _pack(np.array([held.sum()], np.int64))))
+            yield _batch(out, "kind", "shard", "block", "data")
 
     return run
 
 
-def _answers(totals: Totals):
-    """A block's word with its contexts, and the word's probabilities, to their logs in the same order."""
-    unknown = float(totals.parent_probability(np.zeros(1), np.zeros(1))[0])
-    back = totals.back_off
+def _reseat(totals: Totals, turn: int, keep: bool):
+    """Dishes and the answers for their words to dishes with new tables, which replace the last ones unless those are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, e = _flat(b)
-            blobs = [x or b"" for x in b.column("g").to_pylist()]
-            g = np.frombuffer(b"".join(blobs), GUEST)
-            have = np.repeat(np.arange(len(blobs), dtype=np.int64), [len(x) // GUEST.itemsize for x in blobs]) * R + g["ctx"]
-            want = row.astype(np.int64) * R + e["ctx"]
-            i = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
-            add = np.where(have[i] == want, g["p"][i], 0.0) if len(have) else np.zeros(len(want))
-            p = np.array([unknown if x is None else x for x in b.column("p").to_pylist()])
-            logs = np.log10(add + back[e["ctx"]] * p[row]).astype("<f4")
-            # Eight bytes of the word's count, and four for each context.
-            ends = np.cumsum(8 + 4 * np.bincount(row, minlength=b.num_rows))
-            starts = np.r_[0, ends[:-1]].astype(np.int64)
-            out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
-            head = np.zeros(len(out), bool)
-            at = starts[:, None] + np.arange(8)
-            head[at] = True
-            out[at] = np.array([x or 0 for x in b.column("c").to_pylist()], "<i8").view(np.uint8).reshape(-1, 8)
-            out[~head] = logs.view(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("at"), _binary(out, np.r_[starts, len(out)])], names=["at", "data"])
+        for number, rows in _grouped(batches, "block", "kind", "data"):
+            answers = [_unpack(d) for k, d in rows if k == WORDS]
+            if number < 0:
+                yield _batch([(number, None, [0.0, float(sum(a[0][0] for a in answers))])], "block", "data", "sums")
+                continue
+            names, u, w, n, *tables = _unpack(next(d for k, d in rows if k == DISHES))
+            new = tables[-1]
+            if len(names):
+                of, p = (np.concatenate(x) for x in zip(*answers, strict=True))
+                if len(of) != len(names):
+                    raise ValueError("a block's answers aren't whole")
+                others = of[u].astype(np.int64) - tables[-1]
+                new = seat(n, (STRENGTH + totals.child * others) * p[w], totals.child * p[w], totals.child, np.random.default_rng([turn, number]))
+            tables = [*(tables if keep else tables[:-1]), _small(new)]
+            yield _batch([(number, _pack(names, u, w, n, *tables), [float(new.sum() - len(new)), 0.0])], "block", "data", "sums")
 
     return run
 
 
-def _scores(totals: Totals, frequent: dict[bytes, int]):
-    """A block's answers, in order, and then the block, to a row per text."""
-    base = np.log10(totals.tokens + totals.kinds + 1)
+def _means(sweeps: list[Totals], turn: int):
+    """A shard's words to: tokens, customers as a context, tables as a context over all kept sweeps, and the parent's
+    probability beyond the base, averaged; sums: the parent's tables in each sweep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _grouped(batches, "shard", "keys", "data"):
+            keys, sums, (tables, *guests), _ = _tables_now(rows[0], rows[1:], len(sweeps))
+            held = [s.seat(g, np.random.default_rng([turn + i, shard])) for i, (s, g) in enumerate(zip(sweeps, guests, strict=True))]
+            own = sum(s.own(g, t) for s, g, t in zip(sweeps, guests, held, strict=True)) / len(sweeps)
+            data = _pack(_small(sums[0]), _small(sums[1]), _small(tables), own)
+            yield _batch([(shard, -1, _pack_keys(keys), data, [float(t.sum()) for t in held])], "shard", "block", "keys", "data", "sums")
+
+    return run
+
 
-    last = (1 << WORD_BITS) - 1
+def _dish_tables(bits: int, kept: int):
+    """Dishes to the tables of their pairs, over all kept sweeps, by shard of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
         for b in batches:
-            data = b.column("data")
-            ends = np.flatnonzero((b.column("at").to_numpy() & last) == last).tolist()
-            begin = 0
-            for end in ends:
-                held += data[begin:end].to_pylist()
-                begin = end + 1
-                docs, lens, words, ids = _unpack(data[end].as_py())
-                keys, starts = _pairs(ids, lens, len(words), _contexts(words, frequent))
-                seen, inverse = np.unique(keys, return_inverse=True)
-                size = np.fromiter(map(len, held), np.int64, len(held))
-                raw, first = np.frombuffer(b"".join(held), np.uint8), np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
-                head = np.zeros(len(raw), bool)
-                at = first[:, None] + np.arange(8)
-                head[at] = True
-                n, p = raw[at].view("<i8").ravel(), raw[~head].view("<f4").astype(float)
-                lids = np.unique(seen // R)
-                if len(p) != len(seen) or len(n) != len(lids):
-                    raise ValueError("a block's answers aren't whole")
-                held = []
-                by = np.zeros(len(words) + 1, np.int64)
-                by[lids] = n
-                c_token = by[keys // R]
-                sums = [np.add.reduceat(x, starts) for x in (p[inverse], np.log10(c_token + 1) - base, (c_token > 0).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lens + 1, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1], pa.float64()), pa.array(sums[0], pa.float64())], names=["doc", "n_tokens", "n_known", "base_score", "score"])
-            held += data[begin:].to_pylist()
+            for raw in b.column("data"):
+                names, u, w, _, *tables = _unpack(raw.as_py())
+                keys = _mix(names[u], names[w])
+                order = np.argsort(keys, kind="stable")
+                yield _rows(DISHES, -1, bits, keys[order], _small(sum(t.astype(np.int64) for t in tables[-kept:])[order]))
+
+    return run
+
+
+def _answers(kind: int):
+    """What a shard knows (the rows of block -1), to each block's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _grouped(batches, "shard", "block", "keys", "data"):
+            known = [r for r in rows if r[0] < 0]
+            keys = np.concatenate([_unpack_keys(k) for _, k, _ in known]) if known else np.zeros(0, U64)
+            cols = [np.concatenate(x) for x in zip(*(_unpack(d) for *_, d in known), strict=True)]
+            keys, _, first = _ranked(keys)
+            cols = [c[first] for c in cols]
+            out = []
+            for block, asked, _ in rows[len(known) :]:
+                asked = _unpack_keys(asked)
+                at = np.searchsorted(keys, asked)
+                if not len(keys) or at.max() >= len(keys) or (keys[at] != asked).any():
+                    raise ValueError("a shard lacks a key that is asked for")
+                out.append((kind, shard, block, _pack(*[c[at] for c in cols])))
+            if out:
+                yield _batch(out, "kind", "shard", "block", "data")
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, sweeps: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs.
+def _scores(totals: Totals, base: float, kept: int, each: bool):
+    """A block and its answers to a row per text."""
+    least = math.log10(totals.tokens + totals.kinds + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, "block", "kind", "data"):
+            parts = {k: [_unpack(d) for kind, d in rows if kind == k] for k in (COUNTED, WORDS, PAIRS)}
+            block = _block(rows[-1][1])
+            _, u, w, pair = block.pairs()
+            n = parts[COUNTED][0][0].astype(np.int64)
+            order = np.argsort(block.words)
+            cols = [np.empty(len(order)) for _ in range(4)]
+            for c, x in zip(cols, zip(*parts[WORDS], strict=True), strict=True):
+                c[order] = np.concatenate(x)
+            c, guests, tables, own = cols
+            held = np.full(len(n), float(kept))
+            if parts[PAIRS]:
+                held[n > 1] = np.concatenate([x[0] for x in parts[PAIRS]])
+            room = STRENGTH + guests
+            p = np.where(n > 0, n - totals.child * held / kept, 0.0) / room[u] + ((STRENGTH + totals.child * tables / kept) / room)[u] * (own[w] + base)
+            begin = np.cumsum(block.lens + 1) - (block.lens + 1)
+            logs, seen = np.log10(p)[pair], c[w][pair]
+            total = lambda x: np.add.reduceat(x, begin)
+            out = [
+                pa.array(block.docs, pa.int64(), mask=block.flags & 2 > 0),
+                pa.array(block.lens + 1, pa.int64()),
+                pa.array(total((seen > 0).astype(np.int64)), pa.int64()),
+                pa.array(total(np.log10(seen + 1) - least), pa.float64()),
+                pa.array(total(logs), pa.float64()),
+            ]
+            names = ["doc", "n_tokens", "n_known", "base_score", "score"]
+            if each:
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[begin, len(logs)], pa.int32()), pa.array(logs)))
+                names.append("token_scores")
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return run
+
+
+def _discount(one: float, two: float) -> float:
+    """Of a restaurant, from how many dishes have one customer and how many have two."""
+    return float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
+
+
+def score(docs: DataFrame, learn: Column, sweeps: int = 3, burn: int = 2, id_col: str = "doc_id", text_col: str = "text", each: bool = False) -> DataFrame:
+    """(id_col, n_tokens, n_known, train_tokens, base_score, score), a row per row of docs; each: token_scores as well.
 
     The model learns from the rows that satisfy learn, a condition on the id under the name 'doc'; null counts as false.
     A-Z in lower case, words by white space, then one end of text, which is a token. A null or empty text has only its
-    end. n_known: tokens that training has. base_score: log10 of add-one unigram probabilities. score: the model's.
-    Rows that share an id are texts of their own. An empty table gives none; without training rows all words are
-    unknown. Each pass goes over all words.
+    end. n_known: tokens that training has. base_score: log10 of add-one unigram probabilities. score: the model's, the
+    sum of token_scores; the probabilities that a context gives the training words and one unknown word sum to 1.
+    Rows that share an id, or have a null one, are texts of their own. An empty table gives none; without training rows
+    all words are unknown, and the one that there is has probability 1. All contexts and pairs of words are counted.
+    Reruns over the same files agree. sweeps: those averaged; burn: those before them.
     """
     s = Sealed(docs, id_col, text_col)
     text = F.coalesce(s[text_col], F.lit("")).cast("binary")
     given = s.df.select(s[id_col].cast("long").alias("doc"), text.alias("text")).withColumn("train", F.coalesce(learn, F.lit(False)))
-    blocks = store(given.mapInArrow(_blocks, _BLOCK), "blocks")
-    top = blocks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).groupBy("x.top").agg(F.sum("x.top_n").alias("n"))
-    frequent = {bytes(r["top"]): i + 2 for i, r in enumerate(top.where("n > 0").orderBy(F.desc("n"), "top").limit(CONTEXTS).collect())}
-    slim = blocks.select("block", "train", "whole")
-    counted = slim.mapInArrow(_asked(frequent, True), "w binary, e binary")
-    words = store(counted.repartition("w").sortWithinPartitions("w").mapInArrow(_merge, "w binary, e binary"), "words")
-
-    c = _summed(words, _counts)
-    if c is None:
-        c = np.zeros(2 * R + 6)
-    discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    kinds, tokens, c1, c2, p1, p2 = c[2 * R :]
-    totals = Totals(c[:R].copy(), c[R : 2 * R].copy(), int(kinds), int(tokens), discount(c1, c2), discount(p1, p2))
-    totals.tables[0] = kinds
-    for _ in range(2):
-        made = _summed(words, _tables(totals, 1, 1))
-        if made is not None:
-            totals.tables[:] = made[:R]
-            totals.customers[0] = made[R]
-    known = words.mapInArrow(_guests(totals, 2, sweeps), "w binary, c long, p double, g binary")
-    asked = slim.mapInArrow(_asked(frequent, False), "w binary, e binary, at long")
-    answers = asked.join(known, "w", "left").mapInArrow(_answers(totals), "at long, data binary")
-    # One long key orders a block's answers by word, and the block itself after them.
-    q = blocks.select((F.shiftleft("block", WORD_BITS) + F.lit((1 << WORD_BITS) - 1)).alias("at"), F.col("whole").alias("data"))
-    rows = answers.unionByName(q).repartition(F.shiftright("at", WORD_BITS)).sortWithinPartitions("at")
-    out = rows.mapInArrow(_scores(totals, frequent), "doc long, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("doc").alias(id_col), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    with Scratch(docs.sparkSession, "lm") as scratch:
+        blocks = scratch.store(given.mapInArrow(_blocks, "block long, data binary"), "blocks")
+        # Shards grow with the blocks, so that what a shard holds doesn't.
+        bits = max(6, math.ceil(math.log2(max(1, blocks.count()))))
+        at_shard = lambda d, *order: d.repartition("shard").sortWithinPartitions("shard", *order)
+        at_block = lambda d: d.repartition("block").sortWithinPartitions("block", "kind", "shard")
+        answer, whole = "kind int, shard int, block long, data binary", F.lit(2**31 - 1).alias("shard")
+        full = blocks.select(F.lit(WHOLE).alias("kind"), whole, "block", "data")
+
+        pairs = at_shard(blocks.mapInArrow(_ask_pairs(bits), _ROW), "block").mapInArrow(_count_pairs, answer)
+        counted = scratch.store(at_block(pairs.unionByName(full)).mapInArrow(_counted(bits), _ROW), "counted", by="kind")
+        few = {r["kind"]: r["n"] for r in counted.where(F.col("kind").isin(COUNTED, DISHES)).groupBy("kind").agg(F.sum("shard").alias("n")).collect()}
+        told = counted.where(F.col("kind") == WORDS)
+        state = scratch.store(at_shard(told).mapInArrow(_word_sums, "shard int, block long, keys binary, data binary, sums array<double>"), "state")
+        kinds, tokens, kinds_of_pairs, one, two = _sum(state, 5)
+        totals = Totals(int(kinds), int(tokens), _discount(few.get(COUNTED, 0), few.get(DISHES, 0)), _discount(one, two), kinds_of_pairs, kinds)
+
+        dishes = counted.where(F.col("kind") == DISHES).select("block", "data")
+        known, kept = state.select("shard", "block", "keys", "data"), []
+        for turn in range(burn + sweeps):
+            asked = dishes.mapInArrow(_dish_sums(bits), _ROW).select("shard", "block", "keys", "data")
+            told_back = at_shard(known.unionByName(asked), "block").mapInArrow(_parents(totals, turn), answer)
+            both = told_back.unionByName(dishes.select(F.lit(DISHES).alias("kind"), whole, "block", "data"))
+            made = scratch.store(at_block(both).mapInArrow(_reseat(totals, turn, turn > burn), "block long, data binary, sums array<double>"), f"dishes-{turn}")
+            if turn:
+                scratch.drop(f"dishes-{turn - 1}")
+            more, tables = _sum(made, 2)
+            totals = Totals(totals.kinds, totals.tokens, totals.child, totals.parent, kinds_of_pairs + more, tables)
+            dishes = made.where("block >= 0").select("block", "data")
+            if turn >= burn:
+                kept.append(totals)
+
+        summed = dishes.mapInArrow(_dish_sums(bits, sweeps), _ROW).select("shard", "block", "keys", "data")
+        means = at_shard(known.unionByName(summed), "block").mapInArrow(_means(kept, burn + sweeps), "shard int, block long, keys binary, data binary, sums array<double>")
+        means = scratch.store(means, "words")
+        # The parent's tables of the kept sweeps, as they were seated just now.
+        base = float(np.mean([Totals(t.kinds, t.tokens, t.child, t.parent, t.customers, n).base for t, n in zip(kept, _sum(means, sweeps), strict=True)]))
+        words = at_shard(means.select("shard", "block", "keys", "data").unionByName(told.select("shard", "block", "keys", F.lit(None).cast("binary").alias("data"))), "block")
+        tables = dishes.mapInArrow(_dish_tables(bits, sweeps), _ROW).select("shard", "block", "keys", "data")
+        plural = at_shard(tables.unionByName(counted.where(F.col("kind") == PAIRS).select("shard", "block", "keys", "data")), "block")
+        counts = counted.where(F.col("kind") == COUNTED).select("kind", F.lit(0).alias("shard"), "block", "data")
+        every = words.mapInArrow(_answers(WORDS), answer).unionByName(plural.mapInArrow(_answers(PAIRS), answer)).unionByName(counts).unionByName(full)
+        schema = "doc long, n_tokens long, n_known long, base_score double, score double" + (", token_scores array<double>" if each else "")
+        out = scratch.keep(at_block(every).mapInArrow(_scores(totals, base, sweeps, each), schema), "scores")
+    return out.select(F.col("doc").alias(id_col), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score", *["token_scores"] * each)
+
+
+def _sum(df: DataFrame, n: int) -> list[float]:
+    """The sums of an array column of n numbers."""
+    row = df.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(n)]).first()
+    return [float(x) for x in row]
 
 
 def perplexity(scored: DataFrame) -> Column:
