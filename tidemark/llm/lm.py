@@ -10,7 +10,8 @@ of each context sum to one.
 Texts are held as blocks of word numbers. What a block has to tell or to ask about its distinct words and pairs of
 words goes to shards, by hash: a shard gets at most one entry of a word or pair from a block, however frequent it is, so
 no key makes a shard large. Words and pairs are known by 64-bit hashes. A pair that occurs once has one table in every
-sweep; only the others ("dishes") are held for sampling, in the first block that has them.
+sweep; only the others ("dishes") are held for sampling, in the first block that has them. Once counted, a dish is known
+by its shard and its place among the shard's dishes, which takes less room than its hash.
 """
 
 from __future__ import annotations
@@ -127,8 +128,8 @@ class Block:
         u, w = np.divmod(seen, len(self.words))
         keys = _mix(self.words[u], self.words[w])
         order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         return keys[order], u[order], w[order], place[pair.reshape(-1)]
 
 
@@ -219,17 +220,22 @@ def _ask_pairs(bits: int):
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each asked pair's count over all blocks, times two, plus one in the first block that trains on it."""
+    """Each asked pair's count over all blocks, times two, plus one in the first block that trains on it; and for those
+    that occur twice or more, their places among the shard's such pairs, as steps."""
     for shard, rows in _grouped(batches, "shard", "block", "keys", "data"):
         asked = [_unpack_keys(k) for _, k, _ in rows]
         n = np.concatenate([_unpack(d)[0] for _, _, d in rows]).astype(np.int64)
         kinds, group, _ = _ranked(np.concatenate(asked))
-        out = np.bincount(group, n, len(kinds)).astype(np.int64)[group] * 2
+        total = np.bincount(group, n, len(kinds)).astype(np.int64)
+        place = np.cumsum(total > 1) - 1
+        out = total[group] * 2
         have = np.flatnonzero(n)
         _, _, first = _ranked(group[have])
         out[have[first]] += 1
-        ends = np.cumsum([len(k) for k in asked])
-        yield _batch([(COUNTED, shard, r[0], _pack(_small(x))) for r, x in zip(rows, np.split(out, ends[:-1]), strict=True)], "kind", "shard", "block", "data")
+        ends, back = np.cumsum([len(k) for k in asked]), []
+        for (block, _, _), x, g in zip(rows, np.split(out, ends[:-1]), np.split(group, ends[:-1]), strict=True):
+            back.append((COUNTED, shard, block, _pack(_small(x), _small(np.diff(place[g[x > 3]], prepend=0)))))
+        yield _batch(back, "kind", "shard", "block", "data")
 
 
 def _counted(bits: int):
@@ -237,9 +243,11 @@ def _counted(bits: int):
     context and as a word); the dishes that the block holds; and the asked pairs that occur twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _grouped(batches, "block", "kind", "data"):
-            block = _block(rows[-1][1])
-            told = np.concatenate([_unpack(d)[0] for k, d in rows if k == COUNTED]).astype(np.int64)
+        for number, rows in _grouped(batches, "block", "kind", "shard", "data"):
+            block = _block(rows[-1][2])
+            answers = [(U64(shard) << U64(64 - bits), *_unpack(d)) for k, shard, d in rows if k == COUNTED]
+            told = np.concatenate([a[1] for a in answers]).astype(np.int64)
+            dish = np.concatenate([a[0] + np.cumsum(a[2], dtype=U64) for a in answers])
             keys, u, w, pair = block.pairs()
             if len(told) != len(keys):
                 raise ValueError("a block's counts aren't whole")
@@ -248,11 +256,11 @@ def _counted(bits: int):
             sums = [_small(np.bincount(i, x, size)) for i, x in ((w, here), (u, here), (u, own), (w, own))]
             order = np.argsort(block.words)
             yield _rows(WORDS, number, bits, block.words[order], *[s[order] for s in sums])
-            yield _rows(PAIRS, number, bits, keys[n > 1])
+            yield _rows(PAIRS, number, bits, dish)
             some = (own > 0) & (n > 1)
             names = np.sort(block.words[np.unique(np.r_[u[some], w[some]])])
             ends = [np.searchsorted(names, block.words[x[some]]).astype(np.uint32) for x in (u, w)]
-            held = _pack(names, *ends, _small(n[some]), np.ones(some.sum(), np.uint32))
+            held = _pack(names, np.diff(dish[own[n > 1] > 0], prepend=U64(0)), *ends, _small(n[some]), np.ones(some.sum(), np.uint32))
             few = [int(((own > 0) & (n == k)).sum()) for k in (1, 2)]
             yield _batch([(COUNTED, few[0], number, None, _pack(_small(n))), (DISHES, few[1], number, None, held)], "kind", "shard", "block", "keys", "data")
 
@@ -329,7 +337,7 @@ def _dish_sums(bits: int, kept: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, raw in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                names, u, w, _, *tables = _unpack(raw.as_py())
+                names, _, u, w, _, *tables = _unpack(raw.as_py())
                 more = [t.astype(np.int64) - 1 for t in tables[-max(kept, 1) :]]
                 as_word = [_small(np.bincount(w, x, len(names))) for x in more]
                 yield _rows(DISHES, number, bits, names, _small(np.bincount(u, sum(more), len(names))), *as_word)
@@ -373,7 +381,7 @@ def _reseat(totals: Totals, turn: int, keep: bool):
             if number < 0:
                 yield _batch([(number, None, [0.0, float(sum(a[0][0] for a in answers))])], "block", "data", "sums")
                 continue
-            names, u, w, n, *tables = _unpack(next(d for k, d in rows if k == DISHES))
+            names, dish, u, w, n, *tables = _unpack(next(d for k, d in rows if k == DISHES))
             new = tables[-1]
             if len(names):
                 of, p = (np.concatenate(x) for x in zip(*answers, strict=True))
@@ -382,7 +390,7 @@ def _reseat(totals: Totals, turn: int, keep: bool):
                 others = of[u].astype(np.int64) - tables[-1]
                 new = seat(n, (STRENGTH + totals.child * others) * p[w], totals.child * p[w], totals.child, np.random.default_rng([turn, number]))
             tables = [*(tables if keep else tables[:-1]), _small(new)]
-            yield _batch([(number, _pack(names, u, w, n, *tables), [float(new.sum() - len(new)), 0.0])], "block", "data", "sums")
+            yield _batch([(number, _pack(names, dish, u, w, n, *tables), [float(new.sum() - len(new)), 0.0])], "block", "data", "sums")
 
     return run
 
@@ -403,15 +411,13 @@ def _means(sweeps: list[Totals], turn: int):
 
 
 def _dish_tables(bits: int, kept: int):
-    """Dishes to the tables of their pairs, over all kept sweeps, by shard of the pair."""
+    """Dishes to their tables over all kept sweeps, by shard of the dish."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column("data"):
-                names, u, w, _, *tables = _unpack(raw.as_py())
-                keys = _mix(names[u], names[w])
-                order = np.argsort(keys, kind="stable")
-                yield _rows(DISHES, -1, bits, keys[order], _small(sum(t.astype(np.int64) for t in tables[-kept:])[order]))
+                _, dish, _, _, _, *tables = _unpack(raw.as_py())
+                yield _rows(DISHES, -1, bits, np.cumsum(dish, dtype=U64), _small(sum(t.astype(np.int64) for t in tables[-kept:])))
 
     return run
 
@@ -538,7 +544,10 @@ def score(docs: DataFrame, learn: Column, sweeps: int = 3, burn: int = 2, id_col
         tables = dishes.mapInArrow(_dish_tables(bits, sweeps), _ROW).select("shard", "block", "keys", "data")
         plural = at_shard(tables.unionByName(counted.where(F.col("kind") == PAIRS).select("shard", "block", "keys", "data")), "block")
         counts = counted.where(F.col("kind") == COUNTED).select("kind", F.lit(0).alias("shard"), "block", "data")
-        every = words.mapInArrow(_answers(WORDS), answer).unionByName(plural.mapInArrow(_answers(PAIRS), answer)).unionByName(counts).unionByName(full)
+        told_back = scratch.store(words.mapInArrow(_answers(WORDS), answer).unionByName(plural.mapInArrow(_answers(PAIRS), answer)), "answers")
+        for done in ("state", "words", f"dishes-{burn + sweeps - 1}"):
+            scratch.drop(done)
+        every = told_back.unionByName(counts).unionByName(full)
         schema = "doc long, n_tokens long, n_known long, base_score double, score double" + (", token_scores array<double>" if each else "")
         out = scratch.keep(at_block(every).mapInArrow(_scores(totals, base, sweeps, each), schema), "scores")
     return out.select(F.col("doc").alias(id_col), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score", *["token_scores"] * each)
