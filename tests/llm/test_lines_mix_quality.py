@@ -1,9 +1,11 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,16 @@ def test_mixing_pieces_are_disjoint_runs_of_slots(spark):
         assert all(a + n <= b for (a, n), (b, _) in zip(x, x[1:], strict=False))
 
 
+def test_mixed_texts_are_the_words_of_the_pieces(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "y"), (4, " ".join(f"w{i}" for i in range(3000)), None), (None, "q\n r", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized, pieces = mixing.mix(docs, block=512)
+    texts = {i: (t or "").split() for i, t, _ in rows}
+    got = mixing.text_of(docs, pieces).join(pieces.select("slot", "row_id", "epoch", "start", "words", "doc"), ["slot", "row_id", "epoch", "start"]).collect()
+    assert len(got) == pieces.count() > 6
+    assert all(r.text.split(" ") == texts[r.doc][r.start : r.start + r.words] for r in got)
+
+
 def test_mixing_empty(spark):
     sized, pieces = mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string"))
     assert sized.count() == 0 and pieces.count() == 0
@@ -166,6 +178,49 @@ def test_quality_verdicts(spark):
     assert [r.doc_id for r in quality.keep_good(few).collect()] == [1]
 
 
+def nearest(x, share):
+    """The estimate of least determinant by plain NumPy: the starts and steps of the operator, on one group."""
+    n, var = len(x), x.var(0)
+    q = np.sort(x, 0)[[max(0, math.ceil(p * n) - 1) for p in (0.25, 0.5, 0.75)]]
+    wide = ((q[2] - q[0]) / 1.349) ** 2
+    scale, best = share / quality._inner_mass(share), []
+    for c in (np.diag(np.where(wide > 0, wide, var)), np.cov(x.T, bias=True), np.diag(var)):
+        mu, m, old = q[1], quality.regular(c, var), np.inf
+        for _ in range(quality.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(m), x - mu)
+            near = x[d <= np.sort(d)[math.ceil(share * n) - 1]]
+            mu, m = near.mean(0), quality.regular(np.cov(near.T, bias=True), var) * scale
+            det = np.linalg.slogdet(m)[1]
+            if old - det < 1e-3:
+                break
+            old = det
+        best.append((det, mu, m))
+    return min(best, key=lambda b: b[0])
+
+
+def test_quality_fit_has_the_least_determinant(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = quality.measure(docs, keep_text=False).cache()
+    fitted = quality.fit(measured).where("level = 2").first()
+    x = np.array([list(r) for r in measured.where(~quality.base_failed()).select(*[c.alias(n) for n, c in quality.vector().items()]).collect()])
+    det, mu, m = nearest(x, 0.9)
+    assert fitted.n == len(x) and fitted.det == pytest.approx(det, abs=0.1)
+    assert np.abs((np.array(fitted.mu) - mu) / np.sqrt(np.diag(m))).max() < 0.05
+    assert np.abs(np.array(fitted.inv).reshape(5, 5) @ m - np.eye(5)).max() < 0.2
+    # Far rows, near to each other, move the estimate hardly, as long as they and the table's own are under a tenth.
+    bad = np.r_[x, x[: len(x) // 30] * 0.01 + 8]
+    det2, mu2, m2 = nearest(bad, 0.9)
+    assert np.abs((mu2 - mu) / np.sqrt(np.diag(m))).max() < 0.25
+
+
+def test_covariances_are_regular():
+    var = np.array([1.0, 4.0, 0.01])
+    assert np.allclose(quality.regular(np.diag(var), var), np.diag(var))
+    flat = quality.regular(np.diag([1.0, 4.0, 0.0]), var)
+    w = np.linalg.eigvalsh(flat / np.sqrt(np.outer(var, var)))
+    assert 0 < w[-1] <= quality.CONDITION * w[0]
+
+
 def test_quality_rejects_duplicate_lines_alone(spark):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]

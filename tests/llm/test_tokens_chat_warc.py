@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, token_counts, warc
+from tidemark.llm import chat, queries, token_counts, warc
 from tidemark.llm.queries import ADDED, tokenizer_path
 
 PIECES = [*" \n\t\r  ab1é'sß,.!|<>\x85\xa0日😀̈", "<|endoftext|>", " the", "'ll", "tion"]
@@ -27,7 +27,8 @@ def test_counts_and_prefixes_are_the_librarys(library):
     for _ in range(400):
         s = "".join(r.choice(PIECES) for _ in range(r.randint(0, 14)))
         assert c.count(s) == library(s), s
-        assert c.prefixes(s).tolist() == [library(s[:i]) for i in range(len(s) + 1)], s
+        want = [library(s[:i]) for i in range(len(s) + 1)]
+        assert c.prefixes(s).tolist() == want and c.table(s).tolist() == want, s
 
 
 def test_counts_of_documents(spark, library):
@@ -39,6 +40,22 @@ def test_counts_of_documents(spark, library):
     assert token_counts.token_counts(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_tables_of_documents_are_those_of_prefixes(spark):
+    c = token_counts.counter(tokenizer_path())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert all((c.table(t or "") == c.prefixes(t or "")).all() for t in texts)
+
+
+def test_budgets_of_op9(spark, library):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: r for r in queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        r = got[i]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), library(t), library(t) > 1024)
+        assert library(t[: r.chars_within]) <= 1024 and (r.chars_within == len(t)) != r.over_limit
+
+
 def test_truncation_by_stored_counts(spark, library):
     docs = spark.createDataFrame([(1, "The theory of  counting, told twice."), (2, None)], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_tokens) for r in token_counts.truncate(docs, tokenizer_path(), 4).collect()}

@@ -56,15 +56,15 @@ def myers(peq: dict[str, int], m: int, text: str, most: int) -> int:
 class Matcher:
     """Pieces, trees and masks for a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int):
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        self.items, at = items, {}
+        self.items, self.short, at = items, [len(t) < min_chars for _, t in items], {}
         self.chains: list[list[list[tuple[int, int, int]]]] = []  # by item and piece: (start, end, errors) of its nodes, upward
         self.peqs: dict[tuple[int, int, int], dict[str, int]] = {}
         for n, (_, text) in enumerate(items):
-            k = int(rate * len(text))
+            k = int(rate * len(text)) if len(text) >= min_chars else 0
             cuts = [i * len(text) // (k + 1) for i in range(k + 2)]
             chains: list[list[tuple[int, int, int]]] = [[] for _ in range(k + 1)]
             spans = [(0, k + 1)]
@@ -91,6 +91,8 @@ class Matcher:
                 if found.get(n, 1) == 0:
                     continue
                 base = end + 1 - n_chars - offset  # where the item would begin
+                if self.short[n] and (text[max(0, base - 1) : base] not in ("", " ") or text[end + 1 : end + 2] not in ("", " ")):
+                    continue
                 for a, b, e in self.chains[n][p]:
                     if (n, a, b, base) in failed:
                         break
@@ -110,13 +112,13 @@ class Matcher:
 _matchers: dict[int, Matcher] = {}
 
 
-def _search(items: list[tuple[int, str]], rate: float):
-    key = hash((tuple(items), rate))
+def _search(items: list[tuple[int | None, str]], rate: float, min_chars: int):
+    key = hash((tuple(items), rate, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _matchers:
             _matchers.clear()
-            _matchers[key] = Matcher(items, rate)
+            _matchers[key] = Matcher(items, rate, min_chars)
         m = _matchers[key]
         for b in batches:
             docs, ids, dists = [], [], []
@@ -130,12 +132,12 @@ def _search(items: list[tuple[int, str]], rate: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size: they are the query set, and come one block at a time."""
     block, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna().distinct().orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
         t = normal(r["t"])
-        if len(t) < min_chars:
+        if not t:
             continue
         block.append((r["i"], t))
         size += len(t)
@@ -150,7 +152,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: i
     """(id_col, item_id, distance): one row for each document and test item of which it has a copy, whole texts searched.
 
     A copy has at most rate * length edits, counted in characters of lower-case text with single spaces. Items of fewer
-    than min_chars characters are too short to tell a copy from chance, and aren't searched for; null items neither.
+    than min_chars characters are too short to tell an edited copy from chance: they are found where they stand
+    unchanged between white space or the ends. Null and empty items aren't searched for; an item's id may be null.
     A null text is empty and has no copies. Rows that share an id and repeated rows give one row with the least distance.
     """
     s = Sealed(docs, id_col, text_col)
@@ -158,8 +161,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: i
     kind = pairs.schema["doc"].dataType
     schema = StructType([StructField("doc", kind), StructField("item_id", LongType()), StructField("distance", IntegerType())])
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in _blocks(benchmark, item_col, item_text, min_chars):
-        out = out.unionByName(pairs.mapInArrow(_search(block, rate), schema))
+    for block in _blocks(benchmark, item_col, item_text):
+        out = out.unionByName(pairs.mapInArrow(_search(block, rate, min_chars), schema))
     return out.groupBy("doc", "item_id").agg(F.min("distance").alias("distance")).withColumnRenamed("doc", id_col)
 
 
@@ -167,18 +170,18 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_cha
     """docs without those that have a copy of a test item. Found and dropped in the same pass, without a join."""
     s = Sealed(docs, text_col)
     out, text = s.df, s.inner[text_col]
-    for block in _blocks(benchmark, item_col, item_text, min_chars):
-        out = out.mapInArrow(_filter(block, rate, out.columns.index(text)), out.schema)
+    for block in _blocks(benchmark, item_col, item_text):
+        out = out.mapInArrow(_filter(block, rate, min_chars, out.columns.index(text)), out.schema)
     return s.replace(out)
 
 
-def _filter(items: list[tuple[int, str]], rate: float, at: int):
-    key = hash((tuple(items), rate))
+def _filter(items: list[tuple[int | None, str]], rate: float, min_chars: int, at: int):
+    key = hash((tuple(items), rate, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _matchers:
             _matchers.clear()
-            _matchers[key] = Matcher(items, rate)
+            _matchers[key] = Matcher(items, rate, min_chars)
         m = _matchers[key]
         for b in batches:
             yield b.filter(pa.array([not m.hits(normal(t.as_py() or "")) for t in b.column(at)], pa.bool_()))

@@ -66,9 +66,9 @@ def _schedule(cum: np.ndarray, need: np.ndarray, length: int):
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 2048, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(sized, pieces).
 
-    sized: docs, one row per row, plus row_id, size, source_size and target, which replace columns of these names.
-    pieces: the mix. Each row is a run of words that a slot takes from one document: slot, row_id, epoch, start word
-    in the document, words.
+    sized: row_id, doc (the id), sid (the source's number), size, source_size and target, one row per row of docs.
+    pieces: the mix. Each row is a run of words that a slot takes from one document: slot, row_id, doc, h (a hash of the
+    id and the text), epoch, start word in the document, words. text_of() makes texts of them.
 
     A null text has size 0; null is a source of its own, and sorts last. Rows that are equal in all they are sized by
     are told apart by a count, so that repeated rows are each mixed. Documents without words get no pieces. An empty
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     slots = _ranked_slots(spark, rows, block)
     row_id = F.concat_ws("-", "sid", F.hex("h"), "bucket", "k")
-    pieces = cut.join(slots, ["sid", "rank"]).select("slot", row_id.alias("row_id"), F.col("id").alias("doc"), "epoch", "start", "words")
+    pieces = cut.join(slots, ["sid", "rank"]).select("slot", row_id.alias("row_id"), F.col("id").alias("doc"), "h", "epoch", "start", "words")
     sized = at.select(row_id.alias("row_id"), F.col("id").alias("doc"), "sid", F.col("size_").alias("size"), "source_size", "target")
     return sized, pieces
 
@@ -141,3 +141,16 @@ def taken(sized: DataFrame, pieces: DataFrame) -> DataFrame:
     """sized with the words that the mix takes from each document, repeats counted."""
     sums = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
     return sized.join(sums, "row_id", "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
+
+
+def text_of(docs: DataFrame, pieces: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(slot, row_id, epoch, start, text): the words of each piece with single spaces, for the docs and seed of mix().
+
+    A text is sent once for each of its pieces; rows with equal id and text are one here, their words being the same.
+    """
+    s = Sealed(docs, id_col, text_col)
+    text = F.coalesce(s[text_col], F.lit(""))
+    texts = s.df.select(F.xxhash64(F.lit(seed), s[id_col], text).alias("h"), text.alias("text_")).groupBy("h").agg(F.min("text_").alias("text_"))
+    words = F.regexp_extract_all("text_", F.lit("(" + SPACE.replace("[", "[^") + "+)"))
+    cut = F.array_join(F.slice(words, F.col("start").cast("int") + 1, F.col("words").cast("int")), " ")
+    return pieces.join(texts, "h").select("slot", "row_id", "epoch", "start", cut.alias("text"))

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sealed, store
+from .common import Scratch, Sealed
 
 TREES, DEPTH = 16, 8
 RECALL = 0.998
-#: Nodes of a bucket that is compared pair by pair; a bucket of more is crowded.
+#: Nodes of a bucket whose pairs are listed; a bucket of more is crowded, and compared by blocks.
 FEW = 6
 #: Nodes of a crowded bucket that a task compares with as many others.
 SQUARE = 512
@@ -76,12 +76,12 @@ def _sign(n: int):
 
         for b in batches:
             sizes, digs, sigs = [], [], []
-            for t in b.column(1):
+            for t in b.column("text"):
                 s = shingles(t.as_py(), n)
                 sizes.append(len(s))
                 digs.append(xxh3_128_digest(s.tobytes()))
                 sigs.append(minima(s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(digs, pa.binary()), pa.array(sigs, pa.binary())], names=["doc", "n", "dig", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc"), pa.array(sizes, pa.int32()), pa.array(digs, pa.binary()), pa.array(sigs, pa.binary())], names=["key", "doc", "n", "dig", "sig"])
 
     return run
 
@@ -98,48 +98,29 @@ def _paths(k: int):
                 for t in range(TREES):
                     keys.append(xxh3_64_intdigest(s[t * width : t * width + 4 * k], seed=t) - 2**63)
             rep = lambda c: pa.array(np.repeat(np.array(c), TREES))
-            yield pa.RecordBatch.from_arrays([pa.array(list(range(TREES)) * b.num_rows, pa.int32()), pa.array(keys, pa.int64()), rep(b.column("doc")), rep(b.column("n"))], names=["tree", "bucket", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(range(TREES)) * b.num_rows, pa.int32()), pa.array(keys, pa.int64()), rep(b.column("node")), rep(b.column("n"))], names=["tree", "bucket", "node", "n"])
 
     return run
 
 
 def _candidates(threshold: float):
-    """From sorted places to the pairs (a < b) of buckets of up to FEW nodes, and the places (tree, crowded, a) of others."""
+    """From sorted places to the pairs (a < b) of each bucket, of which a task holds one at a time: they are of FEW nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, full, out = None, [], False, ([], [], [], [])
-
-        def put(*row):
-            for c, x in zip(out, row, strict=True):
-                c.append(x)
-
-        def pairs():
-            for i, (node, n) in enumerate(held):
-                for other, m in held[:i]:
-                    if other != node and min(n, m) >= threshold * max(n, m):
-                        put(min(node, other), max(node, other), None, None)
+        last, held, found = None, [], []
 
         def batch():
-            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["a", "b", "tree", "crowded"])
-            for c in out:
-                c.clear()
-            return made
+            a, b = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for tree, key, node, n in zip(*(b.column(c).to_pylist() for c in ("tree", "bucket", "node", "n")), strict=True):
+            for key, node, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "node", "n")), strict=True):
                 if key != last:
-                    pairs()
-                    last, held, full = key, [], False
-                if not full and len(held) < FEW:
-                    held.append((node, n))
-                    continue
-                for other, _ in held:
-                    put(other, None, tree, key)
-                put(node, None, tree, key)
-                held, full = [], True
+                    last, held = key, []
+                found += [(min(node, x), max(node, x)) for x, m in held if x != node and min(n, m) >= threshold * max(n, m)]
+                held.append((node, n))
             yield batch()
-        pairs()
-        yield batch()
 
     return run
 
@@ -183,25 +164,26 @@ def components(links: DataFrame) -> DataFrame:
     Each round points every node to its neighbour of least hash, or itself, merges along the pointers and keeps the
     links between different nodes. The hash differs by round, so chains shrink by a share of their length each time.
     """
-    edges = store(links.select("a", "b").where("a != b").distinct(), "links")
-    labels, turn = None, 0
-    while not edges.isEmpty():
-        mark = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), c.alias("to"))
-        both = edges.select(F.col("a").alias("node"), mark(F.col("b")).alias("m")).union(edges.select(F.col("b").alias("node"), mark(F.col("a")).alias("m")))
-        point = both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("m", mark(F.col("node")))["to"].alias("to"))
-        point = store(point, "pointers")
-        hop = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        point = store(point.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "pointers")
-        if labels is None:
-            labels = point.select("node", F.col("to").alias("label"))
-        else:
-            moved = point.select(F.col("node").alias("label"), "to")
-            labels = store(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        pa_, pb_ = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        merged = edges.join(pa_, "a").join(pb_, "b").where("x != y")
-        edges = store(merged.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
-        turn += 1
-    return labels if labels is not None else links.sparkSession.createDataFrame([], "node long, label long")
+    with Scratch(links.sparkSession, "components") as scratch:
+        edges, turn = scratch.store(links.select("a", "b").where("a != b").distinct(), "links"), 0
+        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+        while not edges.isEmpty():
+            mark = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("h"), c.alias("to"))
+            both = edges.select(F.col("a").alias("node"), mark(F.col("b")).alias("m")).union(edges.select(F.col("b").alias("node"), mark(F.col("a")).alias("m")))
+            point = both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("m", mark(F.col("node")))["to"].alias("to"))
+            point = scratch.store(point, f"pointers-{turn}")
+            hop = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            point = scratch.store(point.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to")), f"hops-{turn}")
+            if turn:
+                moved = point.select(F.col("node").alias("label"), "to")
+                labels = scratch.store(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"labels-{turn}")
+            else:
+                labels = point.select("node", F.col("to").alias("label"))
+            pa_, pb_ = point.select(F.col("node").alias("a"), F.col("to").alias("x")), point.select(F.col("node").alias("b"), F.col("to").alias("y"))
+            merged = edges.join(pa_, "a").join(pb_, "b").where("x != y")
+            edges = scratch.store(merged.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"links-{turn}")
+            turn += 1
+        return scratch.keep(labels, "labels")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,57 +195,65 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str
     with the square of a group, makes no rows.
 
     Words go by white space. A null text is empty; texts without words have the same empty set, and are one class. Rows
-    that share an id are one document. Rows with a null id have null class_id and 0 links. An empty table gives none.
+    that share an id are in one class, whatever their texts, and each counts the links of its own text. Rows with a null
+    id have null class_id and 0 links. An empty table gives none.
     """
     s = Sealed(docs, id_col, text_col)
     text = F.coalesce(s[text_col], F.lit("")).cast("binary")
     given = s.df.select(s[id_col].cast("long").alias("doc"), text.alias("text"))
-    texts = given.where("doc IS NOT NULL")
+    texts = given.where("doc IS NOT NULL").withColumn("key", F.xxhash64("doc", "text"))
     k = shortest_prefix(threshold)
-    signed = store(texts.mapInArrow(_sign(words), "doc long, n int, dig binary, sig binary"), "signatures")
-    sets = store(signed.groupBy("dig").agg(F.min("doc").alias("node"), F.count("*").alias("copies")), "shingle-sets")
-    mine = sets.select(F.col("dig").alias("d2"), "node")
-    nodes = signed.join(mine, (signed["dig"] == mine["d2"]) & (signed["doc"] == mine["node"])).where("n > 0").select("doc", "n", "sig")
-    forest = nodes.mapInArrow(_paths(k), "tree int, bucket long, node long, n int")
-    order = forest.repartition("bucket").sortWithinPartitions("bucket", "node")
-    found = store(order.mapInArrow(_candidates(threshold), "a long, b long, tree int, crowded long"), "candidates")
-    first = store(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    links = store(verify(texts, first, words, threshold), "links").distinct()
-    count = sets.groupBy("node").agg(F.sum("copies").alias("copies"))
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("x")).select("x.*")
-    linked = ends.join(count.withColumnRenamed("node", "to"), "to").select("node", F.col("copies").alias("linked"))
-
-    places = found.where("crowded IS NOT NULL").select("tree", F.col("crowded").alias("bucket"), F.col("a").alias("node"))
-    if not places.isEmpty():
-        more = store(_crowded(texts, signed, count, places, words, threshold, k), "links")
-        links = links.union(more.where("b IS NOT NULL").select("a", "b"))
-        linked = linked.union(more.where("linked IS NOT NULL").select("a", "linked"))
-    labels = components(links)
-    linked = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
-    least = labels.groupBy("label").agg(F.min("node").alias("class_id"))
-    named = labels.join(least, "label").select("node", "class_id")
-    known = sets.join(named, "node", "left").join(linked, "node", "left")
-    known = store(known.select("dig", F.coalesce("class_id", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "classes")
-    out = signed.select("doc", "dig").join(known, "dig").select(F.col("doc").alias(id_col), "class_id", "n_links")
-    unnamed = given.where("doc IS NULL").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(unnamed)
-
-
-def _crowded(texts: DataFrame, signed: DataFrame, count: DataFrame, places: DataFrame, n: int, threshold: float, k: int) -> DataFrame:
+    with Scratch(docs.sparkSession, "near") as scratch:
+        signed = scratch.store(texts.mapInArrow(_sign(words), "key long, doc long, n int, dig binary, sig binary"), "signatures")
+        # A node is a shingle set, under the key of a row that has it.
+        made = signed.groupBy("dig").agg(F.min(F.struct("doc", "key")).alias("of"), F.count_distinct("doc").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+        sets = scratch.store(made.select("dig", F.col("of.key").alias("node"), F.col("of.doc").alias("doc"), "copies", "n", "sig"), "sets")
+        forest = scratch.store(sets.where("n > 0").mapInArrow(_paths(k), "tree int, bucket long, node long, n int"), "forest")
+        sizes = forest.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # A bucket may be of any size: this is a join that Spark may split, and nothing holds a bucket but the small ones.
+        places = scratch.store(forest.join(sizes, "bucket"), "places")
+        scratch.drop("forest")
+        few = places.where(F.col("size") <= FEW).repartition("bucket").sortWithinPartitions("bucket", "node")
+        pairs = scratch.store(few.mapInArrow(_candidates(threshold), "a long, b long").distinct(), "pairs")
+        whole = texts.select(F.col("key").alias("doc"), "text")
+        links = scratch.store(verify(whole, pairs, words, threshold), "links").distinct()
+        count = sets.select("node", "copies")
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))).alias("x")).select("x.*")
+        linked = ends.join(count.withColumnRenamed("node", "to"), "to").select("node", F.col("copies").alias("linked"))
+
+        crowd = places.where(F.col("size") > FEW)
+        if not crowd.isEmpty():
+            more = scratch.store(_crowded(whole, sets, crowd, words, threshold, k), "crowded-links")
+            links = links.union(more.where("b IS NOT NULL").select("a", "b"))
+            linked = linked.union(more.where("linked IS NOT NULL").select("a", "linked"))
+        # Different texts of one document are one class.
+        owned = signed.select("doc", "dig").join(sets.select("dig", "node"), "dig").select("doc", "node")
+        several = owned.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a < top").select("doc", "a")
+        links = links.union(owned.join(several, "doc").select("a", F.col("node").alias("b")))
+        labels = components(links)
+        linked = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
+        least = labels.join(sets.select("node", "doc"), "node").groupBy("label").agg(F.min("doc").alias("class_id"))
+        named = labels.join(least, "label").select("node", "class_id")
+        known = sets.select("dig", "node", "doc", "copies").join(named, "node", "left").join(linked, "node", "left")
+        known = known.select("dig", F.coalesce("class_id", "doc").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        out = signed.select("doc", "dig").join(known, "dig").select(F.col("doc").alias(id_col), "class_id", "n_links")
+        unnamed = given.where("doc IS NULL").select(F.col("doc").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        return scratch.keep(out.unionByName(unnamed), "classes")
+
+
+def _crowded(texts: DataFrame, sets: DataFrame, places: DataFrame, n: int, threshold: float, k: int) -> DataFrame:
     """The links in the given buckets, as sums of copies by node (a, linked) and as those (a, b) that connect a unit's nodes.
 
     A bucket's nodes are dealt into blocks of about SQUARE, and each pair of blocks is a unit of work: a node is sent to
     as many units as the bucket has blocks.
     """
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / SQUARE).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    units = places.join(sizes, "bucket").withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    units = places.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     units = units.select("tree", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "mine")
     nodes = places.groupBy("node").agg(F.bit_or(F.expr("1 << tree")).alias("trees")).hint("merge")  # grows with the corpus
-    sigs = signed.join(nodes, signed["doc"] == nodes["node"]).groupBy("doc", "trees").agg(F.min("sig").alias("sig"))
     with_text = texts.join(nodes, texts["doc"] == nodes["node"], "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    known = sigs.join(with_text, "doc").withColumnRenamed("doc", "node").join(count, "node")
+    known = sets.select("node", "sig", "copies").join(nodes, "node").join(with_text.withColumnRenamed("doc", "node"), "node")
     rows = units.join(known, "node").select("bucket", "i", "j", "tree", "mine", "node", "copies", "trees", "sig", "text")
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "mine", "node").mapInArrow(_square(n, threshold, k), "a long, b long, linked long")
 

@@ -1,8 +1,9 @@
 """Quality rules by robust multivariate outliers.
 
 Each document has a vector of transformed statistics. For each language and source, minimum-covariance-determinant
-estimates of its centre and spread are found by concentration steps: distances of all rows, the nearest share of them,
-and the moments of those, each as one Spark aggregation. A document too far by Mahalanobis distance is rejected.
+estimates of its centre and spread are found by concentration steps from several starts: distances of all rows, the
+nearest share of them, and the moments of those, each as one Spark aggregation. The start that leads to the least
+determinant holds. A document too far by Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
@@ -13,20 +14,22 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Sealed, store
+from .common import Scratch, Sealed, store
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
-#: The vector's parts, each with the least standard deviation that it is given. Most documents have no duplicate line and
-#: no repeated words, so these floors are the tolerance for those that have: over two thirds of duplicate lines alone
-#: reject a document of a clean group, while repeated words within base_failed()'s bound only add to the distance.
-PARTS = {"x0": 0.12, "x1": 0.55, "x2": 0.75, "x3": 1.1, "x4": 0.55}
+#: The vector's parts.
+PARTS = ("x0", "x1", "x2", "x3", "x4")
 P = len(PARTS)
+#: The largest condition number that a correlation matrix may have, and the shares of the unit matrix tried to get there.
+CONDITION, SHARES = 100.0, (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+#: Concentration steps after which the best start is chosen, and steps at most.
+TRIAL, STEPS = 2, 12
 _SYMBOLS, _SPACES = np.array([ord(c) for c in SYMBOLS]), np.array([9, 10, 11, 12, 13, 32])
 
 
@@ -84,15 +87,16 @@ def measure(docs: DataFrame, text_col: str = "text", keep_text: bool = True) ->
 
 
 def vector() -> dict[str, Column]:
-    """The parts, from COUNTS. Ratios are per hundred, on a log scale."""
+    """The parts, from COUNTS. Ratios are logs of counts with something added, so that a text without any has one too: it
+    says the less the shorter the text is, and no part is nearly the same for all."""
     c = {n: F.col(n).cast("double") for n in COUNTS}
-    per = lambda a, b: F.log1p(100 * a / F.greatest(b, F.lit(1.0)))
+    ratio = lambda a, b, more: F.log((a + more) / (b + more))
     return {
-        "x0": F.log(F.greatest(c["word_chars"], F.lit(1.0)) / F.greatest(c["n_words"], F.lit(1.0))),
-        "x1": per(c["n_symbols"], c["n_words"]),
-        "x2": per(c["n_dup_lines"], c["n_lines"]),
-        "x3": per(c["n_repeat_words"], c["n_words"]),
-        "x4": per(c["n_upper"], c["word_chars"]),
+        "x0": F.log((c["word_chars"] + 50) / (c["n_words"] + 10)),  # ten more words of five letters
+        "x1": ratio(c["n_symbols"], c["n_words"], 1),
+        "x2": ratio(c["n_dup_lines"], c["n_lines"], 1),
+        "x3": ratio(c["n_repeat_words"], c["n_words"], 5),  # a repeat has five words at least
+        "x4": ratio(c["n_upper"], c["word_chars"], 1),
     }
 
 
@@ -116,54 +120,102 @@ def _distance() -> Column:
     return out
 
 
-_FIT = "lang_ string, source_ string, level int, n long, mu array<double>, inv array<double>"
+_FIT = "lang_ string, source_ string, level int, start int, n long, mu array<double>, inv array<double>, var array<double>, det double"
 
 
-def _solve(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From the moments of each group to its centre and inverse covariance."""
-    floor = np.diag(np.array(list(PARTS.values())) ** 2)
+def regular(cov: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """cov itself if its condition number, in units of the overall variances, is at most CONDITION; else the mean of cov
+    and those variances with the least of SHARES that gets it there."""
+    sd = np.sqrt(np.maximum(var, 1e-12))
+    k = cov / np.outer(sd, sd)
+    for share in SHARES:
+        m = (1 - share) * k + share * np.eye(len(sd))
+        w = np.linalg.eigvalsh(m)
+        if w[0] > 0 and w[-1] <= CONDITION * w[0]:
+            break
+    return m * np.outer(sd, sd)
+
+
+def _solved(cov: np.ndarray, var: np.ndarray, scale: float) -> tuple[list[float], float]:
+    """(the inverse by rows, the log of the determinant) of a covariance."""
+    m = regular(cov, var) * scale
+    return np.linalg.inv(m).ravel().tolist(), float(np.linalg.slogdet(m)[1])
+
+
+def _moments(r: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    m = np.array([r[f"m{i}"] for i in range(P)])
+    return m, np.array([[r[f"c{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)]) - np.outer(m, m)
+
+
+def _begin(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From each group's quantiles and moments to its starts: the median with the quartiles' spread, with the whole
+    covariance, and with the whole variances."""
+    for b in rows:
+        out = []
+        for _, r in b.iterrows():
+            _, cov = _moments(r)
+            var = np.maximum(np.diag(cov), 1e-12)
+            mu = [float(r[f"q{i}"][1]) for i in range(P)]
+            wide = np.array([(r[f"q{i}"][2] - r[f"q{i}"][0]) / 1.349 for i in range(P)]) ** 2
+            for start, c in enumerate((np.diag(np.where(wide > 0, wide, var)), cov, np.diag(var))):
+                out.append((r["lang_"], r["source_"], r["level"], start, r["n"], mu, *_solved(c, var, 1.0)[:1], var.tolist(), np.inf))
+        yield pd.DataFrame(out, columns=["lang_", "source_", "level", "start", "n", "mu", "inv", "var", "det"])
+
+
+def _concentrate(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the moments of each group's nearest rows to its centre, inverse covariance and determinant."""
     for b in rows:
-        mus, invs = [], []
+        out = []
         for _, r in b.iterrows():
-            m = np.array([r[f"m{i}"] for i in range(P)])
-            c = np.array([[r[f"c{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)]) - np.outer(m, m)
-            mus.append(m.tolist())
-            invs.append(np.linalg.inv(c * r["scale"] + floor).ravel().tolist())
-        yield pd.DataFrame({"lang_": b["lang_"], "source_": b["source_"], "level": b["level"], "n": b["n"], "mu": mus, "inv": invs})
+            m, cov = _moments(r)
+            inv, det = _solved(cov, np.array(r["var"]), r["scale"])
+            out.append((r["lang_"], r["source_"], r["level"], r["start"], r["n"], m.tolist(), inv, list(r["var"]), det))
+        yield pd.DataFrame(out, columns=["lang_", "source_", "level", "start", "n", "mu", "inv", "var", "det"])
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["lang_"].eqNullSafe(b["lang_"]) & a["source_"].eqNullSafe(b["source_"]) & (a["level"] == b["level"])
 
 
-def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 3, least: int = 100) -> DataFrame:
-    """Estimates (lang_, source_, level, n, mu, inv): level 0 by language and source, 1 by language, 2 over all.
+def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.9, least: int = 100) -> DataFrame:
+    """Estimates (lang_, source_, level, start, n, mu, inv, var, det): level 0 by language and source, 1 by language, 2
+    over all.
 
-    Only rows that pass base_failed() are used. Groups under `least` rows get no estimate; judge() then takes the next
-    level. Quantiles are Spark's mergeable ones, so no group is gathered in one place. Each part's variance has a floor,
-    so that a part which is nearly always the same neither makes the covariance singular nor rejects all that differ.
+    Only rows that pass base_failed() are used. Concentration steps go from three starts; after TRIAL of them the one of
+    least determinant goes on, until no group's determinant falls any more (STEPS at most). A covariance too near to a
+    singular one is drawn to the group's variances as far as that takes (regular()). Groups under `least` rows get no
+    estimate; judge() then takes the next level. Quantiles are Spark's mergeable ones, so no group is gathered in one
+    place.
     """
     v = vector()
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
     levels = F.explode(F.array(*[F.struct((lang if k < 2 else F.lit(None).cast("string")).alias("lang_"), (source if k < 1 else F.lit(None).cast("string")).alias("source_"), F.lit(k).alias("level")) for k in range(3)]))
-    x = measured.where(~base_failed()).select(levels.alias("g"), *[c.alias(n) for n, c in v.items()]).select("g.*", *PARTS)
-    x = store(x, "quality-vectors")
     by = ["lang_", "source_", "level"]
-    start = x.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(n, 0.5, 2000).alias(f"m{i}") for i, n in enumerate(PARTS)]).where(F.col("n") >= least)
-    floors = list(PARTS.values())
-    flat = F.array(*[F.lit(1 / floors[i] ** 2 / 4 if i == j else 0.0) for i in range(P) for j in range(P)])
-    est = store(start.select(*by, "n", F.array(*[f"m{i}" for i in range(P)]).alias("mu"), flat.alias("inv")), "quality-fit")
-    for _ in range(steps):
-        d = x.join(est, _same(x, est)).select(*[x[c] for c in by], *PARTS, est["n"], _distance().alias("d"))
-        near = store(d.groupBy(*by).agg(F.percentile_approx("d", share, 2000).alias("cut"), F.percentile_approx("d", 0.5, 2000).alias("mid")), "quality-cut")
-        inner = d.join(near, _same(d, near) & (d["d"] <= near["cut"])).select(*[d[c] for c in by], "n", *PARTS)
-        moments = [F.avg(n).alias(f"m{i}") for i, n in enumerate(PARTS)]
-        cross = [F.avg(F.col(a) * F.col(b)).alias(f"c{i}{j}") for i, a in enumerate(PARTS) for j, b in enumerate(PARTS) if i <= j]
-        sums = inner.groupBy(*by).agg(F.first("n").alias("n"), *moments, *cross)
-        # The covariance of the inner share is too small by this factor for normal data.
-        sums = sums.withColumn("scale", F.lit(share / _inner_mass(share)))
-        est = store(sums.mapInPandas(_solve, _FIT), "quality-fit")
-    return est
+    moments = [F.avg(n).alias(f"m{i}") for i, n in enumerate(PARTS)]
+    moments += [F.avg(F.col(a) * F.col(b)).alias(f"c{i}{j}") for i, a in enumerate(PARTS) for j, b in enumerate(PARTS) if i <= j]
+    with Scratch(measured.sparkSession, "quality") as scratch:
+        x = measured.where(~base_failed()).select(levels.alias("g"), *[c.alias(n) for n, c in v.items()]).select("g.*", *PARTS)
+        x = scratch.store(x, "vectors")
+        quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, n in enumerate(PARTS)]
+        first = x.groupBy(*by).agg(F.count("*").alias("n"), *quartiles, *moments).where(F.col("n") >= least)
+        est = scratch.store(first.mapInPandas(_begin, _FIT), "fit-0")
+        for step in range(1, STEPS + 1):
+            d = x.join(est, _same(x, est)).select(*[x[c] for c in by], "start", *PARTS, "n", "var", "det", _distance().alias("d"))
+            near = scratch.store(d.groupBy(*by, "start").agg(F.percentile_approx("d", share, 2000).alias("cut")), f"cut-{step}")
+            inner = d.join(near, _same(d, near) & (d["start"] == near["start"]) & (d["d"] <= near["cut"])).select(*[d[c] for c in by], d["start"], "n", "var", "det", *PARTS)
+            # The covariance of the inner share is too small by this factor for normal data.
+            sums = inner.groupBy(*by, "start").agg(F.first("n").alias("n"), F.first("var").alias("var"), *moments).withColumn("scale", F.lit(share / _inner_mass(share)))
+            new = sums.mapInPandas(_concentrate, _FIT)
+            if step == TRIAL:
+                best = F.row_number().over(Window.partitionBy(*by).orderBy("det", "start"))
+                new = new.withColumn("rank_", best).where("rank_ = 1").drop("rank_")
+            new = scratch.store(new, f"fit-{step}")
+            if step > TRIAL:
+                change = est.select(*by, "det").unionByName(new.select(*by, (-F.col("det")).alias("det"))).groupBy(*by).agg(F.sum("det").alias("fell"))
+                if (change.agg(F.max("fell")).first()[0] or 0.0) < 1e-3:
+                    break
+            est = new
+        return scratch.keep(est, "fit")
 
 
 def _inner_mass(share: float) -> float:
@@ -173,7 +225,7 @@ def _inner_mass(share: float) -> float:
     return NormalDist().cdf(((q / k) ** (1 / 3) - (1 - 2 / (9 * k))) / (2 / (9 * k)) ** 0.5)
 
 
-def judge(measured: DataFrame, fitted: DataFrame, lang_col: str = "lang", source_col: str = "source", tail: float = 1e-5) -> DataFrame:
+def judge(measured: DataFrame, fitted: DataFrame, lang_col: str = "lang", source_col: str = "source", tail: float = 1e-12) -> DataFrame:
     """measured plus base_failed, distance (squared; null where no group is large enough) and kept, which replace columns of these names.
 
     kept: the base rules hold, and the distance is under the 1 - tail quantile of chi square. A document whose groups

@@ -86,8 +86,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    counted = token_counts.token_counts(docs, tokenizer_path(), keep_text=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counted = token_counts.token_counts(docs, tokenizer_path(), keep_text=False, budget=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", F.col("over_budget").alias("over_limit"), "chars_within")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import Sealed
 
@@ -60,6 +60,7 @@ class Counter:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.tokens: dict[bytes, int] = {}
         self.chunks: dict[str, int] = {}
+        self.rows: dict[str, bytes] = {}
 
     def merged(self, b: bytes) -> list[bytes]:
         """b merged by rank, the lowest first and from the left; for the short strings of two tokens."""
@@ -190,6 +191,31 @@ class Counter:
                 p += len(t)
         return out
 
+    def table(self, s: str) -> np.ndarray:
+        """prefixes(s), put together from the tables of its words where no run of white space crosses them."""
+        if not s or _FAR.search(s) or _RUN.search(s) or (self.added and self.added.search(s)):
+            return self.prefixes(s)
+        known, head, *rest = self.rows, *s.split(" ")
+        rows = [self.prefixes(head).astype(np.uint8).tobytes()] if len(head) <= 64 else None
+        for piece in rest:
+            if rows is None:
+                break
+            row = known.get(piece)
+            if row is None:
+                if len(piece) > 64:
+                    rows = None  # counts of a word are held as bytes
+                    break
+                if len(known) >= MEMO:
+                    known.clear()
+                row = known[piece] = self.prefixes(" " + piece)[1:].astype(np.uint8).tobytes()
+            rows.append(row)
+        if rows is None:
+            return self.prefixes(s)
+        flat = np.frombuffer(b"".join(rows), np.uint8)
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        n = flat[np.cumsum(size) - 1].astype(np.int32)
+        return flat + np.repeat(np.cumsum(n, dtype=np.int32) - n, size)
+
     def _tail(self, s: str, out: np.ndarray, end: int) -> int:
         """The count of s[:end], from the last place before it that no longer pre-token can cross."""
         a = max(0, end - 1)
@@ -203,8 +229,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str | None = None, text_col: str = "text", keep_text: bool = True, prefixes: bool = False) -> DataFrame:
-    """docs plus n_tokens (long) and, if asked for, prefix_tokens (array<int>, one more than the text has characters).
+def token_counts(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool = True, prefixes: bool = False, budget: int | None = None) -> DataFrame:
+    """docs plus n_tokens (long) and, if asked for, prefix_tokens (array<int>, one more than the text has characters), or
+    for a budget of tokens chars_within (the length of the longest prefix within it) and over_budget.
 
     Counts are those of the tokenizers library for the vocabulary at path, which is a path on every executor: without
     begin, end or added tokens; the strings of added tokens inside a text are one token. A null text counts as empty,
@@ -217,14 +244,24 @@ def token_counts(docs: DataFrame, path: str, id_col: str | None = None, text_col
         df = df.drop(text)
     carried = [f for f in df.schema.fields if f.name != "text__"]
     new = [StructField("n__", LongType())] + [StructField("p__", ArrayType(IntegerType()))] * prefixes
+    new += [StructField("w__", LongType()), StructField("o__", BooleanType())] * (budget is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
             texts = b.column("text__")
-            if prefixes:
-                rows = [c.prefixes(x.as_py()) for x in texts]
-                cols = [pa.array([int(r[-1]) for r in rows], pa.int64()), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))]
+            if prefixes or budget is not None:
+                n, stored, within, over = [], [], [], []
+                for x in texts:
+                    t = c.table(x.as_py())
+                    n.append(int(t[-1]))
+                    if prefixes:
+                        stored.append(t.astype(np.int32))
+                    if budget is not None:
+                        within.append(longest_within(t, budget))
+                        over.append(within[-1] < len(t) - 1)
+                cols = [pa.array(n, pa.int64())] + [pa.array(stored, pa.list_(pa.int32()))] * prefixes
+                cols += [pa.array(within, pa.int64()), pa.array(over, pa.bool_())] * (budget is not None)
             else:
                 cols = [pa.array([c.count(x.as_py()) for x in texts], pa.int64())]
             kept = [b.column(f.name) for f in carried]
@@ -232,6 +269,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str | None = None, text_col
 
     out = df.mapInArrow(run, StructType(carried + new))
     made = {"n_tokens": F.col("n__")} | ({"prefix_tokens": F.col("p__")} if prefixes else {})
+    made |= {"chars_within": F.col("w__"), "over_budget": F.col("o__")} if budget is not None else {}
     old = [F.col(s.inner[n]).alias(n) for n in s.names if n not in made and (keep_text or n != text_col)]
     return out.select(*old, *[c.alias(n) for n, c in made.items()])
 

@@ -144,7 +144,7 @@ def _filesystem(path: str):
 def _write(folder: str):
     def save(fs, base: str, members: list[tuple[str, bytes]], lines: list[str]) -> None:
         members = [*members, (INDEX, "".join(lines).encode())]
-        # Written under a name of this attempt and then moved, so that a task that runs twice leaves one whole file.
+        # Moved when whole: what has the name of an archive is one.
         mine = f"{base}.{uuid.uuid4().hex}.tmp"
         with fs.open_output_stream(mine) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
             for name, data in members:
@@ -156,7 +156,8 @@ def _write(folder: str):
 
         fs, root = _filesystem(folder)
         fs.create_dir(root)
-        part, n, made = TaskContext.get().partitionId(), 0, []
+        # Attempts of a task may get their rows in another order, so each has archives of its own; the manifest says whose count.
+        part, attempt, n, made = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0, []
         members, lines, buf, total = [], [], io.BytesIO(), 0
 
         def roll():
@@ -170,7 +171,7 @@ def _write(folder: str):
             nonlocal members, lines, total, n
             roll()
             if members:
-                name = f"part-{part:06d}-{n:05d}.zip"
+                name = f"part-{part:06d}-{attempt}-{n:05d}.zip"
                 save(fs, f"{root}/{name}", members, lines)
                 made.append((f"{folder}/{name}", len(lines)))
                 members, lines, total, n = [], [], 0, n + 1
