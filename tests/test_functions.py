@@ -88,7 +88,9 @@ def test_page_lines():
 def test_robots():
     t = "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: bot\nDisallow: /*.pdf$\nAllow: /x\nDisallow: /x"
     assert [robots.allowed(t, "z", p) for p in ("/a/c", "/a/b", "/q")] == [False, True, True]
-    assert [robots.allowed(t, "bot", p) for p in ("/f.pdf", "/f.pdfx", "/a", "/x")] == [False, True, True, True]
+    assert [robots.allowed(t, "bot", p) for p in ("/f.pdf", "/f.pdfx", "/a", "/x")] == [False, True, True, False]
+    tie = "User-agent: *\nDisallow: /a*\nAllow: /ab"
+    assert robots.allowed(tie, "z", "/abc")  # different patterns of one length: allow
     assert robots.allowed(None, "bot", "/")
 
 
@@ -101,6 +103,7 @@ def test_feeds(spark):
     import gzip
 
     site = gzip.compress(b'<urlset xmlns="http://s"><url><loc>http://x</loc><lastmod>2024</lastmod></url><url/></urlset>')
+    assert feeds.sitemap_entries(spark.createDataFrame([("s", site[:-12]), ("t", site[:20] + b"xx" + site[22:])], "k string, b binary"), "k", "b").count() == 0
     assert list(map(tuple, feeds.sitemap_entries(spark.createDataFrame([("s", site)], "k string, b binary"), "k", "b").collect())) == [("s", "http://x", "2024", False)]
 
 

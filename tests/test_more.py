@@ -16,6 +16,11 @@ def test_displayed_counts_and_ages(spark):
     texts = ["1.2万", "3k+", "532", "1,204", "2.5M", "n/a", None]
     got = [r.b and tuple(r.b) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(displayed.count_bounds("t").alias("b")).collect()]
     assert got == [(12000, 11500, 12999), (3000, 3000, None), (532, 532, 532), (1204, 1204, 1204), (2500000, 2450000, 2599999), None, None]
+    texts = ["10w+", "3.05亿", "1.5k", "1,234", "1.23456k", "12,34", "1.2", "1e3", "1,234万"]
+    got = [r.b and tuple(r.b) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(displayed.count_bounds("t").alias("b")).collect()]
+    assert got == [(100000, 100000, None), (305000000, 304500000, 305999999), (1500, 1450, 1599), (1234, 1234, 1234), None, None, None, None, None]
+    near = spark.range(1).select(displayed.age_window(F.lit("3分钟前"), F.lit(10_000)).alias("a"), displayed.age_window(F.lit("2 小时前"), F.lit(100_000)).alias("b")).first()
+    assert (tuple(near.a), tuple(near.b)) == ((9760, 9850), (89200, 94600))
     ages = ["3 hours ago", "2d", "soon"]
     got = [r.b and tuple(r.b) for r in spark.createDataFrame(list(enumerate(ages)), "i int, t string").orderBy("i").select(displayed.age_window("t", F.lit(1_000_000)).alias("b")).collect()]
     assert got == [(1_000_000 - 4 * 3600, 1_000_000 - 3 * 3600), (1_000_000 - 3 * 86400, 1_000_000 - 2 * 86400), None]
@@ -135,3 +140,62 @@ def test_hosts(spark):
     assert got == {"a.b.com": "b.com", "com": None, "x.co.uk": "x.co.uk", "co.uk": None, "a.b.ck": "a.b.ck", "b.ck": None, "www.ck": "www.ck", "shop.www.ck": "www.ck", "1.2.3.4": None, "a..com": None, "deep.site.unknown": "site.unknown", "Host.COM.": "host.com"}
     ips = spark.createDataFrame([("8.8.8.8",), ("10.0.0.1",), ("::1",), ("x",), (None,)], "ip string")
     assert [r[0] for r in ips.select(hosts.is_public_address("ip")).collect()] == [True, False, False, None, None]
+
+
+def test_price_statistics(spark):
+    from tidemark.operators import prices
+
+    day = 86400
+    w = [("a", 1000, 0, 30 * day), ("a", 900, 30 * day, 31 * day), ("a", 1200, 31 * day, 32 * day), ("b", 1000, 0, 100), ("b", 1200, 200, 300), ("c", 1000, 0, 100), ("c", 1100, 50, 100), ("d", 5, 7, 7), ("e", 5, 7, 9)]
+    windows = spark.createDataFrame(w, "k string, value long, valid_at long, last_observed_at long")
+    money = spark.createDataFrame([("e", "JPY"), ("e", "USD"), ("a", "JPY")], "k string, currency string")
+    got = {r.k: r for r in prices.observed_prices(windows, ["k"], money).collect()}
+    a = got["a"]
+    assert (a.state, a.low, a.p25, a.median, a.p75, a.high, a.share_below_latest_bps, a.unobserved_seconds) == ("DERIVED", 900, 1000, 1000, 1000, 1200, 9687, 0)
+    assert (got["b"].observed_seconds, got["b"].unobserved_seconds) == (200, 100)
+    assert [(got[k].state, got[k].reason, got[k].low) for k in "cde"] == [("CONFLICT", "OVERLAPPING_PRICE_WINDOWS", None), ("INSUFFICIENT_DURATION", None, None), ("CONFLICT", "MORE_THAN_ONE_CURRENCY", None)]
+    s = [("x", 0, 1000), ("x", 10 * day, None), ("x", 20 * day, 800)]
+    x = prices.price_history(spark.createDataFrame(s, "k string, t long, v long"), ["k"], "t", "v", F.lit(30 * day)).first()
+    assert (x.unavailable_share, x.low, x.high, x.discounts, x.trend_bps, x.latest) == (pytest.approx(1 / 3), 800, 1000, 1, None, 800) and x.trend_status.startswith("INSUFFICIENT")
+    s = [("y", 0, 1000), ("y", 90 * day, 1100)]
+    y = prices.price_history(spark.createDataFrame(s, "k string, t long, v long"), ["k"], "t", "v", F.lit(180 * day)).first()
+    assert (y.trend_bps, y.discounts, y.cv_bps, y.trend_status) == (1000, 0, 476, "DERIVED")
+    assert prices.price_history(spark.createDataFrame([], "k string, t long, v long"), ["k"], "t", "v", F.lit(1)).count() == 0
+
+
+def test_long_reply_chains_and_cycles(spark):
+    from tidemark.operators.graph import depths
+
+    rows = [(str(i), str(i - 1) if i else None) for i in range(30)] + [("a", "b"), ("b", "a"), ("z", "gone")]
+    got = {r.id: (r.root, r.depth) for r in depths(spark.createDataFrame(rows, "id string, parent string"), "id", "parent").collect()}
+    assert got == {str(i): ("0", i) for i in range(30)} | {"z": ("z", 0)}
+
+
+def test_text_rules(spark):
+    from tidemark.functions import text
+
+    row = spark.range(1).select(
+        *[text.informative(F.lit(t)).alias(f"i{k}") for k, t in enumerate(("2024", "a1b2c3", "640x480", "です", "the", "matcha"))],
+        text.script_words(F.lit("抹茶のスーパーカップ")).alias("s"),
+        text.bracketed_spans(F.lit("「Big  Cup」と『x』と【!!】")).alias("b"),
+        text.name_holds(F.lit("Goat Milk 1l"), "oat milk").alias("n1"),
+        text.name_holds(F.lit("Best OAT-milk"), "oat milk").alias("n2"),
+        text.name_holds(F.lit("宇治 抹茶 ラテ"), "抹茶ラテ").alias("n3"),
+    ).first()
+    assert list(row)[:6] == [False, False, False, False, False, True]
+    assert (row.s, row.b, row.n1, row.n2, row.n3) == (["抹茶", "スーパーカップ"], ["big cup"], False, True, True)
+
+
+def test_date_modifiers(spark):
+    from tidemark.functions import dialect as d
+
+    day = lambda t, *m: F.date_format(d.modify(F.lit(t).cast("timestamp_ntz"), *m), "yyyy-MM-dd HH:mm")
+    row = spark.range(1).select(day("2024-01-31", "+1 month").alias("a"), day("2024-01-31", "+1 month", "floor").alias("b"), day("2024-01-31", "+1 month", "ceiling").alias("c"), day("2024-02-29 23:00:00", "+02:30").alias("e")).first()
+    assert tuple(row) == ("2024-03-02 00:00", "2024-02-29 00:00", "2024-03-02 00:00", "2024-03-01 01:30")
+    with pytest.raises(ValueError):
+        d.strftime("%J", "x")
+    doc = F.lit('{"t": "true", "b": true}')
+    row = spark.range(1).select(d.json_extract(doc, "$.t").alias("t"), d.json_extract(doc, "$.b").alias("b"), d.json_extract(F.lit(None).cast("string"), "$.b").alias("n")).first()
+    assert tuple(row) == ("true", "1", None)
+    with pytest.raises(Exception, match="malformed"):
+        spark.range(1).select(d.json_extract(F.lit("{oops"), "$.a")).collect()

@@ -121,17 +121,25 @@ def type_name(x) -> Column:
 
 
 def json_extract(doc, path: str) -> Column:
-    """A value at a path; booleans are 1 and 0; a missing one is null; negative indexes '[#-n]' count from the end."""
+    """A value at a path; booleans are 1 and 0; a missing one is null; negative indexes '[#-n]' count from the end.
+
+    A malformed document is an error, and so is a path that doesn't begin with '$'.
+    """
     import re
 
-    x = _c(doc)
+    if not path.startswith("$"):
+        raise ValueError(f"not a path: {path}")
+    x = F.when(_c(doc).isNotNull() & F.try_parse_json(_c(doc)).isNull(), F.raise_error(F.lit("malformed JSON")).cast("string")).otherwise(_c(doc))
     for part in re.split(r"(\[#-\d+\])", path.removeprefix("$")):
         if m := re.fullmatch(r"\[#-(\d+)\]", part):
             items = F.from_json(x, "array<string>")
             x = F.when(F.size(items) >= int(m[1]), F.element_at(items, -int(m[1])))
         elif part:
             x = F.get_json_object(x, "$" + part)
-    return F.when(x == "true", "1").when(x == "false", "0").otherwise(x)
+    if "[#" in path:
+        return F.when(x == "true", "1").when(x == "false", "0").otherwise(x)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(_c(doc)), path, "variant"))
+    return F.when((kind == "BOOLEAN") & (x == "true"), "1").when((kind == "BOOLEAN") & (x == "false"), "0").otherwise(x)
 
 
 def julian_day(ts) -> Column:
@@ -168,13 +176,14 @@ def strftime(fmt: str, ts) -> Column:
             "k": F.lpad(F.hour(ts).cast("string"), 2, " "),
             "l": F.lpad(((F.hour(ts) + 11) % 12 + 1).cast("string"), 2, " "),
             "P": F.lower(F.date_format(ts, "a")),
-            "J": julian_day(ts).cast("string"),
             "V": F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
             "G": F.extract(F.lit("YEAROFWEEK"), ts).cast("string"),
             "g": F.lpad((F.extract(F.lit("YEAROFWEEK"), ts) % 100).cast("string"), 2, "0"),
             "U": F.lpad(F.floor((F.dayofyear(ts) + 6 - day) / 7).cast("string"), 2, "0"),
             "W": F.lpad(F.floor((F.dayofyear(ts) + 6 - (day + 6) % 7) / 7).cast("string"), 2, "0"),
         }
+        if f == "J":
+            raise ValueError("%J isn't in the dialect")
         if f in FORMATS:
             parts.append(F.date_format(ts, FORMATS[f]))
         elif f in special:
@@ -185,13 +194,20 @@ def strftime(fmt: str, ts) -> Column:
 
 
 def modify(ts, *modifiers: str) -> Column:
-    """Date modifiers in order: '+3 days', '-1 month', 'start of month', 'weekday 1'. Months that are too short run over."""
+    """Date modifiers in order: '+3 days', '-1 month', 'start of month', 'weekday 1', '+02:30'. Months that are too short
+    run over ('ceiling', the default), or end on their last day before 'floor'."""
     import re
 
     ts = _c(ts).cast("timestamp_ntz")
-    for m in modifiers:
-        m = m.strip().lower()
-        if m.startswith("start of "):
+    every = [m.strip().lower() for m in modifiers]
+    for k, m in enumerate(every):
+        if m in ("floor", "ceiling"):
+            if not k or not re.fullmatch(r"[+-]?\d+ ?(month|year)s?", every[k - 1]):
+                raise ValueError(f"{m} follows a step of months or years")
+        elif x := re.fullmatch(r"([+-])(\d\d):(\d\d)(?::(\d\d))?", m):
+            seconds = (int(x[2]) * 60 + int(x[3])) * 60 + int(x[4] or 0)
+            ts = ts + F.make_dt_interval(secs=F.lit(-seconds if x[1] == "-" else seconds).cast("decimal(18,6)"))
+        elif m.startswith("start of "):
             ts = F.date_trunc(m.removeprefix("start of "), ts).cast("timestamp_ntz")
         elif x := re.fullmatch(r"weekday ([0-6])", m):
             gap = (int(x[1]) - (F.dayofweek(ts) - 1) + 7) % 7
@@ -201,6 +217,9 @@ def modify(ts, *modifiers: str) -> Column:
             ts = ts + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
         elif x := re.fullmatch(r"([+-]?\d+) ?(month|year)s?", m):
             months = int(x[1]) * (12 if x[2] == "year" else 1)
+            if every[k + 1 : k + 2] == ["floor"]:
+                ts = ts + F.make_ym_interval(months=F.lit(months))
+                continue
             first = F.date_trunc("month", ts).cast("timestamp_ntz") + F.make_ym_interval(months=F.lit(months))
             ts = first + (ts - F.date_trunc("month", ts).cast("timestamp_ntz"))
         else:

@@ -5,38 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Multipliers of suffixes.
-SUFFIXES = {"k": 10**3, "m": 10**6, "b": 10**9, "千": 10**3, "万": 10**4, "萬": 10**4, "億": 10**8, "亿": 10**8}
+#: Multipliers of suffixes, as written.
+SUFFIXES = {"万": 10**4, "萬": 10**4, "w": 10**4, "W": 10**4, "亿": 10**8, "億": 10**8, "千": 10**3, "k": 10**3, "K": 10**3, "M": 10**6, "B": 10**9}
+#: Seconds of units before 前, and of English units before "ago".
+BEFORE = {"秒钟": 1, "秒": 1, "分钟": 60, "分鐘": 60, "分": 60, "个小时": 3600, "個小時": 3600, "小时": 3600, "小時": 3600, "天": 86400, "日": 86400, "周": 604800, "週": 604800, "星期": 604800}
+UNIT_SECONDS = {"s": 1, "sec": 1, "second": 1, "m": 60, "min": 60, "minute": 60, "h": 3600, "hr": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800}
+
+
+def _c(x) -> Column:
+    return x if isinstance(x, Column) else F.col(x)
+
+
+def _lookup(key: Column, values: dict[str, int]) -> Column:
+    out = F.lit(None).cast("long")
+    for k, v in values.items():
+        out = F.when(key == k, F.lit(v).cast("long")).otherwise(out)
+    return out
 
 
 def count_bounds(text) -> Column:
     """struct(nominal, lower, upper) of a displayed count; null for anything else. A '+' has no upper bound.
 
-    The last shown digit is uncertain: half a step below, and up to a step less one above.
+    The last shown digit is uncertain: half a step below, and up to a step less one above. Thousands may be grouped
+    where there is no suffix; a number may have as many decimals as its suffix has zeros.
     """
-    x = F.lower(F.regexp_replace(text if isinstance(text, Column) else F.col(text), r"[,\s]", ""))
-    shape = r"^([0-9]+)(?:\.([0-9]+))?([kmb千万萬億亿]?)(\+?)$"
-    whole, part, suffix, plus = (F.regexp_extract(x, shape, i) for i in range(1, 5))
-    times = F.lit(1)
-    for s, m in SUFFIXES.items():
-        times = F.when(suffix == s, F.lit(m)).otherwise(times)
-    step = times / F.pow(F.lit(10.0), F.length(part))
-    nominal = F.round(F.concat(whole, F.lit("."), F.when(part == "", "0").otherwise(part)).cast("double") * times).cast("long")
-    exact = (step <= 1) & (plus == "")
-    lower = F.when(plus == "+", nominal).when(exact, nominal).otherwise(F.floor(nominal - step / 2))
-    upper = F.when(plus == "+", F.lit(None).cast("long")).when(exact, nominal).otherwise((nominal + step - 1).cast("long"))
-    return F.when(x.rlike(shape), F.struct(nominal.alias("nominal"), lower.cast("long").alias("lower"), upper.alias("upper")))
-
-
-UNIT_SECONDS = {"s": 1, "sec": 1, "second": 1, "m": 60, "min": 60, "minute": 60, "h": 3600, "hr": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800}
+    x = F.btrim(_c(text))
+    plus = x.endswith("+")
+    body = F.when(plus, F.rtrim(x.substr(F.lit(1), F.char_length(x) - 1))).otherwise(x)
+    scaled = rf"^([0-9]+)(?:\.([0-9]+))?\s*({'|'.join(SUFFIXES)})$"
+    bare = r"^([0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)$"
+    whole = F.coalesce(F.nullif(F.regexp_extract(body, scaled, 1), F.lit("")), F.nullif(F.regexp_replace(F.regexp_extract(body, bare, 1), ",", ""), F.lit(""))).try_cast("long")
+    part = F.regexp_extract(body, scaled, 2)
+    times = F.coalesce(_lookup(F.regexp_extract(body, scaled, 3), SUFFIXES), F.lit(1).cast("long"))
+    scale = F.pow(F.lit(10.0), F.length(part)).cast("long")
+    step = F.when(times % scale == 0, F.expr("1") * (times / scale).cast("long"))
+    nominal = F.try_add(F.try_multiply(whole, times), F.coalesce(part.try_cast("long"), F.lit(0).cast("long")) * step)
+    lower = F.when(plus, nominal).otherwise(nominal - F.floor(step / 2).cast("long"))
+    upper = F.when(~plus, F.try_add(nominal, step - 1))
+    return F.when(whole.isNotNull() & step.isNotNull() & nominal.isNotNull(), F.struct(nominal.alias("nominal"), F.greatest(lower, F.lit(0).cast("long")).alias("lower"), upper.alias("upper")))
 
 
 def age_window(text, captured: Column) -> Column:
-    """struct(earliest, latest) in seconds of a relative age ("3 hours ago") seen at captured; null for anything else."""
-    x = F.lower(F.btrim(text if isinstance(text, Column) else F.col(text)))
-    shape = r"^([0-9]+)\s*([a-z]+?)s?(?:\s+ago)?$"
-    n, unit = F.regexp_extract(x, shape, 1).try_cast("long"), F.regexp_extract(x, shape, 2)
-    seconds = F.lit(None).cast("long")
-    for u, s in UNIT_SECONDS.items():
-        seconds = F.when(unit == u, F.lit(s)).otherwise(seconds)
-    return F.when(x.rlike(shape) & seconds.isNotNull(), F.struct((captured - (n + 1) * seconds).alias("earliest"), (captured - n * seconds).alias("latest")))
+    """struct(earliest, latest) in seconds of a relative age ("3分钟前", "3 hours ago") seen at captured; null for anything else.
+
+    An age before 前 may be rounded up by half a unit; an English one is rounded down.
+    """
+    x = F.btrim(_c(text))
+    cjk = rf"^([0-9]+)\s*({'|'.join(BEFORE)})\s*前$"
+    n, seconds = F.regexp_extract(x, cjk, 1).try_cast("long"), _lookup(F.regexp_extract(x, cjk, 2), BEFORE)
+    english = r"^([0-9]+)\s*([a-z]+?)s?(?:\s+ago)?$"
+    m, unit = F.regexp_extract(F.lower(x), english, 1).try_cast("long"), _lookup(F.regexp_extract(F.lower(x), english, 2), UNIT_SECONDS)
+    span = lambda early, late: F.struct(F.greatest(F.lit(0), early).cast("long").alias("earliest"), F.greatest(F.lit(0), late).cast("long").alias("latest"))
+    return F.when(seconds.isNotNull(), span(captured - (n + 1) * seconds, captured - n * seconds + F.floor(seconds / 2))).when(unit.isNotNull(), span(captured - (m + 1) * unit, captured - m * unit))

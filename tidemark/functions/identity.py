@@ -49,8 +49,8 @@ def minor_units(value, currency) -> Column:
 
 
 def canonical_url(url, tracking: tuple[str, ...] = (), sort_query: bool = False) -> Column:
-    """http(s) without credentials; no fragment, scheme and host in lower case, default ports dropped, escapes in upper
-    case, tracking parameters left out and the query sorted if asked. Null for anything else."""
+    """http(s) without credentials; no fragment, scheme and host in lower case, default ports dropped, escapes as they
+    are, tracking parameters left out and the query sorted if asked. Null for anything else."""
     u = F.regexp_replace(F.btrim(_c(url)), "#.*$", "")
     parts = r"^([A-Za-z]+)://([^/?]+)([^?]*)(?:\?(.*))?$"
     scheme, host, path, q = (F.regexp_extract(u, parts, i) for i in range(1, 5))

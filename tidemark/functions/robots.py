@@ -1,4 +1,4 @@
-"""robots.txt rules: the group of an agent, the longest matching pattern, allow on a tie."""
+"""robots.txt rules: the group of an agent and the longest matching pattern; allow on a tie of different patterns."""
 
 from __future__ import annotations
 
@@ -35,14 +35,17 @@ def _matches(pattern: str, path: str) -> bool:
 
 
 def allowed(text: str | None, agent: str, path: str) -> bool:
-    """Rules of all groups that name the agent, else those for '*'; no rule allows."""
+    """Rules of all groups that name the agent, else those for '*'; no rule allows. A pattern that is both allowed and
+    disallowed contradicts itself, and refuses."""
     every = groups(text or "")
     name = agent.lower()
     own = [r for a, rs in every if name in a for r in rs]
     if not any(name in a for a, _ in every):
         own = [r for a, rs in every if "*" in a for r in rs]
-    hits = [(len(p), ok) for ok, p in own if _matches(p, path)]
-    return max(hits)[1] if hits else True
+    hits = [(p, ok) for ok, p in own if _matches(p, path)]
+    longest = max((len(p) for p, _ in hits), default=0)
+    yes, no = ({p for p, ok in hits if ok == said and len(p) == longest} for said in (True, False))
+    return not hits or bool(yes) and not yes & no
 
 
 @F.pandas_udf(BooleanType())

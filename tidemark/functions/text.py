@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Scripts without spaces between words, and words that are no index terms.
@@ -97,3 +97,45 @@ def entropy(x) -> Column:
     n = F.size(chars).cast("double")
     each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
     return F.aggregate(each, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+
+def document_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(term, df): in how many texts each index term occurs.
+
+    Words are exploded and then filtered, so that nothing is sorted or made distinct within a row; only texts with CJK
+    scripts take the second way. An id with several rows counts once.
+    """
+    t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spaced = t.select("id", F.explode(words("text")).alias("term")).where((F.char_length("term") > 2) & ~F.col("term").isin(*STOP))
+    pairs = t.where(F.col("text").rlike(rf"[{CJK}]")).select("id", F.explode(cjk_bigrams("text")).alias("term"))
+    return spaced.union(pairs).distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+def informative(term: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Whether a term can say something: no number, hash, image size, hiragana run or stop word."""
+    t = _c(term)
+    hash_ = (F.octet_length(t) >= 6) & t.rlike("^[0-9A-Fa-f]+$") & t.rlike("[0-9]")
+    return ~(t.rlike("^[0-9]+$") | hash_ | t.rlike("^[0-9]+x[0-9]+$") | t.rlike(r"^[\x{3040}-\x{309F}]+$") | t.isin(*STOP, *stop))
+
+
+def script_words(run: Column) -> Column:
+    """Runs of one script of two characters and more, without those of hiragana, which are mostly particles."""
+    return F.regexp_extract_all(_c(run), F.lit(r"[\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]{2,}|[\x{3005}\x{3007}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}]{2,}|[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}]{2,}"), F.lit(0))
+
+
+def bracketed_spans(x) -> Column:
+    """Distinct texts within 「」, 『』 or 【】 of 2 to 30 characters with a letter or digit, folded, spaces collapsed."""
+    spans = F.concat(*[F.regexp_extract_all(_c(x), F.lit(f"{a}([^{b}]*){b}"), F.lit(1)) for a, b in ("「」", "『』", "【】")])
+    neat = F.transform(spans, lambda s: F.btrim(F.regexp_replace(folded(s), r"\s+", " ")))
+    return F.array_distinct(F.filter(neat, lambda s: F.char_length(s).between(2, 30) & s.rlike(r"[\p{L}\p{N}]")))
+
+
+def name_holds(name, query: str) -> Column:
+    """Whether a name has the words of a query as words, in order; a query with CJK scripts as written, spaces aside."""
+    import re
+
+    if re.search(r"[\u3005\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]", query):
+        return F.contains(F.regexp_replace(F.lower(_c(name)), r"\s+", ""), F.lit("".join(query.split()).lower()))
+    asked = "".join(c if c.isalnum() else " " for c in query.lower()).split()
+    held = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(_c(name)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.contains(held, F.lit(f" {' '.join(asked)} ")) if asked else F.lit(False)

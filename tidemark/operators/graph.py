@@ -26,16 +26,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def depths(nodes: DataFrame, id_col: str, parent_col: str, most: int) -> DataFrame:
-    """Reply trees: each node with its root and depth, up to most levels below a root (a node without a known parent)."""
-    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    known = n.select(F.col("id").alias("parent"))
-    level = n.join(known, "parent", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    level = level.unionByName(n.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))).distinct()
-    out = level = store(level, "tree")
-    for d in range(1, most + 1):
-        level = store(n.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(d).alias("depth")), "tree")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def depths(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(id, root, depth) of reply trees of any depth; a root is a node without a known parent. Nodes on a cycle have none.
+
+    Each round a node takes over what its farthest known ancestor knows, so rounds grow with the log of the depth.
+    """
+    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).distinct()
+    known = n.select(F.col("id").alias("parent"), F.col("id").alias("up"))
+    state = n.join(known, "parent", "left").select("id", "up", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("int").alias("depth"))
+    state, open_ = store(state, "tree"), -1
+    while (left := state.where("up IS NOT NULL").count()) not in (0, open_):
+        open_ = left
+        far = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        state = store(state.join(far, "up", "left").select("id", F.col("next").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "tree")
+    return state.where("up IS NULL").select("id", "root", "depth")

@@ -19,21 +19,21 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def running_total(df: DataFrame, value: str, key: str, name: str, buckets: int = 256) -> DataFrame:
+def running_total(df: DataFrame, value: str, key: str, name: str, buckets: int = 256, ties: tuple[str, ...] = ()) -> DataFrame:
     """A running sum over the whole table by descending numeric key, in two levels.
 
     Rows are dealt into stretches of the key at its quantiles; only one number per stretch is summed in one place.
-    Rows of equal keys take part in the order in which they stand. Null keys come last.
+    Rows of equal keys come in the order of ties. Null keys come last.
     """
     cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)]).alias("q")).first()["q"] or []
     at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c > F.col(key))) if cuts else F.lit(0)
     parts = df.withColumn("part_", F.when(F.col(key).isNull(), buckets).otherwise(at))
     sums = parts.groupBy("part_").agg(F.sum(value).alias("s"))
     before = sums.select("part_", F.coalesce(F.sum("s").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.sum(value).over(Window.partitionBy("part_").orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
+    inner = F.sum(value).over(Window.partitionBy("part_").orderBy(F.desc(key), *ties).rowsBetween(Window.unboundedPreceding, 0))
     return parts.withColumn(name, inner).join(before, "part_").withColumn(name, F.col(name) + F.col("base")).drop("part_", "base")
 
 
-def evicted(df: DataFrame, size: str, key: str, limit: int) -> DataFrame:
-    """The rows that don't fit in limit when those of the greatest key are kept first."""
-    return running_total(df, size, key, "run_").where(F.col("run_") > limit).drop("run_")
+def evicted(df: DataFrame, size: str, key: str, limit: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that don't fit in limit when those of the greatest key are kept first, and of equal ones those of the least ties."""
+    return running_total(df, size, key, "run_", ties=ties).where(F.col("run_") > limit).drop("run_")

@@ -83,3 +83,71 @@ def snapshots(counts: DataFrame, key: list[str], at: str, n: str) -> DataFrame:
     v = v.withColumn("acceleration", (F.col("velocity") - F.lag("velocity").over(w)) / hours)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return v.withColumn("persistence", F.avg((F.col(n) > 0).cast("int")).over(before))
+
+
+def shares_vs_prior(now: DataFrame, before: DataFrame, label: str) -> DataFrame:
+    """(label, count, share, versus_prior): each label's share of the rows, and whether its 95 % interval lies apart from
+    that of the rows before. Labels that only the rows before have are left out."""
+    sides = now.select(F.col(label), F.lit(1).alias("new")).unionByName(before.select(F.col(label), F.lit(0).alias("new")))
+    by = sides.groupBy(label).agg(F.sum("new").alias("k"), F.sum(1 - F.col("new")).alias("b"))
+    every = by.agg(F.sum("k").alias("kn"), F.sum("b").alias("bn"))  # one row
+    g = by.crossJoin(F.broadcast(every)).where("k > 0")
+    lo, hi = wilson(F.col("k"), F.col("kn"))
+    low, high = wilson(F.col("b"), F.col("bn"))
+    state = F.when(lo.isNull() | low.isNull(), None).when(lo > high, "HIGHER").when(hi < low, "LOWER").otherwise("NOT_SEPARATED")
+    return g.select(label, F.col("k").alias("count"), (F.col("k") / F.col("kn")).alias("share"), state.alias("versus_prior"))
+
+
+def net_sentiment(positive: Column, negative: Column, labelled: Column) -> Column:
+    """The share of positive rows less that of negative ones; null for fewer than three labelled."""
+    return F.when(labelled >= 3, (positive - negative) / labelled)
+
+
+def daily_growth(days: DataFrame, key: list[str], day: str, n: str) -> DataFrame:
+    """(key, before, after, state) of the last three days (key, day, n) against the three before them, by the exact test.
+
+    Only complete days belong in days; six that follow each other are needed.
+    """
+    r = days.withColumn("k_", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(day)))).where("k_ <= 6")
+    sums = [F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).cast("long").alias(a) for c, a in ((F.col("k_") > 3, "before"), (F.col("k_") <= 3, "after"))]
+    g = r.groupBy(*key).agg(*sums, ((F.count("*") == 6) & (F.datediff(F.max(day), F.min(day)) == 5)).alias("whole_"))
+    three = F.lit(3 * 86_400)
+    state = F.when(F.col("whole_"), rate_state(F.col("before"), three, F.col("after"), three)).otherwise("INSUFFICIENT_COMPLETE_DAYS")
+    return g.select(*key, "before", "after", state.alias("state"))
+
+
+def recurrence(rows: DataFrame, entity: str, platform: str, least: int = 2) -> DataFrame:
+    """(entity, platforms, n): entities seen on at least `least` platforms, of which there are few."""
+    g = rows.select(entity, platform).distinct().groupBy(entity).agg(F.array_join(F.array_sort(F.collect_list(platform)), ",").alias("platforms"), F.count("*").alias("n"))
+    return g.where(F.col("n") >= least)
+
+
+def evidence_grade(sources: DataFrame, key: list[str], state: str) -> DataFrame:
+    """(key, grade): complete if all sources are, interrupted if the network broke off any of them, else partial."""
+    s = F.col(state)
+    grade = F.when(F.bool_and(F.coalesce(s == "COMPLETE_BY_SOURCE", F.lit(False))), "COMPLETE_BY_SOURCE").when(F.bool_or(s == "NETWORK_INTERRUPTED"), "INTERRUPTED").otherwise("PARTIAL")
+    return sources.groupBy(*key).agg(grade.alias("grade"))
+
+
+def decay(age: Column, half_life: Column) -> Column:
+    """2 to the power of -age / half_life; null without a half-life."""
+    return F.when(half_life > 0, F.pow(F.lit(2.0), -age / half_life))
+
+
+# Seconds of the narrowest slice, and the most slices of a window.
+LEAST_SLICE, MOST_SLICES = 3_600, 31
+
+
+def fitted_width(start: Column, end: Column, width: Column, affordable: Column) -> Column:
+    """The narrowest width, at least the one asked for, whose slices cover the window in as many as are affordable."""
+    slots = F.least(F.greatest(affordable, F.lit(1)), F.lit(MOST_SLICES))
+    return F.greatest(width, F.lit(LEAST_SLICE), F.ceil(F.greatest(end - start, F.lit(0)) / slots)).cast("long")
+
+
+def slices(start: Column, end: Column, width: Column) -> Column:
+    """array of struct(since, until), each (since, until], newest first; the oldest may be shorter. At most MOST_SLICES:
+    what is older is never planned."""
+    w = F.greatest(width, F.lit(LEAST_SLICE)).cast("long")
+    n = F.least(F.ceil((end - start) / w), F.lit(MOST_SLICES)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.greatest(start, end - (i + 1) * w).alias("since"), (end - i * w).alias("until")))
+    return F.when(n > 0, cut).otherwise(F.slice(F.array(F.struct(start.alias("since"), end.alias("until"))), 1, 0))

@@ -35,7 +35,13 @@ def cache_hit_ratio(spark, sf_dir):
 @query("list_paging", "SELECT user_id, list_slice(list_sort(list(event_id)), 3, 5) AS page, count(*) AS total FROM events GROUP BY 1")
 def list_paging(spark, sf_dir):
     """Part of a list, by offset and limit, and how long it is."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list("event_id")), 3, 3).alias("page"), F.count("*").alias("total"))
+    from pyspark.sql import Window
+
+    # Only the page's rows are collected, however long the list.
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    ranked = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 5")
+    page = ranked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("k") >= 3, F.col("event_id")))).alias("page"))
+    return page.join(e.groupBy("user_id").agg(F.count("*").alias("total")), "user_id")
 
 
 @query("lead_merge", "SELECT p_type AS lead, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS brands, count(*) AS n FROM part GROUP BY 1")

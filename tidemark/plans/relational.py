@@ -215,4 +215,4 @@ def cache_eviction(spark, sf_dir):
     from tidemark.operators.ranking import evicted
 
     p = table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"))
-    return evicted(p, "bytes", "page_id", 200_000).select("page_id", "bytes")
+    return evicted(p, "bytes", "page_id", 200_000, ties=("bytes",)).select("page_id", "bytes")

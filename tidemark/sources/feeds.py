@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame
 
 ITEM = "key string, title string, link string, published string, summary string"
 PLACE = "key string, loc string, lastmod string, is_index boolean"
-#: The deepest tree and the most entries of a sitemap.
-DEEPEST, MOST_ENTRIES = 64, 50_000
+#: The deepest tree, and the most bytes that a packed document may have.
+DEEPEST, MOST_BYTES = 64, 50 << 20
 
 
 def _parse(raw: bytes) -> ElementTree.Element | None:
-    """The root; none for a document with a DTD, one that is too deep, or one that isn't well formed."""
+    """The root; none for a document with a DTD, one that is too deep, too large when unpacked, damaged, or not well formed."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+        packed = zlib.decompressobj(31)
+        try:
+            raw = packed.decompress(raw, MOST_BYTES)
+        except zlib.error:
+            return None
+        if not packed.eof:
+            return None
     if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
         return None
     try:
@@ -57,7 +63,7 @@ def places(raw: bytes) -> list[tuple]:
     if root is None or _name(root.tag) not in ("urlset", "sitemapindex"):
         return []
     out = [(_child(n, "loc"), _child(n, "lastmod"), _name(root.tag) == "sitemapindex") for n in root if _name(n.tag) in ("url", "sitemap")]
-    return [x for x in out if x[0]][:MOST_ENTRIES]
+    return [x for x in out if x[0]]
 
 
 def _rows(read, width: int, kinds: list):

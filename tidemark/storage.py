@@ -11,9 +11,13 @@ _own: dict[str, str] = {}
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """df, written under spark.checkpoint.dir (or a temporary folder where that is unset) and read again."""
+    """df, written under spark.checkpoint.dir and read again. Where that is unset a temporary folder does, on a local master only."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
     path = f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
