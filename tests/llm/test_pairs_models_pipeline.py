@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import decontam, lm, near_dup, queries, toxicity
+from tidemark.llm.common import store
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -331,7 +332,7 @@ def test_pipeline_stages(spark):
     assert names == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "mixing"]
     frames = [docs]
     for _, f in corpus_pipeline.STAGES:
-        frames.append(near_dup.store(f(spark, frames[-1], FOLDER), "stage"))
+        frames.append(store(f(spark, frames[-1], FOLDER), "stage"))
     assert all(f.columns == docs.columns and f.dtypes == docs.dtypes for f in frames[1:-1])
     ids = [{r.doc_id for r in f.select("doc_id").collect()} for f in frames]
     assert ids[0] > ids[1] == ids[2] > ids[3] >= ids[4] == ids[5]
