@@ -226,7 +226,11 @@ def test_label_model_learns_rates_and_ties(spark):
     rows = [(bytes(np.packbits(x)), float(t) if i < 400 else None) for i, (x, t) in enumerate(zip(v, y, strict=True))]
     m = toxicity.fit_labels(spark.createDataFrame(rows, "votes binary, y double"))
     assert abs(m.prior - 0.2) < 0.08 and abs(m.rates[1, 2] - 0.6) < 0.12 and m.rates[0, 2] < 0.08
-    assert m.discount[0] < 0.7 * m.discount[5]
+    # Two that always agree are tied, so the second adds next to nothing; an independent one adds its own evidence.
+    assert m.parent[1] == 0 or m.parent[0] == 1
+    alone = lambda *on: m.posterior(np.isin(np.arange(toxicity.VOTERS), on)[None].astype(float))[0]
+    odds = lambda p: np.log(p / (1 - p))
+    assert abs(odds(alone(0, 1, 2)) - odds(alone(2)) - np.log(0.7 / 0.02 * 0.98 / 0.3)) < 1
 
 
 def test_lm_base_and_counts(spark):

@@ -1,33 +1,43 @@
 """Toxicity by weak supervision.
 
-Many lexicon and pattern voters vote on every document. A generative label model estimates how often each votes on
-either class, and how the votes hang together within a class, by expectation maximisation over all documents; a linear
-classifier is then trained on its posterior labels, and scores texts from their words alone.
+Many lexicon and pattern voters vote on every document. A generative label model estimates, by expectation maximisation
+over all documents, how often each votes on either class and which voters hang together: within a class the votes form a
+tree, in which a voter's rate depends on the vote of the one above it. A linear classifier is then trained on the model's
+posterior labels, and scores texts from their words alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sealed, store
+from .common import Scratch, Sealed
 
 #: Common insults, each a lexicon voter's entry.
 INSULTS = (
     "arse bastard bitch clown coward creep crap disgusting dumb dumbass filth fool freak garbage idiot ignorant imbecile "
     "jerk liar loser maggot moron pathetic pig retard rotten scum shit shut slut stupid trash twat ugly useless vermin whore worthless"
 ).split()
-#: Rows of each class that lexicons are learned from, and that the classifier is trained on, at most.
+#: The same of other languages, a voter for each language.
+OTHER_INSULTS = {
+    "de": "arsch arschloch depp dreck dummkopf fotze hure hurensohn idiotin schlampe schwachkopf schwein scheisse scheiße trottel wichser".split(),
+    "es": "asqueroso basura cabron cabrón estupido estúpido gilipollas idiota imbecil imbécil inutil inútil mierda payaso perra puta zorra".split(),
+    "fr": "abruti batard bâtard conard connard connasse cretin crétin debile débile encule enculé merde ordure pute salaud salope".split(),
+}
+#: Rows of each class that the classifier is trained on, at most.
 SAMPLE = 6_000
-#: Voters with learned lexicons; hash buckets of features; features that the classifier has at most.
-LEXICONS, BUCKETS, FEATURES = 24, 1 << 20, 8_192
-#: Words whose features a worker remembers.
+#: A posterior beyond which, or beyond whose complement, a document may train the classifier.
+SURE = 0.9
+#: Voters with learned lexicons; words of all of them, and features that the classifier has, at most.
+LEXICONS, LEXICON_WORDS, FEATURES = 24, 1_536, 8_192
+#: Words that a worker remembers.
 MEMO = 400_000
 
 PATTERNS = (
@@ -36,117 +46,227 @@ PATTERNS = (
     ("shouts", re.compile(r"(?:\b[A-Z]{4,}\b\W+){3}")),
     ("accuses", re.compile(r"\b(?:you|u|ur|your)(?:'?re| are| is)? (?:\w+ )?(?:" + "|".join(INSULTS) + r")\b", re.I)),
 )
-FIXED = 3
+SPLIT = 3  # voters that the first list is dealt to
+FIXED = SPLIT + len(OTHER_INSULTS)
 VOTERS = FIXED + LEXICONS + len(PATTERNS)
+#: A row's three sets of votes: of the whole lexicon, and as it would be without the row itself, if clean or if toxic.
+VIEWS = ("votes_any", "votes_clean", "votes_toxic")
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_…«»¿¡"
-_memo: dict[str, tuple[int, ...]] = {}
 
 
-def features(word: str) -> tuple[int, ...]:
-    """Buckets of a lower-case word and of its first four and five letters."""
-    f = _memo.get(word)
-    if f is None:
-        from xxhash import xxh3_64_intdigest as digest
+class _Memo(dict):
+    """What make says of a word, remembered."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str):
+        if len(self) > MEMO:
+            self.clear()
+        self[word] = got = self.make(word)
+        return got
+
+
+def _hashed(word: str) -> tuple[int, ...]:
+    from xxhash import xxh3_64_intdigest as digest
+
+    w = word.strip(_EDGES)
+    parts = [w] if len(w) > 1 else []
+    parts += [f"{w[:n]}~" for n in (4, 5) if len(w) > n]
+    return tuple(digest(p) >> 1 for p in parts)
 
-        if len(_memo) > MEMO:
-            _memo.clear()
-        w = word.strip(_EDGES)
-        parts = [w] if len(w) > 1 else []
-        parts += [f"{w[:n]}~" for n in (4, 5) if len(w) > n]
-        f = _memo[word] = tuple(digest(p) % BUCKETS for p in parts)
-    return f
+
+_memo = _Memo(_hashed)
+
+
+def features(word: str) -> tuple[int, ...]:
+    """63-bit hashes of a lower-case word and of its first four and five letters."""
+    return _memo[word]
 
 
 def document_features(text: str) -> np.ndarray:
-    return np.unique(np.fromiter((f for w in set(text.lower().split()) for f in features(w)), np.int32))
+    return np.unique(np.fromiter((f for w in set(text.lower().split()) for f in features(w)), np.int64))
+
 
+def fixed_words() -> dict[int, tuple[int, int]]:
+    """Hash of an insult -> one of the FIXED voters, in every view."""
+    every = (1 << len(VIEWS)) - 1
+    lists = [(i % SPLIT, w) for i, w in enumerate(INSULTS)] + [(SPLIT + i, w) for i, ws in enumerate(OTHER_INSULTS.values()) for w in ws]
+    return {features(w)[0]: (voter, every) for voter, w in reversed(lists)}
 
-def fixed_buckets() -> dict[int, int]:
-    """Bucket of an insult -> one of the FIXED voters."""
-    return {features(w)[0]: i % FIXED for i, w in enumerate(INSULTS)}
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fs, p = [document_features(t or "") for t in b.column("text").to_pylist()], b.column("p").to_numpy(zero_copy_only=False)
+        flat = np.concatenate([*fs, np.full(len(fs), -1, np.int64)])
+        share = np.r_[np.repeat(p, [len(f) for f in fs]), p]
+        f, at = np.unique(flat, return_inverse=True)
+        toxic, clean = np.bincount(at, share, len(f)), np.bincount(at, 1 - share, len(f))
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic), pa.array(clean)], names=["f", "toxic", "clean"])
 
-def mine(x: list[np.ndarray], y: np.ndarray, least: int = 3) -> dict[int, int]:
-    """Feature -> learned lexicon voter: features that toxic rows have and others hardly ever, dealt out by strength."""
-    if not len(y) or y.min() == y.max():
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(f, toxic, clean): rows (text, p) with a feature, by class, p being the share that is toxic. Feature -1 is every row's."""
+    made = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("p").cast("double").alias("p")).mapInArrow(_counting, "f long, toxic double, clean double")
+    return made.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _totals(counts: DataFrame) -> tuple[float, float]:
+    r = counts.where("f = -1").first()
+    return (r["toxic"], r["clean"]) if r else (0.0, 0.0)
+
+
+def mine(counts: DataFrame, least: float = 24) -> dict[int, tuple[int, int]]:
+    """Feature -> its learned lexicon voter and the views in which it is in the lexicon.
+
+    A lexicon has the features that toxic rows have ten times as often as others, with a log likelihood ratio of least so
+    that few of a large vocabulary are there by chance; the LEXICON_WORDS with the largest. A row's own label must not speak for it twice, so a feature counts in a labelled row's votes only if it would
+    be in the lexicon without that row.
+    """
+    n1, n0 = _totals(counts)
+    if n1 < 2 or n0 < 2:
         return {}
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    df1 = np.bincount(np.concatenate([v for v, t in zip(x, y, strict=True) if t]), minlength=BUCKETS)
-    df0 = np.bincount(np.concatenate([v for v, t in zip(x, y, strict=True) if not t]), minlength=BUCKETS)
-    r1, r0 = (df1 + 0.1) / (n1 + 1), (df0 + 0.5) / (n0 + 1)
-    strong = np.flatnonzero((df1 >= least) & (r1 > 10 * r0))
-    strong = strong[np.argsort(-(np.log(r1 / r0) * df1)[strong], kind="stable")][: 64 * LEXICONS]
-    return {int(f): i % LEXICONS for i, f in enumerate(strong)}
 
+    def strong(own1: int, own0: int) -> tuple[Column, Column]:
+        a, b = F.col("toxic") - own1, F.greatest(F.col("clean") - own0, F.lit(0.0))
+        m1, m0 = n1 - own1, n0 - own0
+        ratio = ((a + 0.1) / (m1 + 1)) / ((b + 0.5) / (m0 + 1))
+        likelier = lambda x, m: F.when(x > 0, x * F.log(x * (m1 + m0) / ((a + b) * m))).otherwise(0.0)
+        g = 2 * (likelier(a, m1) + likelier(b, m0))
+        return (ratio > 10) & (g > least), g
+
+    views = [strong(0, 0), strong(0, 1), strong(1, 0)]
+    best = counts.where("f >= 0").where(views[1][0]).orderBy(F.desc(views[1][1]), "f").limit(LEXICON_WORDS)
+    rows = best.select("f", *[v[0].alias(n) for n, v in zip(VIEWS, views, strict=True)]).collect()
+    return {r["f"]: (FIXED + r["f"] % LEXICONS, sum(bool(r[n]) << i for i, n in enumerate(VIEWS))) for r in rows}
+
+
+def _word_votes(lexicon: dict[int, tuple[int, int]]) -> _Memo:
+    """Word -> its votes as bits, VOTERS of them for each view."""
 
-def votes(text: str, lexicon: dict[int, int]) -> list[bool]:
-    out = [False] * VOTERS
+    def make(word: str) -> int:
+        bits = 0
+        for voter, views in filter(None, map(lexicon.get, features(word))):
+            for i in range(len(VIEWS)):
+                bits |= (views >> i & 1) << (i * VOTERS + voter)
+        return bits
+
+    return _Memo(make)
+
+
+def votes(text: str, words: _Memo) -> tuple[int, ...]:
+    """The votes on a text in each view, voter 0 the lowest bit."""
+    bits, found = 0, 0
     for w in set(text.lower().split()):
-        for f in features(w):
-            v = lexicon.get(f)
-            if v is not None:
-                out[v] = True
+        bits |= words[w]
     for i, (_, p) in enumerate(PATTERNS):
-        out[FIXED + LEXICONS + i] = p.search(text) is not None
-    return out
+        found |= (p.search(text) is not None) << (FIXED + LEXICONS + i)
+    return tuple(bits >> (i * VOTERS) & ((1 << VOTERS) - 1) | found for i in range(len(VIEWS)))
+
+
+def _packed(bits: list[int]) -> pa.Array:
+    v = (np.array(bits, np.int64)[:, None] >> np.arange(VOTERS)) & 1
+    return pa.array([x.tobytes() for x in np.packbits(v.astype(bool), axis=1)], pa.binary())
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1), axis=1)[:, :VOTERS].astype(float)
 
 
 @dataclass
 class LabelModel:
-    """Share of toxic documents, each voter's rate by class, and each vote's weight, less for voters that go together."""
+    """Share of toxic documents, each voter's rate by class, and a tree of voters with the rates that it gives them."""
 
     prior: float
     rates: np.ndarray  # 2 by VOTERS
-    discount: np.ndarray
+    parent: np.ndarray  # -1: none
+    given: np.ndarray  # 2 by VOTERS by the vote of the voter above
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        r = np.clip(self.rates, 1e-5, 1 - 1e-5)
-        on, off = np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0]))
-        z = np.log(self.prior / (1 - self.prior)) + (v * on + (1 - v) * off) @ self.discount
+        above = np.where(self.parent >= 0, v[:, self.parent], 0).astype(int)
+        r = np.clip(self.given[:, np.arange(VOTERS), above], 1e-5, 1 - 1e-5)
+        z = math.log(self.prior / (1 - self.prior)) + np.where(v > 0, np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0]))).sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _tree(information: np.ndarray) -> np.ndarray:
+    """Parents in the tree with the most information; a voter that says less than 1e-4 about the rest has none."""
+    parent, best, open_ = np.full(VOTERS, -1), np.full(VOTERS, 1e-4), np.ones(VOTERS, bool)
+    at = 0
+    for _ in range(VOTERS):
+        open_[at] = False
+        closer = open_ & (information[at] > best)
+        parent[closer], best[closer] = at, information[at][closer]
+        at = int(np.argmax(np.where(open_, best, -1)))
+    return parent
+
+
+def _estimate(t: np.ndarray) -> LabelModel:
+    """The model of the expected counts t: by class, of rows, votes and pairs of votes."""
+    n, one, two = t[:, 0], t[:, 1 : 1 + VOTERS], t[:, 1 + VOTERS :].reshape(2, VOTERS, VOTERS)
+    rates = (one + np.array([[0.01], [0.05]])) / (n + 1)[:, None]
+    information = np.zeros((VOTERS, VOTERS))
+    for c in range(2):
+        n11 = two[c]
+        n10, n01 = one[c][:, None] - n11, one[c][None, :] - n11
+        n00 = n[c] - n11 - n10 - n01
+        on, off = one[c] + 0.5, n[c] - one[c] + 0.5
+        for joint, a, b in ((n11, on, on), (n10, on, off), (n01, off, on), (n00, off, off)):
+            joint = np.maximum(joint, 0)
+            information += joint * np.log((joint + 1e-9) * (n[c] + 1) / (a[:, None] * b[None, :]) + 1e-12) / (n.sum() + 1)
+    np.fill_diagonal(information, 0)
+    parent = _tree(information)
+    given = np.repeat(rates[:, :, None], 2, 2)
+    for i in np.flatnonzero(parent >= 0):
+        j = parent[i]
+        with_, without = two[:, i, j], one[:, i] - two[:, i, j]
+        # Rare votes are drawn to the voter's own rate.
+        given[:, i, 1] = (with_ + rates[:, i]) / (one[:, j] + 1)
+        given[:, i, 0] = (without + rates[:, i]) / (n - one[:, j] + 1)
+    return LabelModel(float(np.clip((n[1] + 1) / (n.sum() + 20), 1e-4, 0.9)), rates, parent, given)
+
+
 def _sums(model: LabelModel):
-    """Each task's sums over its documents: weight, votes and products of votes, by class."""
+    """Each task's sums over its kinds of rows: weight, votes and products of votes, by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + VOTERS + VOTERS * VOTERS))
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _matrix(b.column("votes"))
+            v, n = _matrix(b.column("votes")), b.column("n").to_numpy(zero_copy_only=False)
             p = model.posterior(v)
             y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
             p = np.where(np.isnan(y), p, y)
-            for c, w in enumerate((1 - p, p)):
+            for c, w in enumerate((n * (1 - p), n * p)):
                 total[c] += np.r_[w.sum(), w @ v, ((v * w[:, None]).T @ v).ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array([total[0].tolist()], pa.list_(pa.float64())), pa.array([total[1].tolist()], pa.list_(pa.float64()))], names=["clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["x"])
 
     return run
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1), axis=1)[:, :VOTERS].astype(float)
-
+def fit_labels(voted: DataFrame, steps: int = 20, still: float = 1e-3) -> LabelModel:
+    """EM over all rows of voted (votes, y), y null where no label is known, until rates are still, or for that many steps.
 
-def fit_labels(voted: DataFrame, steps: int = 10) -> LabelModel:
-    """EM over all rows of voted (votes, y), y null where no label is known. What each step brings back is of fixed size."""
+    It starts at what the labelled rows say, or without those from the assumption that votes are mostly right. What each
+    step brings back is of fixed size.
+    """
     rates = np.vstack([np.full(VOTERS, 0.02), np.r_[np.full(FIXED + LEXICONS, 0.3), np.full(len(PATTERNS), 0.05)]])
-    model = LabelModel(0.1, rates, np.full(VOTERS, 0.5))
-    for _ in range(steps):
-        made = voted.mapInArrow(_sums(model), "clean array<double>, toxic array<double>")
-        flat = made.select(F.posexplode(F.concat("clean", "toxic")).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        t = np.array([r["x"] for r in flat]).reshape(2, -1) if flat else np.zeros((2, 1 + VOTERS + VOTERS**2))
-        n = t[:, 0]
-        rates = (t[:, 1 : 1 + VOTERS] + np.array([[0.01], [0.05]])) / (n + 1)[:, None]
-        ties = np.zeros((VOTERS, VOTERS))
-        for c in range(2):
-            m = rates[c]
-            cov = t[c, 1 + VOTERS :].reshape(VOTERS, VOTERS) / (n[c] + 1) - np.outer(m, m)
-            sd = np.sqrt(np.maximum(m * (1 - m), 1e-9))
-            ties += np.clip(cov / np.outer(sd, sd), 0, 1) / 2
-        np.fill_diagonal(ties, 1)
-        model = LabelModel(float(np.clip((n[1] + 1) / (n.sum() + 20), 1e-4, 0.9)), rates, 1 / ties.sum(1))
+    model = LabelModel(0.1, rates, np.full(VOTERS, -1), np.repeat(rates[:, :, None], 2, 2))
+
+    def step(rows: DataFrame) -> LabelModel | None:
+        made = rows.mapInArrow(_sums(model), "x array<double>").select(F.posexplode("x").alias("i", "x"))
+        t = np.array([r["x"] for r in made.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()]).reshape(2, -1)
+        return _estimate(t) if t.size and t[:, 0].sum() > 0 else None
+
+    with Scratch(voted.sparkSession, "labels") as scratch:
+        # Rows that got the same votes are alike to the model.
+        kinds = scratch.store(voted.groupBy("votes", "y").agg(F.count("*").alias("n")), "kinds")
+        model = step(kinds.where("y IS NOT NULL")) or model
+        for _ in range(steps):
+            before, model = model, step(kinds) or model
+            if max(np.abs(model.rates - before.rates).max(), abs(model.prior - before.prior)) < still:
+                break
     return model
 
 
@@ -154,64 +274,70 @@ def fit_labels(voted: DataFrame, steps: int = 10) -> LabelModel:
 class Classifier:
     weights: dict[int, float]
     bias: float
+    _words: _Memo | None = field(default=None, repr=False, compare=False)
 
     def score(self, text: str) -> float:
-        seen, z = set(), self.bias
+        if self._words is None:
+            self._words = _Memo(lambda word: tuple((f, self.weights[f]) for f in features(word) if f in self.weights))
+        seen: dict[int, float] = {}
         for w in set(text.lower().split()):
-            for f in features(w):
-                if f in self.weights and f not in seen:
-                    seen.add(f)
-                    z += self.weights[f]
-        return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
+            if got := self._words[w]:
+                seen.update(got)
+        z = self.bias + math.fsum(seen.values())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias, "_words": None}
 
-def train(x: list[np.ndarray], p: np.ndarray, weight: np.ndarray, steps: int = 2_000) -> Classifier:
-    """Logistic regression on soft labels p. Features are those whose rates differ most surely between the classes."""
+
+def select(counts: DataFrame) -> list[int]:
+    """The classifier's features: those whose rates differ most surely between the classes."""
+    n1, n0 = (n + 1e-9 for n in _totals(counts))
+    a, b = F.col("toxic"), F.col("clean")
+    pool = (a + b + 1) / (n1 + n0 + 2)
+    z = F.abs((a / n1 - b / n0) / F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0)))
+    best = counts.where("f >= 0").where((a + b >= 3) & (z > 4)).orderBy(F.desc(z), "f").limit(FEATURES)
+    return sorted(r["f"] for r in best.select("f").collect())
+
+
+def train(chosen: list[int], x: list[np.ndarray], p: np.ndarray, weight: np.ndarray, steps: int = 2_000) -> Classifier:
+    """Logistic regression on soft labels p; x has each row's places in the list of features."""
     share = float(np.clip((weight @ p + 0.1) / (weight.sum() + 1), 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
     if not len(p):
         return Classifier({}, bias)
+    k = len(chosen)
     rows, cols = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)
-    n1, n0 = p.sum() + 1e-9, (1 - p).sum() + 1e-9
-    a, b = np.bincount(cols, p[rows], BUCKETS), np.bincount(cols, 1 - p[rows], BUCKETS)
-    pool = (a + b + 1) / (n1 + n0 + 2)
-    z = (a / n1 - b / n0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0))
-    z[(a + b) < 3] = 0
-    top = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    top = np.sort(top[np.abs(z[top]) > 4])
-    at = np.full(BUCKETS, -1)
-    at[top] = np.arange(len(top))
-    keep = at[cols] >= 0
-    rows, cols = rows[keep], at[cols[keep]]
-    w, g2 = np.zeros(len(top) + 1), np.full(len(top) + 1, 1e-8)
+    w, g2 = np.zeros(k + 1), np.full(k + 1, 1e-8)
     w[-1] = bias
     for _ in range(steps):
         s = np.bincount(rows, w[cols], len(x)) + w[-1]
         e = weight * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - p) / weight.sum()
-        g = np.r_[np.bincount(cols, e[rows], len(top)), e.sum()] + np.r_[1e-6 * w[:-1], 0]
+        g = np.r_[np.bincount(cols, e[rows], k), e.sum()] + np.r_[1e-6 * w[:-1], 0]
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
-    return Classifier(dict(zip(top.tolist(), w[:-1].tolist(), strict=True)), float(w[-1]))
+    return Classifier(dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
-def _featured(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features of a bounded sample (text, p, weight), at the driver."""
+def _featured(rows: DataFrame, chosen: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The chosen features of a bounded sample (text, p, weight), at the driver: at most FEATURES a row."""
+    known = np.array(chosen, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [document_features(t or "").tobytes() for t in b.column("text").to_pylist()]
+            f = [np.flatnonzero(np.isin(known, document_features(t or ""))).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), b.column("p"), b.column("weight")], names=["f", "p", "weight"])
 
     t = rows.select("text", "p", "weight").mapInArrow(run, "f binary, p double, weight double").toArrow()
     return [np.frombuffer(f, np.int32) for f in t["f"].to_pylist()], t["p"].to_numpy(), t["weight"].to_numpy()
 
 
-def _voting(lexicon: dict[int, int]):
+def _voting(lexicon: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _word_votes(lexicon)
         for b in batches:
-            v = np.array([votes(t or "", lexicon) for t in b.column("text").to_pylist()], dtype=bool).reshape(-1, VOTERS)
-            packed = [x.tobytes() for x in np.packbits(v, axis=1)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(packed, pa.binary())], names=["id", "votes"])
+            v = [votes(t or "", words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[_packed([x[i] for x in v]) for i in range(len(VIEWS))]], names=["id", *VIEWS])
 
     return run
 
@@ -228,29 +354,32 @@ def _posteriors(model: LabelModel):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
     """A classifier, from the documents whose row satisfies learn (a condition on the id under the name 'id').
 
-    Labels are used for those documents only: a bounded sample of each class (SAMPLE rows, by hash of the id) gives the
-    learned lexicons and anchors the label model, which all of those documents' votes go into. The classifier is trained
-    on posterior labels of a bounded sample of each class. Of several labels of a document the largest holds; null labels
-    and ids are left out. Without labels, the fixed lexicon and the patterns alone vote.
+    Labels are used for those documents only: all of them give the learned lexicons and the label model's classes of
+    their rows, beside the votes on all the other documents. The classifier is trained on the posterior labels of a
+    bounded sample of each class (SAMPLE rows, by hash of the id) that the model is SURE of, known labels aside. Of several labels of a document
+    the largest holds; null labels and ids are left out. Without labels, the fixed lexicons and the patterns alone vote.
     """
     s = Sealed(docs, id_col, text_col)
     texts = s.df.select(s[id_col].alias("id"), s[text_col].alias("text")).where("id IS NOT NULL").where(learn)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(learn).groupBy("id").agg(F.max("y").alias("y"))
+    id_type = texts.schema["id"].dataType.simpleString()
+    known = labels.select(F.col(id_col).cast(id_type).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(learn).groupBy("id").agg((F.max("y") > 0).cast("double").alias("y"))
     some = lambda d, cond: d.where(cond).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    anchors = store(some(known, "y = 1").union(some(known, "y = 0")), "anchors")
-    # At most 2 * SAMPLE short rows, whatever the input: they may be broadcast.
-    x, y, _ = _featured(texts.join(F.broadcast(anchors), "id").select("text", F.col("y").cast("double").alias("p"), F.lit(1.0).alias("weight")))
-    lexicon = {f: FIXED + v for f, v in mine(x, y).items()} | fixed_buckets()
-    voted = store(texts.mapInArrow(_voting(lexicon), f"id {texts.schema['id'].dataType.simpleString()}, votes binary"), "votes")
-    model = fit_labels(voted.join(F.broadcast(anchors), "id", "left").select("votes", F.col("y").cast("double").alias("y")))
-    post = voted.mapInArrow(_posteriors(model), f"id {texts.schema['id'].dataType.simpleString()}, p double")
-    # Given its label, a document's posterior is that label.
-    post = store(post.join(F.broadcast(anchors), "id", "left").select("id", F.coalesce(F.col("y").cast("double"), "p").alias("p")), "posteriors")
-    sizes = {r["toxic"]: r["n"] for r in post.groupBy((F.col("p") >= 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    weight = F.when(F.col("p") >= 0.5, max(1.0, sizes.get(True, 0) / SAMPLE)).otherwise(max(1.0, sizes.get(False, 0) / SAMPLE))
-    chosen = store(some(post, "p >= 0.5").union(some(post, "p < 0.5")).select("id", "p", weight.alias("weight")), "training")
-    x, p, weights = _featured(texts.join(F.broadcast(chosen), "id"))
-    return train(x, p, weights)
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        known = scratch.store(known, "known")
+        lexicon = mine(scratch.store(counted(texts.join(known, "id").select("text", F.col("y").alias("p"))), "mined")) | fixed_words()
+        made = texts.mapInArrow(_voting(lexicon), f"id {id_type}, " + ", ".join(f"{v} binary" for v in VIEWS))
+        own = F.when(F.col("y") == 1, F.col("votes_toxic")).when(F.col("y") == 0, F.col("votes_clean")).otherwise(F.col("votes_any"))
+        voted = scratch.store(made.join(known, "id", "left").select("id", "y", own.alias("votes")), "votes")
+        model = fit_labels(voted.select("votes", "y"))
+        post = scratch.store(voted.mapInArrow(_posteriors(model), f"id {id_type}, p double"), "posteriors")
+        sure = post.where(~F.col("p").between(1 - SURE, SURE))
+        sizes = {r["toxic"]: r["n"] for r in sure.groupBy((F.col("p") >= 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+        weight = F.when(F.col("p") >= 0.5, max(1.0, sizes.get(True, 0) / SAMPLE)).otherwise(max(1.0, sizes.get(False, 0) / SAMPLE))
+        chosen = scratch.store(some(sure, "p >= 0.5").union(some(sure, "p < 0.5")).select("id", "p", weight.alias("weight")), "chosen")
+        # At most 2 * SAMPLE short rows, whatever the input: they may be broadcast.
+        sample = texts.join(F.broadcast(chosen), "id")
+        best = select(scratch.store(counted(sample), "rates"))
+        return train(best, *_featured(sample, best))
 
 
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep_text: bool = False) -> DataFrame:
