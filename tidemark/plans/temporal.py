@@ -138,13 +138,13 @@ def rank_velocity(spark, sf_dir):
 
 @query(
     "rank_persistence",
-    """WITH p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-21'),
+    """WITH p AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day FROM events WHERE event_type = 'purchase'),
 r AS (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM p), g AS (SELECT user_id, run, min(day) AS lo, max(day) AS hi FROM r GROUP BY 1, 2),
 k AS (SELECT user_id, min(lo) AS first, max(hi) AS hi, count(*) - 1 AS re_entries, arg_max(hi - lo + 1, hi) AS streak FROM g GROUP BY 1)
 SELECT user_id, m - first + 1 AS captures, re_entries, streak, CASE WHEN first = m THEN 'NEW_ON_LIST' WHEN re_entries > 0 AND streak = 1 THEN 'RE_ENTERED' ELSE 'SUSTAINED' END AS state FROM k, (SELECT max(day) AS m FROM p) WHERE hi = m""",
 )
 def rank_persistence(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' AND ts < '2024-01-21'")
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     return t.rank_persistence(e.select("user_id", F.datediff("ts", F.lit("2024-01-01")).cast("long").alias("day")), "user_id", "day")
 
 

@@ -88,11 +88,11 @@ def trend_score(spark, sf_dir):
 
 
 @query("novelty", """SELECT a.event_type, count(*) AS seen, count(*) FILTER (WHERE b.user_id IS NULL) AS fresh FROM (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16') a
-LEFT JOIN (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-08') b ON a.event_type = b.event_type AND a.user_id = b.user_id GROUP BY 1""")
+LEFT JOIN (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-16') b ON a.event_type = b.event_type AND a.user_id = b.user_id GROUP BY 1""")
 def novelty(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     key = ["event_type", "user_id"]
-    new, old = e.where("ts >= '2024-01-16'").select(key).distinct(), e.where("ts < '2024-01-08'").select(key).distinct().withColumn("old", F.lit(1))
+    new, old = e.where("ts >= '2024-01-16'").select(key).distinct(), e.where("ts < '2024-01-16'").select(key).distinct().withColumn("old", F.lit(1))
     return new.join(old, key, "left").groupBy("event_type").agg(F.count("*").alias("seen"), F.count_if(F.col("old").isNull()).alias("fresh"))
 
 
