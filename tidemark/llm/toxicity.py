@@ -8,10 +8,12 @@ posterior labels, and scores texts from their words alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +39,15 @@ SAMPLE = 6_000
 SURE = 0.9
 #: Voters with learned lexicons; words of all of them, and features that the classifier has, at most.
 LEXICONS, LEXICON_WORDS, FEATURES = 24, 1_536, 8_192
-#: Words that a worker remembers.
-MEMO = 400_000
+#: Characters of a word that is its own feature, at most; and what stands for a row as such among the features.
+LONGEST, EVERY = 64, ""
 
+#: A voter's name, what a text that it finds must have (quick to look for), and what it looks for.
 PATTERNS = (
-    ("exclaims", re.compile(r"!{2,}")),
-    ("masked", re.compile(r"\b[a-z]+[*@#$]{2,}[a-z]*\b", re.I)),
-    ("shouts", re.compile(r"(?:\b[A-Z]{4,}\b\W+){3}")),
-    ("accuses", re.compile(r"\b(?:you|u|ur|your)(?:'?re| are| is)? (?:\w+ )?(?:" + "|".join(INSULTS) + r")\b", re.I)),
+    ("exclaims", re.compile(r"!"), re.compile(r"!{2,}")),
+    ("masked", re.compile(r"[*@#$]{2}"), re.compile(r"\b[a-z]+[*@#$]{2,}[a-z]*\b", re.I)),
+    ("shouts", re.compile(r"[A-Z]{4}\b"), re.compile(r"(?:\b[A-Z]{4,}\b\W+){3}")),
+    ("accuses", re.compile(r"[uU]"), re.compile(r"\b(?:your?|ur?)(?:'?re| are| is)? (?:\w+ )?(?:" + "|".join(INSULTS) + r")\b", re.I)),
 )
 SPLIT = 3  # voters that the first list is dealt to
 FIXED = SPLIT + len(OTHER_INSULTS)
@@ -54,74 +57,56 @@ VIEWS = ("votes_any", "votes_clean", "votes_toxic")
 _EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_…«»¿¡"
 
 
-class _Memo(dict):
-    """What make says of a word, remembered."""
+def features(text: str) -> set[str]:
+    """A text's lower-case words without punctuation at their edges, and first four and five letters, which end in a space.
 
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, word: str):
-        if len(self) > MEMO:
-            self.clear()
-        self[word] = got = self.make(word)
-        return got
-
-
-def _hashed(word: str) -> tuple[int, ...]:
-    from xxhash import xxh3_64_intdigest as digest
-
-    w = word.strip(_EDGES)
-    parts = [w] if len(w) > 1 else []
-    parts += [f"{w[:n]}~" for n in (4, 5) if len(w) > n]
-    return tuple(digest(p) >> 1 for p in parts)
-
-
-_memo = _Memo(_hashed)
-
-
-def features(word: str) -> tuple[int, ...]:
-    """63-bit hashes of a lower-case word and of its first four and five letters."""
-    return _memo[word]
+    Words of more than 64 characters are known by their first letters and a hash.
+    """
+    words = {w.strip(_EDGES) for w in set(text.lower().split())}
+    found = {w if len(w) <= LONGEST else _short(w) for w in words if len(w) > 1}
+    found.update([w[:4] + " " for w in words if len(w) > 4])
+    found.update([w[:5] + " " for w in words if len(w) > 5])
+    return found
 
 
-def document_features(text: str) -> np.ndarray:
-    return np.unique(np.fromiter((f for w in set(text.lower().split()) for f in features(w)), np.int64))
+def _short(word: str) -> str:
+    return word[:LONGEST] + hashlib.sha256(word.encode("utf-8", "replace")).hexdigest()
 
 
-def fixed_words() -> dict[int, tuple[int, int]]:
-    """Hash of an insult -> one of the FIXED voters, in every view."""
+def fixed_words() -> dict[str, tuple[int, int]]:
+    """Insult -> one of the FIXED voters, in every view."""
     every = (1 << len(VIEWS)) - 1
     lists = [(i % SPLIT, w) for i, w in enumerate(INSULTS)] + [(SPLIT + i, w) for i, ws in enumerate(OTHER_INSULTS.values()) for w in ws]
-    return {features(w)[0]: (voter, every) for voter, w in reversed(lists)}
+    return {w: (voter, every) for voter, w in reversed(lists)}
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fs, p = [document_features(t or "") for t in b.column("text").to_pylist()], b.column("p").to_numpy(zero_copy_only=False)
-        flat = np.concatenate([*fs, np.full(len(fs), -1, np.int64)])
-        share = np.r_[np.repeat(p, [len(f) for f in fs]), p]
-        f, at = np.unique(flat, return_inverse=True)
-        toxic, clean = np.bincount(at, share, len(f)), np.bincount(at, 1 - share, len(f))
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(toxic), pa.array(clean)], names=["f", "toxic", "clean"])
+        fs, p = [sorted(features(t or "")) for t in b.column("text").to_pylist()], b.column("p").to_numpy(zero_copy_only=False)
+        flat = pa.chunked_array([pa.array(f, pa.string()) for f in (*fs, [EVERY] * len(fs))], pa.string()).combine_chunks().dictionary_encode()
+        share, at = np.r_[np.repeat(p, [len(f) for f in fs]), p], flat.indices.to_numpy(zero_copy_only=False)
+        n = len(flat.dictionary)
+        toxic, clean = np.bincount(at, share, n), np.bincount(at, 1 - share, n)
+        yield pa.RecordBatch.from_arrays([flat.dictionary, pa.array(toxic), pa.array(clean)], names=["f", "toxic", "clean"])
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(f, toxic, clean): rows (text, p) with a feature, by class, p being the share that is toxic. Feature -1 is every row's."""
-    made = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("p").cast("double").alias("p")).mapInArrow(_counting, "f long, toxic double, clean double")
+    """(f, toxic, clean): rows (text, p) with a feature, by class, p being the share that is toxic. Feature EVERY is every row's."""
+    made = rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("p").cast("double").alias("p")).mapInArrow(_counting, "f string, toxic double, clean double")
     return made.groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _totals(counts: DataFrame) -> tuple[float, float]:
-    r = counts.where("f = -1").first()
+    r = counts.where(F.col("f") == EVERY).first()
     return (r["toxic"], r["clean"]) if r else (0.0, 0.0)
 
 
-def mine(counts: DataFrame, least: float = 24) -> dict[int, tuple[int, int]]:
+def mine(counts: DataFrame, least: float = 24) -> dict[str, tuple[int, int]]:
     """Feature -> its learned lexicon voter and the views in which it is in the lexicon.
 
     A lexicon has the features that toxic rows have ten times as often as others, with a log likelihood ratio of least so
-    that few of a large vocabulary are there by chance; the LEXICON_WORDS with the largest. A row's own label must not speak for it twice, so a feature counts in a labelled row's votes only if it would
-    be in the lexicon without that row.
+    that few of a large vocabulary are there by chance; the LEXICON_WORDS with the largest. A row's own label must not speak
+    for it twice, so a feature counts in a labelled row's votes only if it would be in the lexicon without that row.
     """
     n1, n0 = _totals(counts)
     if n1 < 2 or n0 < 2:
@@ -136,31 +121,23 @@ def mine(counts: DataFrame, least: float = 24) -> dict[int, tuple[int, int]]:
         return (ratio > 10) & (g > least), g
 
     views = [strong(0, 0), strong(0, 1), strong(1, 0)]
-    best = counts.where("f >= 0").where(views[1][0]).orderBy(F.desc(views[1][1]), "f").limit(LEXICON_WORDS)
+    best = counts.where(F.col("f") != EVERY).where(views[1][0]).orderBy(F.desc(views[1][1]), "f").limit(LEXICON_WORDS)
     rows = best.select("f", *[v[0].alias(n) for n, v in zip(VIEWS, views, strict=True)]).collect()
-    return {r["f"]: (FIXED + r["f"] % LEXICONS, sum(bool(r[n]) << i for i, n in enumerate(VIEWS))) for r in rows}
+    return {r["f"]: (FIXED + crc32(r["f"].encode()) % LEXICONS, sum(bool(r[n]) << i for i, n in enumerate(VIEWS))) for r in rows}
 
 
-def _word_votes(lexicon: dict[int, tuple[int, int]]) -> _Memo:
-    """Word -> its votes as bits, VOTERS of them for each view."""
+def _feature_votes(lexicon: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """Feature -> its vote as bits, VOTERS of them for each view."""
+    return {f: sum((views >> i & 1) << (i * VOTERS + voter) for i in range(len(VIEWS))) for f, (voter, views) in lexicon.items()}
 
-    def make(word: str) -> int:
-        bits = 0
-        for voter, views in filter(None, map(lexicon.get, features(word))):
-            for i in range(len(VIEWS)):
-                bits |= (views >> i & 1) << (i * VOTERS + voter)
-        return bits
 
-    return _Memo(make)
-
-
-def votes(text: str, words: _Memo) -> tuple[int, ...]:
+def votes(text: str, lexicon: dict[str, int]) -> tuple[int, ...]:
     """The votes on a text in each view, voter 0 the lowest bit."""
     bits, found = 0, 0
-    for w in set(text.lower().split()):
-        bits |= words[w]
-    for i, (_, p) in enumerate(PATTERNS):
-        found |= (p.search(text) is not None) << (FIXED + LEXICONS + i)
+    for f in lexicon.keys() & features(text):
+        bits |= lexicon[f]
+    for i, (_, hint, p) in enumerate(PATTERNS):
+        found |= (hint.search(text) is not None and p.search(text) is not None) << (FIXED + LEXICONS + i)
     return tuple(bits >> (i * VOTERS) & ((1 << VOTERS) - 1) | found for i in range(len(VIEWS)))
 
 
@@ -272,35 +249,25 @@ def fit_labels(voted: DataFrame, steps: int = 20, still: float = 1e-3) -> LabelM
 
 @dataclass
 class Classifier:
-    weights: dict[int, float]
+    weights: dict[str, float]
     bias: float
-    _words: _Memo | None = field(default=None, repr=False, compare=False)
 
     def score(self, text: str) -> float:
-        if self._words is None:
-            self._words = _Memo(lambda word: tuple((f, self.weights[f]) for f in features(word) if f in self.weights))
-        seen: dict[int, float] = {}
-        for w in set(text.lower().split()):
-            if got := self._words[w]:
-                seen.update(got)
-        z = self.bias + math.fsum(seen.values())
+        z = self.bias + math.fsum(self.weights[f] for f in self.weights.keys() & features(text))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "_words": None}
-
 
-def select(counts: DataFrame) -> list[int]:
+def select(counts: DataFrame) -> list[str]:
     """The classifier's features: those whose rates differ most surely between the classes."""
     n1, n0 = (n + 1e-9 for n in _totals(counts))
     a, b = F.col("toxic"), F.col("clean")
     pool = (a + b + 1) / (n1 + n0 + 2)
     z = F.abs((a / n1 - b / n0) / F.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0)))
-    best = counts.where("f >= 0").where((a + b >= 3) & (z > 4)).orderBy(F.desc(z), "f").limit(FEATURES)
+    best = counts.where(F.col("f") != EVERY).where((a + b >= 3) & (z > 4)).orderBy(F.desc(z), "f").limit(FEATURES)
     return sorted(r["f"] for r in best.select("f").collect())
 
 
-def train(chosen: list[int], x: list[np.ndarray], p: np.ndarray, weight: np.ndarray, steps: int = 2_000) -> Classifier:
+def train(chosen: list[str], x: list[np.ndarray], p: np.ndarray, weight: np.ndarray, steps: int = 2_000) -> Classifier:
     """Logistic regression on soft labels p; x has each row's places in the list of features."""
     share = float(np.clip((weight @ p + 0.1) / (weight.sum() + 1), 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
@@ -319,22 +286,22 @@ def train(chosen: list[int], x: list[np.ndarray], p: np.ndarray, weight: np.ndar
     return Classifier(dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
-def _featured(rows: DataFrame, chosen: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _featured(rows: DataFrame, chosen: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The chosen features of a bounded sample (text, p, weight), at the driver: at most FEATURES a row."""
-    known = np.array(chosen, np.int64)
+    known = {f: i for i, f in enumerate(chosen)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [np.flatnonzero(np.isin(known, document_features(t or ""))).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
+            f = [np.array(sorted(known[w] for w in known.keys() & features(t or "")), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), b.column("p"), b.column("weight")], names=["f", "p", "weight"])
 
     t = rows.select("text", "p", "weight").mapInArrow(run, "f binary, p double, weight double").toArrow()
     return [np.frombuffer(f, np.int32) for f in t["f"].to_pylist()], t["p"].to_numpy(), t["weight"].to_numpy()
 
 
-def _voting(lexicon: dict[int, tuple[int, int]]):
+def _voting(lexicon: dict[str, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_votes(lexicon)
+        words = _feature_votes(lexicon)
         for b in batches:
             v = [votes(t or "", words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), *[_packed([x[i] for x in v]) for i in range(len(VIEWS))]], names=["id", *VIEWS])
