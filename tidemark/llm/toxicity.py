@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegralType, StructField, StructType
 
 from .common import Scratch, Sealed
 
@@ -39,6 +40,8 @@ SAMPLE = 6_000
 SURE = 0.9
 #: Voters with learned lexicons; words of all of them, and features that the classifier has, at most.
 LEXICONS, LEXICON_WORDS, FEATURES = 24, 1_536, 8_192
+#: Labels that are broadcast to the texts, at most, if their ids are numbers; beyond that the texts are shuffled to them.
+NEAR = 2_000_000
 #: Characters of a word that is its own feature, at most; and what stands for a row as such among the features.
 LONGEST, EVERY = 64, ""
 
@@ -333,6 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     some = lambda d, cond: d.where(cond).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     with Scratch(docs.sparkSession, "toxicity") as scratch:
         known = scratch.store(known, "known")
+        if isinstance(known.schema["id"].dataType, IntegralType) and known.count() <= NEAR:
+            known = F.broadcast(known)
         lexicon = mine(scratch.store(counted(texts.join(known, "id").select("text", F.col("y").alias("p"))), "mined")) | fixed_words()
         made = texts.mapInArrow(_voting(lexicon), f"id {id_type}, " + ", ".join(f"{v} binary" for v in VIEWS))
         own = F.when(F.col("y") == 1, F.col("votes_toxic")).when(F.col("y") == 0, F.col("votes_clean")).otherwise(F.col("votes_any"))
@@ -362,8 +367,6 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep_text:
             scores = [model.score(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in carried], pa.array(scores, pa.float64())], names=[*[f.name for f in carried], "score__"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     out = df.mapInArrow(run, StructType([*carried, StructField("score__", DoubleType())]))
     old = [F.col(s.inner[n]).alias(n) for n in s.names if n != "score" and (keep_text or n != text_col)]
     return out.select(*old, F.col("score__").alias("score"))
