@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, line_dedup, lm, mixing, near_dup, quality, token_counts, toxicity, warc
+from . import chat, decontam, exact_dedup, line_dedup, lm, mixing, near_dup, quality, token_counts, toxicity, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -97,6 +97,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    w = whitening.whiten(vectors, model).select("vec_id", F.lit(model.n).cast("long").alias("n"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.get(F.array(*[F.lit(e) for e in model.explained()[:4]]).cast("array<double>"), F.col("at"))
+    return w.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.classes(docs, keep_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -121,6 +129,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLE_SQL = {"op5_line_dedup": OP5, "op13_exact_dedup": OP13}
