@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, line_dedup, lm, mixing, near_dup, quality, token_counts, toxicity, warc, whitening
+from . import chat, decontam, exact_dedup, line_dedup, lm, mixing, near_dup, quality, resample, token_counts, toxicity, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -97,6 +97,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _read(spark, sf_dir, "benchmark").select("text"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = whitening.fit(vectors)
@@ -129,6 +134,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_resampling": op11_resampling,
     "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
