@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sealed
+from .common import Scratch, Sealed, store
 
 #: Bytes of a chunk, at least and at most.
 LEAST, MOST = 1024, 16384
@@ -97,11 +97,11 @@ def recipes(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: i
         return scratch.keep(full, "table")
 
 
-def rebuild(recipe: DataFrame, store: DataFrame) -> DataFrame:
+def rebuild(recipe: DataFrame, chunk: DataFrame) -> DataFrame:
     """(row, text): the normalised texts of recipes() from the chunks of chunk_store()."""
     steps = recipe.select("row", "alts", F.posexplode_outer("hashes").alias("pos", "hash"))
     steps = steps.withColumn("alt", F.coalesce(F.get("alts", F.col("pos")), F.lit(0)))
-    parts = steps.join(store, ["hash", "alt"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("parts"))
+    parts = steps.join(chunk, ["hash", "alt"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("parts"))
     return parts.select("row", as_bytes(F.array_join(F.transform("parts", lambda p: p["chunk"]), "")).cast("string").alias("text"))
 
 
@@ -119,10 +119,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     r = r.withColumn("key", F.xxhash64("hashes", "alts"))
     doc = F.col(s.inner[id_col])
     first = F.coalesce(F.min_by("row", doc), F.min("row"))
-    g = r.groupBy(F.col("key").alias("k"), F.col("hashes").alias("h"), F.col("alts").alias("a")).agg(F.count("*").alias("size"), F.min(doc).alias("first_id"), first.alias("first_row"))
-    j = r.join(g, (F.col("key") == F.col("k")) & (F.col("hashes") == F.col("h")) & (F.col("alts") == F.col("a")))
+    groups = r.groupBy(F.col("key").alias("k"), F.col("hashes").alias("h"), F.col("alts").alias("a")).agg(F.count("*").alias("size"), F.min(doc).alias("first_id"), first.alias("first_row"))
+    # Stored, so that the join shuffles both sides and Spark may split a large group's rows.
+    g = store(groups.where("size > 1"), "copies")
+    j = r.join(g, (F.col("key") == F.col("k")) & (F.col("hashes") == F.col("h")) & (F.col("alts") == F.col("a")), "left")
     out = [F.col(s.inner[n]).alias(n) for n in s.names if n not in new and (keep_text or n != text_col)]
-    return j.select(*out, F.col("first_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("first_row")).alias("kept"), "text_sha256")
+    alone = F.col("size").isNull()
+    keep = F.when(alone, doc).otherwise(F.col("first_id"))
+    return j.select(*out, keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("row") == F.col("first_row"))).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
