@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.storage import new_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -71,7 +71,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     again leaves the same rows.
     """
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/") + f"/tidemark/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
     done: list[int] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
