@@ -307,7 +307,7 @@ def _voting(lexicon: dict[str, tuple[int, int]]):
         words = _feature_votes(lexicon)
         for b in batches:
             v = [votes(t or "", words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[_packed([x[i] for x in v]) for i in range(len(VIEWS))]], names=["id", *VIEWS])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), *[_packed([x[i] for x in v]) for i in range(len(VIEWS))]], names=["id", "key", *VIEWS])
 
     return run
 
@@ -316,7 +316,7 @@ def _posteriors(model: LabelModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.posterior(_matrix(b.column("votes"))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], names=["id", "p"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), pa.array(p, pa.float64())], names=["key", "n", "p"])
 
     return run
 
@@ -326,30 +326,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     Labels are used for those documents only: all of them give the learned lexicons and the label model's classes of
     their rows, beside the votes on all the other documents. The classifier is trained on the posterior labels of a
-    bounded sample of each class (SAMPLE rows, by hash of the id) that the model is SURE of, known labels aside. Of several labels of a document
-    the largest holds; null labels and ids are left out. Without labels, the fixed lexicons and the patterns alone vote.
+    bounded sample of each class (SAMPLE rows, by hash of id and text) that the model is SURE of, known labels aside. Of several labels of a document
+    the largest holds; null labels and ids are left out. Rows that repeat an id and a text count as often as they come, but
+    are one row of the sample; rows that share an id only are rows of their own, with its label. Without labels, the fixed
+    lexicons and the patterns alone vote.
     """
     s = Sealed(docs, id_col, text_col)
     texts = s.df.select(s[id_col].alias("id"), s[text_col].alias("text")).where("id IS NOT NULL").where(learn)
+    texts = texts.withColumn("key", F.xxhash64("id", "text"))
     id_type = texts.schema["id"].dataType.simpleString()
     known = labels.select(F.col(id_col).cast(id_type).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().where(learn).groupBy("id").agg((F.max("y") > 0).cast("double").alias("y"))
-    some = lambda d, cond: d.where(cond).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    some = lambda d, cond: d.where(cond).orderBy("key").limit(SAMPLE)
     with Scratch(docs.sparkSession, "toxicity") as scratch:
         known = scratch.store(known, "known")
         if isinstance(known.schema["id"].dataType, IntegralType) and known.count() <= NEAR:
             known = F.broadcast(known)
         lexicon = mine(scratch.store(counted(texts.join(known, "id").select("text", F.col("y").alias("p"))), "mined")) | fixed_words()
-        made = texts.mapInArrow(_voting(lexicon), f"id {id_type}, " + ", ".join(f"{v} binary" for v in VIEWS))
+        made = texts.mapInArrow(_voting(lexicon), f"id {id_type}, key long, " + ", ".join(f"{v} binary" for v in VIEWS))
         own = F.when(F.col("y") == 1, F.col("votes_toxic")).when(F.col("y") == 0, F.col("votes_clean")).otherwise(F.col("votes_any"))
-        voted = scratch.store(made.join(known, "id", "left").select("id", "y", own.alias("votes")), "votes")
+        voted = scratch.store(made.join(known, "id", "left").select("key", "y", own.alias("votes")), "votes")
         model = fit_labels(voted.select("votes", "y"))
-        post = scratch.store(voted.mapInArrow(_posteriors(model), f"id {id_type}, p double"), "posteriors")
+        # Rows of one id and text got the same votes and label: they are one row that counts several times.
+        rows = voted.groupBy("key").agg(F.count("*").alias("n"), F.first("votes").alias("votes"))
+        post = scratch.store(rows.mapInArrow(_posteriors(model), "key long, n long, p double"), "posteriors")
         sure = post.where(~F.col("p").between(1 - SURE, SURE))
         sizes = {r["toxic"]: r["n"] for r in sure.groupBy((F.col("p") >= 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
         weight = F.when(F.col("p") >= 0.5, max(1.0, sizes.get(True, 0) / SAMPLE)).otherwise(max(1.0, sizes.get(False, 0) / SAMPLE))
-        chosen = scratch.store(some(sure, "p >= 0.5").union(some(sure, "p < 0.5")).select("id", "p", weight.alias("weight")), "chosen")
-        # At most 2 * SAMPLE short rows, whatever the input: they may be broadcast.
-        sample = texts.join(F.broadcast(chosen), "id")
+        chosen = scratch.store(some(sure, "p >= 0.5").union(some(sure, "p < 0.5")).select("key", "p", (weight * F.col("n")).alias("weight")), "chosen")
+        # At most 2 * SAMPLE short rows, whatever the input: they may be broadcast. Of equal texts one comes back.
+        sample = texts.join(F.broadcast(chosen), "key").select("key", "text", "p", "weight").dropDuplicates(["key"])
         best = select(scratch.store(counted(sample), "rates"))
         return train(best, *_featured(sample, best))
 
