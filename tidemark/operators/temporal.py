@@ -40,13 +40,25 @@ def discounts(series: DataFrame, key: list[str], ts: str, value: str, bps: int =
     return pairs.where((F.col("after") - F.col("before")) * 10000 <= -bps * F.col("before"))
 
 
-def union_coverage(spans: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """Seconds that at least one span covers, and the number of gaps between them, by key."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parts = spans.withColumn("seen", seen)
-    new = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), F.coalesce(F.col("seen"), F.col(start))))
-    return parts.groupBy(*key).agg(F.sum(new).cast("long").alias("covered"), F.count_if(F.col(start) > F.col("seen")).alias("gaps"))
+#: Seconds of a bucket: the rows of a key that one task scans begin within so many seconds.
+BUCKET = 86_400
+
+
+def union_coverage(spans: DataFrame, key: list[str], start: str, end: str, bucket: int = BUCKET) -> DataFrame:
+    """Seconds that at least one span covers, and the number of gaps between them, by key.
+
+    A scan in two levels: each bucket of starts begins with the latest end of the buckets before it, so a key's spans
+    are scanned by as many tasks as it has buckets. Spans without a start or an end are left out.
+    """
+    of = Window.partitionBy(*key, "bucket_")
+    s = spans.select(*key, F.col(start).alias("lo_"), F.col(end).alias("hi_")).where("lo_ IS NOT NULL AND hi_ IS NOT NULL").withColumn("bucket_", F.floor(F.col("lo_") / bucket))
+    ends = s.groupBy(*key, "bucket_").agg(F.max("hi_").alias("hi_"))
+    before = F.max("hi_").over(Window.partitionBy(*key).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(*key, "bucket_", before.alias("hi_")).where("hi_ IS NOT NULL").select(*key, F.lit(None).cast(s.schema["lo_"].dataType).alias("lo_"), "hi_", "bucket_")
+    seen = F.max("hi_").over(of.orderBy(F.asc_nulls_first("lo_"), "hi_").rowsBetween(Window.unboundedPreceding, -1))
+    parts = s.unionByName(carried).withColumn("seen_", seen).where("lo_ IS NOT NULL")
+    new = F.greatest(F.lit(0), F.col("hi_") - F.greatest(F.col("lo_"), F.coalesce("seen_", "lo_")))
+    return parts.groupBy(*key).agg(F.sum(new).cast("long").alias("covered"), F.count_if(F.col("lo_") > F.col("seen_")).alias("gaps"))
 
 
 def scd2(observations: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
@@ -63,17 +75,52 @@ def scd2(observations: DataFrame, key: list[str], ts: str, value: str) -> DataFr
     return windows.select(*key, "value", "valid_at", end.alias("invalid_at"), "last_observed_at")
 
 
-def as_of(windows: DataFrame, questions: DataFrame, key: list[str], at: str) -> DataFrame:
+def as_of(windows: DataFrame, questions: DataFrame, key: list[str], at: str, bucket: int = BUCKET) -> DataFrame:
     """Each question (key, at) with what was known: value and state.
 
     CONFLICT: several values cover the time. OBSERVED: covered, and seen at or after it. NOT_OBSERVED_SINCE: the window
     is open, but was last seen earlier. CHANGE_TIME_UNKNOWN: closed, but not seen up to then. UNKNOWN: none covers it.
+
+    Windows and questions are one series in the order of their times, and a question reads what the windows begun before
+    it come to: the latest end and its value, the latest end of any other value (of two windows of different values, the
+    one that ends first), and the latest time seen. All are maxima, so a key is scanned in buckets of time, each of which
+    begins with the maxima of those before: no windows meet questions one by one. Times are numbers; a null value counts
+    as no window, a repeated question is answered once.
     """
-    cover = (F.col("valid_at") <= F.col(at)) & (F.col("invalid_at").isNull() | (F.col(at) < F.col("invalid_at")))
-    hit = F.when(cover, F.struct("value", F.coalesce("last_observed_at", "valid_at").alias("seen"), F.col("invalid_at").isNull().alias("open")))
-    j = questions.join(windows, key, "left").groupBy(*key, at).agg(F.count_distinct(F.when(cover, F.col("value"))).alias("n"), F.max(hit).alias("hit"), F.max(hit["seen"]).alias("seen"), F.bool_or(hit["open"]).alias("open"))
-    state = F.when(F.col("n") > 1, "CONFLICT").when(F.col("n") == 0, "UNKNOWN").when(F.col(at) <= F.col("seen"), "OBSERVED").when(F.col("open"), "NOT_OBSERVED_SINCE").otherwise("CHANGE_TIME_UNKNOWN")
-    return j.select(*key, at, F.when(F.col("n") == 1, F.col("hit.value")).alias("value"), state.alias("state"))
+    forever = F.lit(float("inf"))
+    w = windows.where(F.col("value").isNotNull() & F.col("valid_at").isNotNull())
+    until, seen = F.coalesce(F.col("invalid_at").cast("double"), forever), F.coalesce("last_observed_at", "valid_at").cast("double")
+    # Seen at the end or later is seen up to the end, which is outside of the window.
+    shown = F.when(seen < until, F.struct(seen.alias("t"), F.lit(1).alias("in"))).otherwise(F.struct(until.alias("t"), F.lit(0).alias("in")))
+    rows = w.where(until > F.col("valid_at")).select(*key, F.col("valid_at").cast("double").alias("t_"), F.lit(1).alias("kind_"), F.struct(until.alias("end"), F.col("value").alias("value")).alias("top_"), F.lit(None).cast("double").alias("low_"), shown.alias("shown_"))
+    asked = questions.select(*key, at).distinct()
+    rows = rows.withColumn("bucket_", F.floor(F.col("t_") / bucket))
+
+    def scanned(r: DataFrame, order: list[Column], part: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        was = F.max("top_").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        r = r.withColumn("was_", was)
+        beaten = F.when(F.col("was_.value") != F.col("top_.value"), F.least("was_.end", "top_.end"))
+        r = r.withColumn("low_", F.greatest("low_", beaten))
+        return r.withColumns({"low_": F.max("low_").over(upto), "shown_": F.max("shown_").over(upto), "top_": F.max("top_").over(upto)}).drop("was_")
+
+    # What the buckets come to: their rows by value, scanned in any order within a bucket.
+    sums = rows.groupBy(*key, "bucket_", F.col("top_.value").alias("v_")).agg(F.max("top_").alias("top_"), F.max("low_").alias("low_"), F.max("shown_").alias("shown_"))
+    all_ = scanned(sums, [F.asc("bucket_"), F.asc("v_")], key).withColumn("last_", F.row_number().over(Window.partitionBy(*key, "bucket_").orderBy(F.desc("v_")))).where("last_ = 1")
+    q = asked.withColumn("bucket_", F.floor(F.col(at) / bucket))
+    needed = rows.select(*key, "bucket_").union(q.select(*key, "bucket_")).distinct()
+    upto = Window.partitionBy(*key).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    state = needed.join(all_.select(*key, "bucket_", F.struct("top_", "low_", "shown_").alias("s_")), [*key, "bucket_"], "left")
+    carried = state.withColumn("s_", F.last("s_", ignorenulls=True).over(upto)).where("s_ IS NOT NULL")
+    first = carried.select(*key, F.lit(float("-inf")).alias("t_"), F.lit(0).alias("kind_"), "s_.top_", "s_.low_", "s_.shown_", "bucket_")
+    q = q.select(*key, F.col(at).cast("double").alias("t_"), F.lit(2).alias("kind_"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("top_", "low_", "shown_")], "bucket_", F.col(at).alias("at_"))
+    series = rows.unionByName(first).withColumn("at_", F.lit(None).cast(asked.schema[at].dataType)).unionByName(q)
+    a = scanned(series, [F.asc("t_"), F.asc("kind_")], [*key, "bucket_"]).where("kind_ = 2")
+    covered, t = F.coalesce(F.col("top_.end") > F.col("t_"), F.lit(False)), F.col("t_")
+    conflict = F.coalesce(F.col("low_") > t, F.lit(False))
+    in_sight = (t < F.col("shown_.t")) | ((t == F.col("shown_.t")) & (F.col("shown_.in") == 1))
+    state = F.when(conflict, "CONFLICT").when(~covered, "UNKNOWN").when(in_sight, "OBSERVED").when(F.col("top_.end") == forever, "NOT_OBSERVED_SINCE").otherwise("CHANGE_TIME_UNKNOWN")
+    return a.select(*key, F.col("at_").alias(at), F.when(covered & ~conflict, F.col("top_.value")).alias("value"), state.alias("state"))
 
 
 def supersede(windows: DataFrame, key: list[str]) -> DataFrame:

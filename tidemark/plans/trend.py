@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import trend as t
+from tidemark.operators.ranking import quantiles
 
 from .registry import Registry, table
 
@@ -106,6 +107,23 @@ def counter_delta(spark, sf_dir):
 
 @query("dispersion", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1""")
 def dispersion(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), q.alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return g.select("event_type", "n", "mean", "sd", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "p10", "p90"))], "lo", "hi")
+    """With exact quantiles, by selection: no group's values are held in one place."""
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    q = quantiles(e, ["event_type"], "value", {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return g.join(q, "event_type").select("event_type", "n", "mean", "sd", *[F.round(c, 6).alias(c) for c in ("median", "p10", "p90")], "lo", "hi")
+
+
+@query(
+    "growth_probabilities",
+    f"""WITH c AS (SELECT event_type, user_id % 10 AS part, count(*) FILTER (WHERE {SEC} <= {NOW - 7 * DAY}) AS before, count(*) FILTER (WHERE {SEC} > {NOW - 7 * DAY}) AS after FROM events WHERE {SEC} <= {NOW} AND {SEC} > {NOW - 17 * DAY} GROUP BY 1, 2),
+x AS (SELECT *, unnest(range(0, before + after + 1)) AS i FROM c),
+s AS (SELECT event_type, part, before, after, exp(lgamma(before + after + 1) - lgamma(i + 1) - lgamma(before + after - i + 1) + i * ln(7 / 17.0) + (before + after - i) * ln(10 / 17.0)) AS term, i FROM x)
+SELECT event_type, part, before, after, round(sum(term) FILTER (WHERE i >= after), 7) AS rise, round(sum(term) FILTER (WHERE i <= after), 7) AS fall FROM s GROUP BY 1, 2, 3, 4""",
+)
+def growth_probabilities(spark, sf_dir):
+    """The exact test's probabilities, of windows of different length."""
+    e = events(spark, sf_dir).where((F.col("sec") <= NOW) & (F.col("sec") > NOW - 17 * DAY))
+    g = e.groupBy("event_type", (F.col("user_id") % 10).alias("part")).agg(F.count_if(F.col("sec") <= NOW - 7 * DAY).alias("before"), F.count_if(F.col("sec") > NOW - 7 * DAY).alias("after"))
+    rise, fall = t.binomial_tails(F.col("before") + F.col("after"), F.col("after"), F.lit(7 / 17))
+    return g.select("event_type", "part", "before", "after", F.round(rise, 7).alias("rise"), F.round(fall, 7).alias("fall"))
