@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stopwords import BREAKS, EVERY
+
 # Scripts without spaces between words, and words that are no index terms.
 CJK = r"\x{3005}\x{3007}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}\x{20000}-\x{2FFFF}"
 STOP = ("the", "and", "for", "with", "that", "this", "from", "https", "http", "com")
@@ -111,13 +113,47 @@ def document_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFram
     return spaced.union(pairs).distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def informative(term: Column, stop: tuple[str, ...] = ()) -> Column:
+def informative(term: Column, stop: tuple[str, ...] = EVERY) -> Column:
     """Whether a term can say something: no number, hash, image size, hiragana run or stop word."""
     t = _c(term)
     hash_ = (F.octet_length(t) >= 6) & t.rlike("^[0-9A-Fa-f]+$") & t.rlike("[0-9]")
     return ~(t.rlike("^[0-9]+$") | hash_ | t.rlike("^[0-9]+x[0-9]+$") | t.rlike(r"^[\x{3040}-\x{309F}]+$") | t.isin(*STOP, *stop))
 
 
+#: A bare domain or path: ASCII labels joined by dots, the last of two to six letters.
+DOMAIN = r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[,)\]」、。]*(/.*)?$"
+
+
+def without_links(x) -> Column:
+    """A text's words, joined by one space, but for links, @handles and bare domains."""
+    link = lambda w: F.contains(w, F.lit("://")) | w.startswith("www.") | w.startswith("@") | w.rlike(DOMAIN)
+    return F.array_join(F.filter(F.split(F.btrim(_c(x)), r"\s+"), lambda w: (w != "") & ~link(w)), " ")
+
+
+def content_terms(x) -> Column:
+    """Sorted terms of what a text is about: index terms of its words without links, and its CJK runs as words of one
+    script. All of them, however many."""
+    t = without_links(x)
+    spaced = F.filter(words(t), lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP))
+    runs = F.regexp_extract_all(folded(t), F.lit(rf"[{CJK}]+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.concat(spaced, F.flatten(F.transform(runs, script_words)))))
+
+
+def phrase_grams(x, longest: int = 3, stop: tuple[str, ...] = BREAKS) -> Column:
+    """Distinct runs of two to `longest` consecutive words of a text without links. Stop words, words of one character or
+    with CJK scripts, and any sign but a single space between words break a run."""
+    split = F.split(F.lower(without_links(x)), r"[^\p{IsAlphabetic}\p{N}'-]")
+    broken = lambda w: w.isin("", *stop) | (F.char_length(w) < 2) | w.rlike(f"[{CJK}]")
+    marked = F.array_join(F.transform(split, lambda w: F.when(broken(w), F.lit("\x01")).otherwise(w)), " ")
+    runs = F.transform(F.split(marked, r"(?:^| )\x01(?: \x01)*(?: |$)"), lambda r: F.split(r, " "))
+
+    def grams(n: int) -> Column:
+        held = F.filter(runs, lambda r: F.size(r) >= n)
+        return F.flatten(F.transform(held, lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - n + 1), lambda i: F.array_join(F.slice(r, i, n), " "))))
+
+    return F.array_distinct(F.concat(*[grams(n) for n in range(2, longest + 1)]))
+
+
 def script_words(run: Column) -> Column:
     """Runs of one script of two characters and more, without those of hiragana, which are mostly particles."""
     return F.regexp_extract_all(_c(run), F.lit(r"[\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]{2,}|[\x{3005}\x{3007}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FFFF}]{2,}|[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}]{2,}"), F.lit(0))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import stopwords
 from tidemark.functions import text as x
+from tidemark.operators import phrases
 from tidemark.operators.copies import copy_pairs
 from tidemark.operators.graph import connected_components, depths
 
@@ -112,3 +114,44 @@ def leader_clusters(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     posts = b.select(F.concat(F.lit("t"), (F.col("item_id") % 5).cast("string")).alias("topic"), F.col("item_id").alias("post_id"), (F.col("item_id") * 3600.0).alias("published"), x.terms("text").alias("terms"))
     return run(posts)
+
+
+def _listed(words):
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+LINKLESS = r"array_to_string(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+'), lambda w: w <> '' AND NOT (contains(w, '://') OR starts_with(w, 'www.') OR starts_with(w, '@') OR regexp_matches(w, '^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[,)\]」、。]*(/.*)?$'))), ' ')"
+GRAMS = f"""WITH l AS (SELECT doc_id, lang, source, {LINKLESS} AS t FROM documents),
+w AS (SELECT doc_id, lang, source, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT *, regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}''-]') AS w FROM l)),
+o AS (SELECT *, length(w) > 1 AND w NOT IN {_listed(stopwords.BREAKS)} AS ok FROM w),
+n AS (SELECT doc_id, lang, source, CASE WHEN ok AND lead(ok) OVER x THEN w || ' ' || lead(w) OVER x END AS p2, CASE WHEN ok AND lead(ok) OVER x AND lead(ok, 2) OVER x THEN w || ' ' || lead(w) OVER x || ' ' || lead(w, 2) OVER x END AS p3,
+  CASE WHEN ok AND lead(ok) OVER x AND lead(ok, 2) OVER x AND lead(ok, 3) OVER x THEN w || ' ' || lead(w) OVER x || ' ' || lead(w, 2) OVER x || ' ' || lead(w, 3) OVER x END AS p4 FROM o WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT DISTINCT doc_id, lang, source, phrase FROM (SELECT doc_id, lang, source, unnest([p2, p3, p4]) AS phrase FROM n) WHERE phrase IS NOT NULL),
+h AS (SELECT lang, phrase, count(*) AS posts, count(DISTINCT source) AS authors FROM g GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT source) >= 2),
+s AS (SELECT lang, posts, regexp_replace(phrase, '^[^ ]+ ', '') AS part FROM h UNION SELECT lang, posts, regexp_replace(phrase, ' [^ ]+$', '') FROM h),
+m AS (SELECT lang, phrase, posts, authors FROM h WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.lang = h.lang AND s.posts = h.posts AND s.part = h.phrase)) """
+
+
+def _phrases(spark, sf_dir):
+    return phrases.shared_phrases(table(spark, sf_dir, "documents"), "lang", "source", "text", longest=4)
+
+
+@query("maximal_phrases", GRAMS + "SELECT lang, phrase, posts, authors FROM m")
+def maximal_phrases(spark, sf_dir):
+    """A document as a post, its source as the author, its language as the group."""
+    return _phrases(spark, sf_dir).select("lang", "phrase", "posts", "authors")
+
+
+@query("candidate_phrases", GRAMS + "SELECT lang, phrase, posts, k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY posts DESC, len(string_split(phrase, ' ')) DESC, encode(phrase)) AS k FROM m) WHERE k <= 5")
+def candidate_phrases(spark, sf_dir):
+    return phrases.candidate_phrases(_phrases(spark, sf_dir), "lang").select("lang", "phrase", "posts", "k")
+
+
+@query(
+    "salient_terms",
+    f"""WITH t AS (SELECT lang, unnest(list_distinct(list_filter(regexp_extract_all(lower({LINKLESS}), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2))) AS term FROM documents),
+n AS (SELECT lang, term, count(*) AS posts FROM t WHERE term NOT IN {_listed((*x.STOP, *stopwords.EVERY))} AND NOT regexp_matches(term, '^[0-9]+$') AND NOT regexp_matches(term, '^[0-9]+x[0-9]+$') AND NOT (strlen(term) >= 6 AND regexp_matches(term, '^[0-9A-Fa-f]+$') AND regexp_matches(term, '[0-9]')) GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT lang, term, posts, k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY posts DESC, encode(term)) AS k FROM n) WHERE k <= 20""",
+)
+def salient_terms(spark, sf_dir):
+    return phrases.salient_terms(table(spark, sf_dir, "documents"), "lang", "text")
