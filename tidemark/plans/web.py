@@ -68,3 +68,31 @@ def registrable_domain(spark, sf_dir):
     """The last two labels of a host: its registrable domain under single-label suffixes."""
     labels = F.split(F.regexp_replace(F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1)), r":\d+$", ""), r"\.")
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".").alias("site"))
+
+
+LINKS = r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS i FROM pages),
+r AS (SELECT page_id, i, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+  CASE i % 5 WHEN 0 THEN href WHEN 1 THEN '..' || href WHEN 2 THEN '.' || href || '/./x/../y?q=1#f' WHEN 3 THEN '//Host.EXAMPLE:' || CASE WHEN starts_with(url, 'https') THEN '443' ELSE '8080' END || href ELSE '../../../..' || href || '/..' END AS ref FROM h),
+p AS (SELECT *, CASE WHEN starts_with(ref, '//') THEN regexp_replace(ref, '^//[^/]*', '') WHEN starts_with(ref, '/') THEN ref ELSE regexp_extract(path, '^(.*/)[^/]*$', 1) || regexp_extract(ref, '^[^?#]*', 0) END AS raw FROM r),
+q AS (SELECT *, list_transform(string_split(substr(raw, 2), '/'), lambda s: [s]) AS seg FROM p),
+f AS (SELECT *, list_reduce(list_prepend(['#'], seg), lambda a, x: CASE WHEN x[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END) AS held FROM q),
+g AS (SELECT page_id, i, scheme, CASE WHEN starts_with(ref, '//') THEN 'host.example' || CASE WHEN scheme = 'https' THEN '' ELSE ':8080' END ELSE host END AS host, '/' || array_to_string(held[2:], '/') || CASE WHEN regexp_matches(raw, '/\.\.?$') AND len(held) > 1 THEN '/' ELSE '' END AS path, CASE WHEN contains(ref, '?') THEN '?q=1' ELSE '' END AS query FROM f)
+SELECT page_id, i, scheme || '://' || host || array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN regexp_matches(c, '[^\x00-\x7F]') THEN url_encode(c) ELSE c END), '') || query AS link FROM g"""
+
+
+@query("resolved_links", LINKS)
+def resolved_links(spark, sf_dir):
+    """The links of each page, some made relative, as the page means them."""
+    from tidemark.functions import urls
+
+    h = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "href"))
+    port = F.when(F.col("url").startswith("https"), "443").otherwise("8080")
+    k = F.col("i") % 5
+    ref = (
+        F.when(k == 0, F.col("href"))
+        .when(k == 1, F.concat(F.lit(".."), "href"))
+        .when(k == 2, F.concat(F.lit("."), "href", F.lit("/./x/../y?q=1#f")))
+        .when(k == 3, F.concat(F.lit("//Host.EXAMPLE:"), port, "href"))
+        .otherwise(F.concat(F.lit("../../../.."), "href", F.lit("/..")))
+    )
+    return urls.resolved(h, F.col("url"), ref, "link").select("page_id", F.col("i").cast("long").alias("i"), urls.identity("link").alias("link"))
