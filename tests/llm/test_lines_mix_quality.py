@@ -178,39 +178,88 @@ def test_quality_verdicts(spark):
     assert [r.doc_id for r in quality.keep_good(few).collect()] == [1]
 
 
-def nearest(x, share):
-    """The estimate of least determinant by plain NumPy: the starts and steps of the operator, on one group."""
-    n, var = len(x), x.var(0)
-    q = np.sort(x, 0)[[max(0, math.ceil(p * n) - 1) for p in (0.25, 0.5, 0.75)]]
-    wide = ((q[2] - q[0]) / 1.349) ** 2
-    scale, best = share / quality._inner_mass(share), []
-    for c in (np.diag(np.where(wide > 0, wide, var)), np.cov(x.T, bias=True), np.diag(var)):
-        mu, m, old = q[1], quality.regular(c, var), np.inf
-        for _ in range(quality.STEPS):
+def regular(cov, var):
+    """As the operator says it: the least share of the unit matrix with which the condition number is at most 100."""
+    sd = np.sqrt(var)
+    k = cov / np.outer(sd, sd)
+    for share in (0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5):
+        m = (1 - share) * k + share * np.eye(len(sd))
+        w = np.linalg.eigvalsh(m)
+        if w[0] > 0 and w[-1] <= 100 * w[0]:
+            break
+    return m * np.outer(sd, sd)
+
+
+def least_determinant(x, share=0.65):
+    """The estimate of least determinant by plain NumPy on one group, from the shortest halves, and from fifty random starts."""
+    h, s = math.ceil(share * len(x)), np.sort(x, 0)
+    half = len(x) // 2
+    width = s[half:] - s[: len(x) - half]
+    at = width.argmin(0)
+    mid, var = s[at + half // 2, range(5)], (width[at, range(5)] / 1.349) ** 2
+    var = np.where(var > 0, var, x.var(0))
+    rng, best = np.random.default_rng(0), []
+    starts = [(mid, np.diag(var))] + [(x[i].mean(0), np.cov(x[i].T, bias=True)) for i in (rng.choice(len(x), 20, replace=False) for _ in range(50))]
+    for mu, c in starts:
+        m, old = regular(c, var), np.inf
+        for _ in range(60):
             d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(m), x - mu)
-            near = x[d <= np.sort(d)[math.ceil(share * n) - 1]]
-            mu, m = near.mean(0), quality.regular(np.cov(near.T, bias=True), var) * scale
+            near = x[np.argpartition(d, h - 1)[:h]]
+            mu, m = near.mean(0), regular(np.cov(near.T, bias=True), var)
             det = np.linalg.slogdet(m)[1]
-            if old - det < 1e-3:
+            if old - det < 1e-6:
                 break
             old = det
         best.append((det, mu, m))
     return min(best, key=lambda b: b[0])
 
 
-def test_quality_fit_has_the_least_determinant(spark):
+def test_quality_fits_have_the_least_determinant(spark):
+    """At all three levels, against a version that shares no code with the operator."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     measured = quality.measure(docs, keep_text=False).cache()
-    fitted = quality.fit(measured).where("level = 2").first()
-    x = np.array([list(r) for r in measured.where(~quality.base_failed()).select(*[c.alias(n) for n, c in quality.vector().items()]).collect()])
-    det, mu, m = nearest(x, 0.9)
-    assert fitted.n == len(x) and fitted.det == pytest.approx(det, abs=0.1)
-    assert np.abs((np.array(fitted.mu) - mu) / np.sqrt(np.diag(m))).max() < 0.05
-    assert np.abs(np.array(fitted.inv).reshape(5, 5) @ m - np.eye(5)).max() < 0.2
-    # Far rows, near to each other, move the estimate hardly, as long as they and the table's own are under a tenth.
-    bad = np.r_[x, x[: len(x) // 30] * 0.01 + 8]
-    det2, mu2, m2 = nearest(bad, 0.9)
-    assert np.abs((mu2 - mu) / np.sqrt(np.diag(m))).max() < 0.25
+    fits = {(r.level, r.lang_, r.source_): r for r in quality.fit(measured).collect()}
+    rows = measured.where(~quality.base_failed()).select("lang", "source", *[c.alias(n) for n, c in quality.vector().items()]).collect()
+    lang = max({r.lang for r in rows}, key=lambda v: sum(r.lang == v for r in rows))
+    own = [k for k in fits if k[0] == 0][:1]
+    for key in [(2, None, None), (1, lang, None), *own]:
+        x = np.array([r[2:] for r in rows if key[0] == 2 or (r.lang == key[1] and (key[0] == 1 or r.source == key[2]))])
+        fitted, (det, mu, m) = fits[key], least_determinant(x)
+        got = np.linalg.inv(np.array(fitted.inv).reshape(5, 5))
+        scale = np.linalg.slogdet(got)[1] - det  # of the factor that makes it consistent, and of the start
+        assert fitted.n == len(x) and fitted.still
+        assert np.abs((np.array(fitted.mu) - mu) / np.sqrt(np.diag(m))).max() < 0.35
+        assert 5 * math.log(1.2) < scale < 5 * math.log(2.2)
+
+
+@pytest.mark.parametrize("share", [0.12, 0.3])
+def test_quality_rejects_junk_up_to_a_third(spark, share):
+    """Groups of 700 clean documents and ever more junk: symbols on words, or shouting."""
+    rng = random.Random(int(share * 100))
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+
+    def text(n):
+        line = [rng.choice(words).capitalize() if rng.random() < 0.08 else rng.choice(words) for _ in range(n)]
+        return " ".join(w + ("*" if rng.random() < 0.004 else "") + ("\n" if rng.random() < 0.05 else "") for w in line)
+
+    rows, junk = [], int(700 * share / (1 - share))
+    for source, spoil in (("a", lambda t: " ".join(f"**{w}**" if rng.random() < 0.6 else w for w in t.split(" "))), ("b", str.upper)):
+        rows += [(len(rows) + i, "en", source, text(rng.randrange(30, 400)), True) for i in range(700)]
+        rows += [(len(rows) + i, "en", source, spoil(text(rng.randrange(30, 400))), False) for i in range(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, fine boolean")
+    measured = quality.measure(docs, keep_text=False).cache()
+    got = quality.judge(measured, quality.fit(measured)).collect()
+    assert {r.level for r in got} == {0}
+    assert sum(not r.kept for r in got if r.fine) <= 0.01 * 1400
+    assert sum(not r.kept for r in got if not r.fine) >= 0.95 * 2 * junk
+
+
+def test_quality_keeps_clashing_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({c: F.lit(c) for c in ("x0", "x1__", "mu", "inv", "d__", "fit__", "failed__", "start")})
+    measured = quality.measure(docs, keep_text=False)
+    got = quality.judge(measured, quality.fit(measured))
+    assert got.where("x0 = 'x0' AND mu = 'mu' AND inv = 'inv' AND d__ = 'd__' AND x1__ = 'x1__' AND fit__ = 'fit__' AND start = 'start'").count() == docs.count()
+    assert got.columns[-5:] == ["base_failed", "distance", "kept", "level", "still"]
 
 
 def test_covariances_are_regular():

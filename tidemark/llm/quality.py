@@ -3,7 +3,8 @@
 Each document has a vector of transformed statistics. For each language and source, minimum-covariance-determinant
 estimates of its centre and spread are found by concentration steps from several starts: distances of all rows, the
 nearest share of them, and the moments of those, each as one Spark aggregation. The start that leads to the least
-determinant holds. A document too far by Mahalanobis distance is rejected.
+determinant holds. Starts and scales come from each part's shortest half, so that up to a third of a group's rows may be
+junk. A document too far by Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ P = len(PARTS)
 #: The largest condition number that a correlation matrix may have, and the shares of the unit matrix tried to get there.
 CONDITION, SHARES = 100.0, (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 #: Concentration steps after which the best start is chosen, and steps at most.
-TRIAL, STEPS = 2, 12
+TRIAL, STEPS = 5, 30
+#: The share of a group's rows that an estimate is made of, and rows of a group at least.
+SHARE, LEAST = 0.65, 100
+#: Whatever the distribution, at most this share of it has a squared distance beyond P / TAIL (Chebyshev's inequality).
+TAIL = 1 / 16
 _SYMBOLS, _SPACES = np.array([ord(c) for c in SYMBOLS]), np.array([9, 10, 11, 12, 13, 32])
 
 
@@ -110,21 +115,32 @@ def chi2_quantile(q: float, p: int) -> float:
     return p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
 
 
-def _distance() -> Column:
+def _distance(parts: tuple[str, ...] = PARTS, mu: str = "mu", inv: str = "inv") -> Column:
     """Squared Mahalanobis distance of the vector to mu under inv, a symmetric matrix by rows."""
-    x = [F.col(n) - F.col("mu")[i] for i, n in enumerate(PARTS)]
+    x = [F.col(n) - F.col(mu)[i] for i, n in enumerate(parts)]
     out = F.lit(0.0)
     for i in range(P):
         for j in range(i, P):
-            out = out + x[i] * x[j] * F.col("inv")[i * P + j] * (1 if i == j else 2)
+            out = out + x[i] * x[j] * F.col(inv)[i * P + j] * (1 if i == j else 2)
     return out
 
 
 _FIT = "lang_ string, source_ string, level int, start int, n long, mu array<double>, inv array<double>, var array<double>, det double"
+_NAMES = [c.split()[0] for c in _FIT.split(", ")]
+#: The probabilities at which a part's quantiles are taken.
+_GRID = [i / 100 for i in range(101)]
+
+
+def shortest_half(q: np.ndarray) -> tuple[float, float]:
+    """(middle, variance) of normal data with the same shortest half, from quantiles at 0, 0.01, ..., 1. Less than half of
+    the rows, whatever they are, move it little."""
+    width = q[50:] - q[:51]
+    i = int(width.argmin())
+    return float(q[i + 25]), float((width[i] / 1.349) ** 2)
 
 
 def regular(cov: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """cov itself if its condition number, in units of the overall variances, is at most CONDITION; else the mean of cov
+    """cov itself if its condition number, in units of the variances var, is at most CONDITION; else the mean of cov
     and those variances with the least of SHARES that gets it there."""
     sd = np.sqrt(np.maximum(var, 1e-12))
     k = cov / np.outer(sd, sd)
@@ -148,18 +164,21 @@ def _moments(r: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _begin(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From each group's quantiles and moments to its starts: the median with the quartiles' spread, with the whole
-    covariance, and with the whole variances."""
+    """From each group's quantiles and moments to its starts: the middle of the shortest halves with their spread, and the
+    median with the whole covariance, and with the whole variances. The spread of the shortest halves is the scale that
+    covariances are held against."""
     for b in rows:
         out = []
         for _, r in b.iterrows():
             _, cov = _moments(r)
-            var = np.maximum(np.diag(cov), 1e-12)
-            mu = [float(r[f"q{i}"][1]) for i in range(P)]
-            wide = np.array([(r[f"q{i}"][2] - r[f"q{i}"][0]) / 1.349 for i in range(P)]) ** 2
-            for start, c in enumerate((np.diag(np.where(wide > 0, wide, var)), cov, np.diag(var))):
-                out.append((r["lang_"], r["source_"], r["level"], start, r["n"], mu, *_solved(c, var, 1.0)[:1], var.tolist(), np.inf))
-        yield pd.DataFrame(out, columns=["lang_", "source_", "level", "start", "n", "mu", "inv", "var", "det"])
+            every = np.maximum(np.diag(cov), 1e-12)
+            q = [np.array(r[f"q{i}"]) for i in range(P)]
+            mid, wide = zip(*map(shortest_half, q), strict=True)
+            var = np.where(np.array(wide) > 0, wide, every)
+            median = [float(x[50]) for x in q]
+            for start, (mu, c) in enumerate(((list(mid), np.diag(var)), (median, cov), (median, np.diag(every)))):
+                out.append((r["lang_"], r["source_"], r["level"], start, r["n"], mu, _solved(c, var, 1.0)[0], var.tolist(), np.inf))
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 def _concentrate(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,22 +189,22 @@ def _concentrate(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m, cov = _moments(r)
             inv, det = _solved(cov, np.array(r["var"]), r["scale"])
             out.append((r["lang_"], r["source_"], r["level"], r["start"], r["n"], m.tolist(), inv, list(r["var"]), det))
-        yield pd.DataFrame(out, columns=["lang_", "source_", "level", "start", "n", "mu", "inv", "var", "det"])
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["lang_"].eqNullSafe(b["lang_"]) & a["source_"].eqNullSafe(b["source_"]) & (a["level"] == b["level"])
 
 
-def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = 0.9, least: int = 100) -> DataFrame:
-    """Estimates (lang_, source_, level, start, n, mu, inv, var, det): level 0 by language and source, 1 by language, 2
-    over all.
+def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """Estimates (lang_, source_, level, start, n, mu, inv, var, det, still): level 0 by language and source, 1 by language,
+    2 over all.
 
     Only rows that pass base_failed() are used. Concentration steps go from three starts; after TRIAL of them the one of
-    least determinant goes on, until no group's determinant falls any more (STEPS at most). A covariance too near to a
-    singular one is drawn to the group's variances as far as that takes (regular()). Groups under `least` rows get no
-    estimate; judge() then takes the next level. Quantiles are Spark's mergeable ones, so no group is gathered in one
-    place.
+    least determinant goes on, until no group's determinant falls any more (STEPS at most; `still` tells whether the
+    group's did not in the last step). A covariance too near to a singular one is drawn to the group's own spread as far
+    as that takes (regular()). Groups under `least` rows get no estimate; judge() then takes the next level and says so.
+    Quantiles are Spark's mergeable ones, so no group is gathered in one place.
     """
     v = vector()
     lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
@@ -196,7 +215,7 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source",
     with Scratch(measured.sparkSession, "quality") as scratch:
         x = measured.where(~base_failed()).select(levels.alias("g"), *[c.alias(n) for n, c in v.items()]).select("g.*", *PARTS)
         x = scratch.store(x, "vectors")
-        quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, n in enumerate(PARTS)]
+        quartiles = [F.percentile_approx(n, _GRID, 2000).alias(f"q{i}") for i, n in enumerate(PARTS)]
         first = x.groupBy(*by).agg(F.count("*").alias("n"), *quartiles, *moments).where(F.col("n") >= least)
         est = scratch.store(first.mapInPandas(_begin, _FIT), "fit-0")
         for step in range(1, STEPS + 1):
@@ -210,12 +229,12 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source",
                 best = F.row_number().over(Window.partitionBy(*by).orderBy("det", "start"))
                 new = new.withColumn("rank_", best).where("rank_ = 1").drop("rank_")
             new = scratch.store(new, f"fit-{step}")
-            if step > TRIAL:
-                change = est.select(*by, "det").unionByName(new.select(*by, (-F.col("det")).alias("det"))).groupBy(*by).agg(F.sum("det").alias("fell"))
-                if (change.agg(F.max("fell")).first()[0] or 0.0) < 1e-3:
-                    break
+            fell = (est.select(*by, F.col("det").alias("was_"))).groupBy(*by).agg(F.min("was_").alias("was_"))
+            marked = new.join(fell, _same(new, fell)).select(*[new[c] for c in _NAMES], (fell["was_"] - new["det"] < 1e-3).alias("still"))
+            if step > TRIAL and marked.where("NOT still").isEmpty():
+                break
             est = new
-        return scratch.keep(est, "fit")
+        return scratch.keep(marked, "fit")
 
 
 def _inner_mass(share: float) -> float:
@@ -225,27 +244,29 @@ def _inner_mass(share: float) -> float:
     return NormalDist().cdf(((q / k) ** (1 / 3) - (1 - 2 / (9 * k))) / (2 / (9 * k)) ** 0.5)
 
 
-def judge(measured: DataFrame, fitted: DataFrame, lang_col: str = "lang", source_col: str = "source", tail: float = 1e-12) -> DataFrame:
-    """measured plus base_failed, distance (squared; null where no group is large enough) and kept, which replace columns of these names.
+def judge(measured: DataFrame, fitted: DataFrame, lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
+    """measured plus base_failed, distance (squared; null where no group is large enough), kept, level (0: by the estimate
+    of language and source, 1: of the language, 2: of all, null: none) and still (whether that estimate had converged),
+    which replace columns of these names.
 
-    kept: the base rules hold, and the distance is under the 1 - tail quantile of chi square. A document whose groups
-    are all too small for an estimate is kept if the base rules hold.
+    kept: the base rules hold, and the distance is at most P / tail. A document whose groups are all too small for an
+    estimate is kept if the base rules hold.
     """
-    new = ("base_failed", "distance", "kept")
-    v = vector()
-    m = measured.select(*[c for c in measured.columns if c not in new])
-    names = m.columns
-    m = m.withColumns(v)
-    lang, source = m[lang_col].cast("string"), m[source_col].cast("string")
+    new = ("base_failed", "distance", "kept", "level", "still")
+    s = Sealed(measured, lang_col, source_col, *COUNTS)
+    parts = tuple(f"{n}__" for n in PARTS)
+    m = s.df.select("*", *[s[c].alias(c) for c in COUNTS])
+    m = m.select(*s.inner.values(), base_failed().alias("failed__"), *[c.alias(n) for n, c in zip(parts, vector().values(), strict=True)])
+    lang, source = s[lang_col].cast("string"), s[source_col].cast("string")
     for k in range(3):
-        f = fitted.where(F.col("level") == k).select(F.col("lang_").alias(f"l{k}__"), F.col("source_").alias(f"s{k}__"), F.col("mu").alias(f"mu{k}__"), F.col("inv").alias(f"inv{k}__"))
+        f = fitted.where(F.col("level") == k).select(F.col("lang_").alias(f"l{k}__"), F.col("source_").alias(f"s{k}__"), F.struct("mu", "inv", "level", "still").alias(f"fit{k}__"))
         on = f[f"l{k}__"].eqNullSafe(lang if k < 2 else F.lit(None)) & f[f"s{k}__"].eqNullSafe(source if k < 1 else F.lit(None))
         m = m.join(f, on, "left")
-    m = m.withColumns({"mu": F.coalesce(*[f"mu{k}__" for k in range(3)]), "inv": F.coalesce(*[f"inv{k}__" for k in range(3)])})
-    m = m.withColumn("d__", _distance())
-    failed = base_failed()
-    kept = ~failed & F.coalesce(F.col("d__") <= chi2_quantile(1 - tail, P), F.lit(True))
-    return m.select(*names, failed.alias("base_failed"), F.col("d__").alias("distance"), kept.alias("kept"))
+    m = m.withColumn("fit__", F.coalesce(*[f"fit{k}__" for k in range(3)]))
+    m = m.withColumn("d__", _distance(parts, "fit__.mu", "fit__.inv"))
+    kept = ~F.col("failed__") & F.coalesce(F.col("d__") <= P / tail, F.lit(True))
+    old = [s[n].alias(n) for n in s.names if n not in new]
+    return m.select(*old, F.col("failed__").alias("base_failed"), F.col("d__").alias("distance"), kept.alias("kept"), F.col("fit__.level").alias("level"), F.col("fit__.still").alias("still"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured = quality.store(quality.measure(docs, keep_text=False), "quality-counts")
     judged = quality.judge(measured, quality.fit(measured))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "level", "still")
 
 
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
