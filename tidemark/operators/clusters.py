@@ -1,40 +1,106 @@
-"""Order-dependent and greedy operators: sequential by nature, run per group."""
+"""Order-dependent and greedy operators."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.storage import new_folder
 
 #: Shared terms, their share of all, and seconds from a group's first post.
 SHARED, SHARE, SPAN = 3, 0.15, 604_800
+#: Posts of a topic that are judged one after another in a task.
+BLOCK = 2000
+
+_JUDGED = "topic string, post_id long, leader long, published double, fresh array<string>"
 
 
-def lead(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each post joins the first group with enough terms in common and begun near enough; groups' terms grow."""
-    groups: list[tuple[int, set[str], float | None]] = []
+def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap: bool = False) -> pd.DataFrame:
+    """A block of a topic's posts (post_id, published, terms, near) in order: each joins the first group that fits.
+
+    near lists the groups of earlier blocks that a post has terms in common with, as rows (leader, begun, size, terms in
+    common). What the block's own posts add to groups is kept beside these, so each post sees every group as all posts
+    before it have left it. fresh are the terms that a post brings to its group.
+    """
+    added: dict[int, set[str]] = {}
+    size: dict[int, int] = {}
+    begun: dict[int, float] = {}
+    where: dict[str, set[int]] = {}
     out = []
-    for post, terms, at in zip(rows["post_id"], rows["terms"], rows["published"], strict=True):
-        t, hit = set(terms), None
-        for k, (first, held, begun) in enumerate(groups):
-            both = len(t & held)
-            near = begun is not None and not pd.isna(at) and abs(at - begun) <= SPAN
-            if near and both >= SHARED and both >= SHARE * len(t | held):
-                hit = k
-                held |= t
+    for post, at, terms, near in zip(rows["post_id"], rows["published"], rows["terms"], rows["near"], strict=True):
+        t = set(terms) if terms is not None else set()
+        common: dict[int, set[str]] = {}
+        for g in near if near is not None else ():
+            common[g["leader"]] = set(g["common"])
+            size.setdefault(g["leader"], g["size"])
+            begun.setdefault(g["leader"], g["begun"])
+        for x in t:
+            for g in where.get(x, ()):
+                common.setdefault(g, set()).add(x)
+        hit = None
+        for g in sorted(common):
+            n, both = size[g] + len(added.get(g, ())), len(common[g])
+            of = min(len(t), n) if overlap else len(t) + n - both
+            if both >= shared and both >= share * of and not pd.isna(at) and not pd.isna(begun[g]) and abs(at - begun[g]) <= SPAN:
+                hit = g
                 break
         if hit is None:
-            groups.append((post, t, None if pd.isna(at) else at))
-            hit = len(groups) - 1
-        out.append((rows["topic"].iloc[0], post, groups[hit][0]))
-    return pd.DataFrame(out, columns=["topic", "post_id", "leader"])
+            hit = int(post)
+            size[hit], begun[hit], fresh = 0, at, t
+        else:
+            fresh = t - common[hit]
+        added.setdefault(hit, set()).update(fresh)
+        for x in fresh:
+            where.setdefault(x, set()).add(hit)
+        out.append((rows["topic"].iloc[0], int(post), hit, at, sorted(fresh)))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _JUDGED.split(", ")])
 
 
-def leader_clusters(posts: DataFrame) -> DataFrame:
-    """(topic, post_id, leader) of posts (topic, post_id, published, terms), by topic in order of post_id.
+def leader_clusters(posts: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
+    """(topic, post_id, leader) of posts (topic, post_id, published, terms), by topic in order of post_id, a number of its own
+    for each post of a topic. rule: shared, share and overlap (of the smaller set instead of the union).
 
-    A post is compared with the groups so far, so a topic is one task; topics run side by side.
+    The result is that of one pass over each topic, in which a post joins the first group with enough terms in common and
+    begun near enough, and groups take over their posts' terms. It is had in rounds of about `block` posts of each topic:
+    a round's posts find the groups of the rounds before by a join on terms, within the span of time, and one task for
+    each topic judges them in order. So a task holds a block and what it has in common with groups, never a topic. A post
+    without a time, or without terms, is a group of its own.
     """
-    return posts.groupBy("topic").applyInPandas(lambda g: lead(g.sort_values("post_id")), "topic string, post_id long, leader long")
+    spark = posts.sparkSession
+    # A mark in front, so that a topic without a name joins like the others.
+    topic = F.when(F.col("topic").isNull(), "").otherwise(F.concat(F.lit("="), F.col("topic").cast("string")))
+    p = posts.select(topic.alias("topic"), F.col("post_id").cast("long").alias("post_id"), F.col("published").cast("double").alias("published"), F.array_distinct("terms").alias("terms"))
+    counts = p.groupBy("topic").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    rounds = max(1, -(-most // block))
+    if rounds > 1:
+        # The same shares of each topic; how many posts a block gets exactly makes no difference to the result.
+        cuts = p.groupBy(F.col("topic").alias("of")).agg(F.percentile_approx("post_id", [i / rounds for i in range(1, rounds)], 100 * rounds).alias("cuts"))
+        p = p.join(cuts, F.col("topic") == F.col("of")).select("topic", "post_id", "published", "terms", F.size(F.filter("cuts", lambda c: c < F.col("post_id"))).alias("block"))
+    else:
+        p = p.withColumn("block", F.lit(0))
+    folder = new_folder(spark, "clusters")
+    p.write.partitionBy("block").parquet(f"{folder}/posts")
+    kept = spark.read.schema(p.schema).parquet(f"{folder}/posts")
+    done: list[str] = []
+    for k in range(rounds):
+        now = kept.where(F.col("block") == k).drop("block")
+        rows = now.withColumn("near", F.lit(None).cast("array<struct<leader:bigint,begun:double,size:int,common:array<string>>>"))
+        if done:
+            before = spark.read.schema(_JUDGED).parquet(*done)
+            groups = before.groupBy("topic", "leader").agg(F.max(F.when(F.col("post_id") == F.col("leader"), F.col("published"))).alias("begun"), F.sum(F.size("fresh")).cast("int").alias("size"))
+            held = before.select("topic", "leader", F.explode("fresh").alias("term")).join(groups, ["topic", "leader"])
+            asked = now.select("topic", "post_id", "published", F.explode("terms").alias("term"))
+            both = asked.join(held, ["topic", "term"]).where(F.abs(F.col("published") - F.col("begun")) <= SPAN)
+            common = both.groupBy("topic", "post_id", "leader").agg(F.first("begun").alias("begun"), F.first("size").alias("size"), F.collect_list("term").alias("common"))
+            near = common.groupBy("topic", "post_id").agg(F.collect_list(F.struct("leader", "begun", "size", "common")).alias("near"))
+            rows = now.join(near, ["topic", "post_id"], "left")
+        judged = rows.groupBy("topic").applyInPandas(lambda g: lead(g.sort_values("post_id"), **rule), _JUDGED)
+        judged.write.parquet(f"{folder}/judged-{k}")
+        done.append(f"{folder}/judged-{k}")
+    named = F.when(F.col("topic") != "", F.substring("topic", 2, 1 << 30))
+    return spark.read.schema(_JUDGED).parquet(*done).select(named.alias("topic"), "post_id", "leader")
 
 
 def choose(rows: pd.DataFrame, requests: int, money: int) -> pd.DataFrame:

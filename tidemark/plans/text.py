@@ -108,12 +108,12 @@ def name_resolution(spark, sf_dir):
 
 @query("leader_clusters")
 def leader_clusters(spark, sf_dir):
-    """Benchmark items of each fifth as posts of a topic, clustered by shared terms."""
+    """Documents as hourly posts of their language, clustered by their informative terms."""
     from tidemark.operators.clusters import leader_clusters as run
 
-    b = table(spark, sf_dir, "benchmark")
-    posts = b.select(F.concat(F.lit("t"), (F.col("item_id") % 5).cast("string")).alias("topic"), F.col("item_id").alias("post_id"), (F.col("item_id") * 3600.0).alias("published"), x.terms("text").alias("terms"))
-    return run(posts)
+    d = table(spark, sf_dir, "documents")
+    terms = F.filter(x.content_terms("text"), lambda t: x.informative(t))
+    return run(d.select(F.col("lang").alias("topic"), F.col("doc_id").alias("post_id"), (F.col("doc_id") * 3600.0).alias("published"), terms.alias("terms")))
 
 
 def _listed(words):
