@@ -148,12 +148,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield block
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_id, distance): one row for each document and test item of which it has a copy, whole texts searched.
 
     A copy has at most rate * length edits, counted in characters of lower-case text with single spaces. Items of fewer
-    than min_chars characters are too short to tell an edited copy from chance: they are found where they stand
-    unchanged between white space or the ends. Null and empty items aren't searched for; an item's id may be null.
+    than min_chars characters, for which that comes to none, are found where they stand unchanged between white space or
+    the ends. If id_col is 'item_id', the items' column is 'test_item_id'. Null and empty items aren't searched for; an item's id may be null.
     A null text is empty and has no copies. Rows that share an id and repeated rows give one row with the least distance.
     """
     s = Sealed(docs, id_col, text_col)
@@ -163,10 +163,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: i
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text):
         out = out.unionByName(pairs.mapInArrow(_search(block, rate, min_chars), schema))
-    return out.groupBy("doc", "item_id").agg(F.min("distance").alias("distance")).withColumnRenamed("doc", id_col)
+    least = out.groupBy("doc", "item_id").agg(F.min("distance").alias("distance"))
+    return least.toDF(id_col, "test_item_id" if id_col == "item_id" else "item_id", "distance")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without those that have a copy of a test item. Found and dropped in the same pass, without a join."""
     s = Sealed(docs, text_col)
     out, text = s.df, s.inner[text_col]
