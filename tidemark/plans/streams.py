@@ -14,12 +14,12 @@ QUERIES, ORACLE = query.queries, query.oracle
 
 @query("stream_tumbling", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    return s.drain(s.tumbling(s.read_events(spark, sf_dir), "1 day"), "complete").withColumn("total", F.round("total", 4))
+    return s.drain(s.tumbling(s.read_events(spark, sf_dir), "1 day"), "update", ["start", "event_type"]).withColumn("total", F.round("total", 4))
 
 
 @query("stream_sliding", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) // 21600 * 21600 - o AS start, count(*) AS n FROM events, (VALUES (0), (21600), (43200), (64800)) AS x(o) GROUP BY 1")
 def stream_sliding(spark, sf_dir):
-    return s.drain(s.sliding(s.read_events(spark, sf_dir), "1 day", "6 hours"), "complete")
+    return s.drain(s.sliding(s.read_events(spark, sf_dir), "1 day", "6 hours"), "update", ["start"])
 
 
 @query(

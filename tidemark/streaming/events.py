@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.storage import new_folder
 
@@ -64,10 +65,11 @@ def changes(events: DataFrame, band: float) -> DataFrame:
     return events.groupBy("user_id", "event_type").applyInPandasWithState(run, _CHANGE, "base long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
     """Runs a stream over all files there are, writes each epoch under its number, and reads the result.
 
-    In complete mode the last epoch is the result; otherwise all of them are. Epochs are overwritten, so one that runs
+    In complete mode the last epoch is the result; in append mode all of them are; in update mode the last row of each
+    `key`, so that the stream itself may forget what its watermark has passed. Epochs are overwritten, so one that runs
     again leaves the same rows.
     """
     spark = stream.sparkSession
@@ -83,4 +85,12 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     if not done:
         return spark.createDataFrame([], stream.schema)
     paths = [f"{base}/out/epoch={e}" for e in (done[-1:] if mode == "complete" else done)]
-    return spark.read.schema(stream.schema).parquet(*paths)
+    rows = spark.read.schema(stream.schema).parquet(*paths)
+    if mode != "update":
+        return rows
+    if key is None:
+        raise ValueError("an update needs the key of its rows")
+    epochs = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).option("basePath", f"{base}/out").parquet(*paths)
+    rest = [c for c in stream.columns if c not in key]
+    last = epochs.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("row"))
+    return last.select(*[F.col(c) if c in key else F.col(f"row.{c}").alias(c) for c in stream.columns])
