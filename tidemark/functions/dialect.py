@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .timevalue import to_seconds
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Longest numeric prefix of a text.
 NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
@@ -143,12 +145,12 @@ def json_extract(doc, path: str) -> Column:
 
 
 def julian_day(ts) -> Column:
-    """Days since noon of 24 November 4714 BC, of a timestamp without zone."""
-    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(8.64e10) + 2440587.5
+    """Days since noon of 24 November 4714 BC, of a timestamp without zone, whatever the session's zone is."""
+    return to_seconds(ts).cast("double") / F.lit(86_400.0) + 2440587.5
 
 
 def unix_epoch(ts) -> Column:
-    return F.unix_seconds(_c(ts).cast("timestamp"))
+    return F.floor(to_seconds(ts)).cast("long")
 
 
 #: strftime specifiers with a direct date_format pattern.

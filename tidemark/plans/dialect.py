@@ -123,3 +123,28 @@ def scalar_cast_prefix(spark, sf_dir):
         d.real_prefix(F.concat(F.col("p_size").cast("string"), F.lit(".5kg"))).alias("r"),
         d.int_prefix("p_name").alias("zero"),
     )
+
+
+@query(
+    "scalar_time_values",
+    """WITH o AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS t, o_orderkey % 7 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN strftime(date_trunc('day', t), '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(date_trunc('minute', t), '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(t - INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M:%S')
+WHEN 3 THEN strftime(TIMESTAMP '2000-01-01' + (t - date_trunc('day', t)), '%Y-%m-%d %H:%M:%S') WHEN 4 THEN strftime(date_trunc('day', t) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 5 THEN strftime(t, '%Y-%m-%d %H:%M:%S') END AS read FROM o""",
+)
+def scalar_time_values(spark, sf_dir):
+    """Order times written in seven forms and read again; the seventh is none."""
+    from tidemark.functions.timevalue import time_value
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86_400).cast("decimal(18,6)"))).alias("t"))
+    k = F.col("o_orderkey") % 7
+    text = (
+        F.when(k == 0, d.strftime("%F", "t"))
+        .when(k == 1, d.strftime("%FT%R", "t"))
+        .when(k == 2, d.strftime("%F %T.000+02:30", "t"))
+        .when(k == 3, d.strftime("%T", "t"))
+        .when(k == 4, F.ceil(d.julian_day(F.date_trunc("day", "t").cast("timestamp_ntz"))).cast("string"))
+        .when(k == 5, F.concat(d.strftime("%s", "t"), F.lit(".0")))
+        .otherwise(d.strftime("%F %H", "t"))
+    )
+    read = time_value(F.col("text"), "auto")
+    return o.withColumn("text", text).select("o_orderkey", d.strftime("%F %T", read).alias("read"))
