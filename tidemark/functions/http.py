@@ -42,6 +42,7 @@ def freshness_lifetime(cache_control, date, expires, last_modified) -> Column:
     """Seconds that a response is fresh: max-age, else Expires less Date, else a tenth of its age; 0 if it mustn't be kept."""
     cc = F.lower(F.coalesce(_c(cache_control), F.lit("")))
     age = F.regexp_extract(cc, r"(?:^|[,\s])max-age\s*=\s*\"?(\d+)", 1).try_cast("long")
-    told = F.greatest(F.lit(0), http_date(expires) - http_date(date))
-    guess = F.greatest(F.lit(0), F.floor((http_date(date) - http_date(last_modified)) / 10))
+    # greatest() skips nulls: what isn't told stays null.
+    told, old = http_date(expires) - http_date(date), http_date(date) - http_date(last_modified)
+    told, guess = F.when(told.isNotNull(), F.greatest(F.lit(0), told)), F.when(old.isNotNull(), F.greatest(F.lit(0), F.floor(old / 10)))
     return F.when(cc.rlike(r"(^|[,\s])(no-store|no-cache)\b"), 0).otherwise(F.coalesce(age, told, guess, F.lit(0)))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "dialect", "temporal", "dml", "text", "trend", "resolve", "web", "operations", "evidence", "streams", "watches", "leads")
+MODULES = ("relational", "dialect", "temporal", "dml", "text", "trend", "resolve", "web", "operations", "evidence", "streams", "watches", "leads", "values")
 
 
 def _modules():
