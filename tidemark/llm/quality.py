@@ -30,7 +30,7 @@ P = len(PARTS)
 #: The largest condition number that a correlation matrix may have, and the shares of the unit matrix tried to get there.
 CONDITION, SHARES = 100.0, (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 #: Concentration steps after which the best start is chosen, and steps at most.
-TRIAL, STEPS = 5, 30
+TRIAL, STEPS = 3, 30
 #: The share of a group's rows that an estimate is made of, and rows of a group at least.
 SHARE, LEAST = 0.65, 100
 #: Whatever the distribution, at most this share of it has a squared distance beyond P / TAIL (Chebyshev's inequality).
@@ -217,7 +217,7 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source",
         x = scratch.store(x, "vectors")
         quartiles = [F.percentile_approx(n, _GRID, 2000).alias(f"q{i}") for i, n in enumerate(PARTS)]
         first = x.groupBy(*by).agg(F.count("*").alias("n"), *quartiles, *moments).where(F.col("n") >= least)
-        est = scratch.store(first.mapInPandas(_begin, _FIT), "fit-0")
+        est, finished = scratch.store(first.mapInPandas(_begin, _FIT), "fit-0"), None
         for step in range(1, STEPS + 1):
             d = x.join(est, _same(x, est)).select(*[x[c] for c in by], "start", *PARTS, "n", "var", "det", _distance().alias("d"))
             near = scratch.store(d.groupBy(*by, "start").agg(F.percentile_approx("d", share, 2000).alias("cut")), f"cut-{step}")
@@ -229,12 +229,18 @@ def fit(measured: DataFrame, lang_col: str = "lang", source_col: str = "source",
                 best = F.row_number().over(Window.partitionBy(*by).orderBy("det", "start"))
                 new = new.withColumn("rank_", best).where("rank_ = 1").drop("rank_")
             new = scratch.store(new, f"fit-{step}")
-            fell = (est.select(*by, F.col("det").alias("was_"))).groupBy(*by).agg(F.min("was_").alias("was_"))
-            marked = new.join(fell, _same(new, fell)).select(*[new[c] for c in _NAMES], (fell["was_"] - new["det"] < 1e-3).alias("still"))
-            if step > TRIAL and marked.where("NOT still").isEmpty():
+            if step <= TRIAL:
+                est = new
+                continue
+            was = est.select(*by, F.col("det").alias("was_"))
+            marked = scratch.store(new.join(was, _same(new, was)).select(*[new[c] for c in _NAMES], (was["was_"] - new["det"] < 1e-3).alias("still")), f"marked-{step}")
+            # A group that is still takes no further steps.
+            done = marked.where("still") if step < STEPS else marked
+            finished = done if finished is None else finished.unionByName(done)
+            est = marked.where("NOT still").drop("still")
+            if est.isEmpty():
                 break
-            est = new
-        return scratch.keep(marked, "fit")
+        return scratch.keep(finished, "fit")
 
 
 def _inner_mass(share: float) -> float:
