@@ -19,7 +19,7 @@ _JUDGED = "topic string, post_id long, leader long, published double, fresh arra
 def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap: bool = False) -> pd.DataFrame:
     """A block of a topic's posts (post_id, published, terms, near) in order: each joins the first group that fits.
 
-    near lists the groups of earlier blocks that a post has terms in common with, as rows (leader, begun, size, terms in
+    near (none without that column) lists the groups of earlier blocks that a post has terms in common with, as rows (leader, begun, size, terms in
     common). What the block's own posts add to groups is kept beside these, so each post sees every group as all posts
     before it have left it. fresh are the terms that a post brings to its group.
     """
@@ -28,7 +28,8 @@ def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap
     begun: dict[int, float] = {}
     where: dict[str, set[int]] = {}
     out = []
-    for post, at, terms, near in zip(rows["post_id"], rows["published"], rows["terms"], rows["near"], strict=True):
+    known = rows["near"] if "near" in rows else [None] * len(rows)
+    for post, at, terms, near in zip(rows["post_id"], rows["published"], rows["terms"], known, strict=True):
         t = set(terms) if terms is not None else set()
         common: dict[int, set[str]] = {}
         for g in near if near is not None else ():
