@@ -31,42 +31,46 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(back)
 
 
-#: Steps of the continued fraction: enough for a sum of both parameters of 10^6 within 1e-12.
+#: Steps of the continued fraction at most: enough for a sum of both parameters of 10^6.
 FRACTION = 400
 
 
 def beta_share(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function of a, b >= 1 and 0 <= x <= 1.
 
-    By its continued fraction, evaluated from the front, on that side of the mean where it is quick; the number of steps
-    is fixed, so the cost doesn't depend on a and b.
+    By its continued fraction, evaluated from the front, on that side of the mean where it is quick. The steps it takes grow
+    with the root of a + b, up to FRACTION.
     """
     near = x < (a + 1.0) / (a + b + 2.0)
-    p, q, z = F.when(near, a).otherwise(b), F.when(near, b).otherwise(a), F.when(near, x).otherwise(1.0 - x)
-    tiny = 1e-300
-    away = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
-    # The parameters travel in the state, so that they are computed once and not at each step.
-    d0 = 1.0 / away(1.0 - (p + q) * z / (p + 1.0))
-    start = F.struct(p.alias("p"), q.alias("q"), z.alias("z"), F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
-
-    def step(s, i):
-        # Places 1, 3, 5, ... are the even terms of the usual numbering, 2, 4, 6, ... its odd ones.
-        m = F.floor((i + 1) / 2).cast("double")
-        even = m * (s["q"] - m) * s["z"] / ((s["p"] + 2.0 * m - 1.0) * (s["p"] + 2.0 * m))
-        odd = -(s["p"] + m) * (s["p"] + s["q"] + m) * s["z"] / ((s["p"] + 2.0 * m) * (s["p"] + 2.0 * m + 1.0))
-        term = F.when(i % 2 == 1, even).otherwise(odd)
-        d, c = 1.0 / away(1.0 + term * s["d"]), away(1.0 + term / s["c"])
-        return F.struct(s["p"].alias("p"), s["q"].alias("q"), s["z"].alias("z"), c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
-
-    h = F.aggregate(F.sequence(F.lit(1), F.lit(2 * FRACTION)), start, step)["h"]
-    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(z) + q * F.log1p(-z)) / p
-    share = F.when(z <= 0, 0.0).otherwise(front * h)
-    return F.least(F.greatest(F.when(near, share).otherwise(1.0 - share), F.lit(0.0)), F.lit(1.0))
+    given = F.struct(F.when(near, a).otherwise(b).alias("p"), F.when(near, b).otherwise(a).alias("q"), F.when(near, x).otherwise(1.0 - x).alias("z"), near.alias("near"), (a + b).alias("sum"))
+    away = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def whole(g: Column) -> Column:
+        def step(s, i):
+            # Places 1, 3, 5, ... are the even terms of the usual numbering, 2, 4, 6, ... its odd ones.
+            m = F.floor((i + 1) / 2)
+            even = m * (g["q"] - m) / ((g["p"] + 2 * m - 1) * (g["p"] + 2 * m))
+            odd = -(g["p"] + m) * (g["sum"] + m) / ((g["p"] + 2 * m) * (g["p"] + 2 * m + 1))
+            return turn(s, g["z"] * F.when(i % 2 == 1, even).otherwise(odd))
+
+        def turn(s, term):
+            d, c = 1.0 / away(1.0 + term * s["d"]), away(1.0 + term / s["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+        d0 = 1.0 / away(1.0 - g["sum"] * g["z"] / (g["p"] + 1.0))
+        steps = (2 * F.least(F.lit(FRACTION), F.ceil(F.sqrt(g["sum"]) * 2) + 12)).cast("int")
+        h = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h")), step)["h"]
+        front = F.exp(log_gamma(g["sum"]) - log_gamma(g["p"]) - log_gamma(g["q"]) + g["p"] * F.log(g["z"]) + g["q"] * F.log1p(-g["z"])) / g["p"]
+        return F.when(g["z"] <= 0, 0.0).otherwise(front * h)
+
+    # Bound once each, by a list of one: an expression that is used many times is a tree that grows.
+    share = F.element_at(F.transform(F.array(given), lambda g: F.abs(F.when(g["near"], 0.0).otherwise(1.0) - whole(g))), 1)
+    return F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
 
 def binomial_tails(n: Column, k: Column, p: Column) -> tuple[Column, Column]:
-    """(P(X >= k), P(X <= k)) of a binomial of n trials, 0 <= k <= n: values of the incomplete beta function, at a cost that
-    is the same for every n."""
+    """(P(X >= k), P(X <= k)) of a binomial of n trials, 0 <= k <= n: values of the incomplete beta function, at a bounded
+    cost for every n."""
     n, k, p = n.cast("double"), k.cast("double"), p.cast("double")
     up = F.when(k <= 0, 1.0).otherwise(beta_share(F.greatest(k, F.lit(1.0)), n - k + 1.0, p))
     down = F.when(k >= n, 1.0).otherwise(beta_share(F.greatest(n - k, F.lit(1.0)), k + 1.0, 1.0 - p))
