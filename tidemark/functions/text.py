@@ -21,6 +21,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def bound(x, f) -> Column:
+    """f(x) with x computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(_c(x)), f), F.lit(0))
+
+
 def folded(x) -> Column:
     """Full-width letters as ASCII, in lower case."""
     x = _c(x)
@@ -32,6 +37,20 @@ def words(x) -> Column:
     return F.regexp_extract_all(folded(x), F.lit(rf"[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
 
 
+def has_cjk(x) -> Column:
+    """Whether a text has scripts of CJK; most have no character from U+1100 on, which is told faster."""
+    return _c(x).rlike(r"[\x{1100}-\x{10FFFF}]") & _c(x).rlike(f"[{CJK}]")
+
+
+def long_words(x) -> Column:
+    """Distinct words of three characters and more but for STOP. The lengths are left to the expression, which is compiled,
+    as functions of array elements are not."""
+    runs = lambda t, chars: F.regexp_extract_all(t, F.lit(f"{chars}{{3,}}"), F.lit(0))
+    far = rf"[\p{{L}}\p{{N}}&&[^{CJK}]]"
+    found = bound(x, lambda t: F.when(t.rlike(r"[\x{1100}-\x{10FFFF}]"), runs(folded(t), far)).otherwise(runs(F.lower(t), r"[\p{L}\p{N}]")))
+    return F.array_except(found, F.array(*map(F.lit, STOP)))
+
+
 def cjk_bigrams(x) -> Column:
     runs = F.regexp_extract_all(folded(x), F.lit(rf"[{CJK}]+"), F.lit(0))
     pairs = F.transform(runs, lambda r: F.when(F.char_length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(r) - 1)), lambda i: r.substr(i, F.lit(2)))))
@@ -40,8 +59,7 @@ def cjk_bigrams(x) -> Column:
 
 def terms(x) -> Column:
     """Sorted index terms: words of three letters and more but for stop words, and CJK bigrams."""
-    spaced = F.filter(words(x), lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP))
-    return F.array_sort(F.array_distinct(F.concat(spaced, cjk_bigrams(x))))
+    return F.sort_array(F.when(has_cjk(x), F.array_union(long_words(x), cjk_bigrams(x))).otherwise(long_words(x)))
 
 
 def short_words(x) -> Column:
@@ -124,34 +142,43 @@ def informative(term: Column, stop: tuple[str, ...] = EVERY) -> Column:
 DOMAIN = r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,6}[,)\]」、。]*(/.*)?$"
 
 
+#: What any text with a link, handle or bare domain has.
+MAY_LINK = r"://|(?:^|\s)(?:www\.|@)|[A-Za-z0-9-]\.[A-Za-z]{2}"
+
+
 def without_links(x) -> Column:
-    """A text's words, joined by one space, but for links, @handles and bare domains."""
+    """A text's words, joined by one space, but for links, @handles and bare domains. Only texts that may have these are
+    looked at word by word."""
     link = lambda w: F.contains(w, F.lit("://")) | w.startswith("www.") | w.startswith("@") | w.rlike(DOMAIN)
-    return F.array_join(F.filter(F.split(F.btrim(_c(x)), r"\s+"), lambda w: (w != "") & ~link(w)), " ")
+    kept = F.array_join(F.filter(F.split(F.btrim(_c(x)), r"\s+"), lambda w: (w != "") & ~link(w)), " ")
+    return F.when(_c(x).rlike(MAY_LINK), kept).otherwise(F.btrim(F.regexp_replace(_c(x), r"\s+", " ")))
 
 
 def content_terms(x) -> Column:
     """Sorted terms of what a text is about: index terms of its words without links, and its CJK runs as words of one
     script. All of them, however many."""
-    t = without_links(x)
-    spaced = F.filter(words(t), lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP))
-    runs = F.regexp_extract_all(folded(t), F.lit(rf"[{CJK}]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.concat(spaced, F.flatten(F.transform(runs, script_words)))))
+
+    def found(t: Column) -> Column:
+        runs = F.regexp_extract_all(folded(t), F.lit(rf"[{CJK}]+"), F.lit(0))
+        return F.when(has_cjk(t), F.array_union(long_words(t), F.flatten(F.transform(runs, script_words)))).otherwise(long_words(t))
+
+    return F.sort_array(bound(without_links(x), found))
 
 
 def phrase_grams(x, longest: int = 3, stop: tuple[str, ...] = BREAKS) -> Column:
     """Distinct runs of two to `longest` consecutive words of a text without links. Stop words, words of one character or
     with CJK scripts, and any sign but a single space between words break a run."""
-    split = F.split(F.lower(without_links(x)), r"[^\p{IsAlphabetic}\p{N}'-]")
-    broken = lambda w: w.isin("", *stop) | (F.char_length(w) < 2) | w.rlike(f"[{CJK}]")
-    marked = F.array_join(F.transform(split, lambda w: F.when(broken(w), F.lit("\x01")).otherwise(w)), " ")
-    runs = F.transform(F.split(marked, r"(?:^| )\x01(?: \x01)*(?: |$)"), lambda r: F.split(r, " "))
-
-    def grams(n: int) -> Column:
-        held = F.filter(runs, lambda r: F.size(r) >= n)
-        return F.flatten(F.transform(held, lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - n + 1), lambda i: F.array_join(F.slice(r, i, n), " "))))
-
-    return F.array_distinct(F.concat(*[grams(n) for n in range(2, longest + 1)]))
+    cut = F.concat(F.lit(" "), F.regexp_replace(F.lower(without_links(x)), r"[^\p{IsAlphabetic}\p{N}'-]", " "), F.lit(" "))
+    heads: dict[str, list[str]] = {}
+    for w in stop:
+        heads.setdefault(w[0], []).append(w[1:])
+    broken = "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(heads.items())) + "|[^ ]|"
+    # Between two spaces there is a word or, where signs meet, nothing; what breaks a run becomes a mark.
+    mark = lambda t, what: F.regexp_replace(t, f" (?:{what})(?= )", " \x01")
+    marked = bound(cut, lambda t: F.when(has_cjk(t), mark(t, f"{broken}|[^ ]*[{CJK}][^ ]*")).otherwise(mark(t, broken)))
+    word = r"[^ \x01]++"
+    runs = lambda t, n: F.regexp_extract_all(t, F.lit(f" (?=((?:{word} ){{{n - 1}}}{word}) )"), F.lit(1))
+    return bound(marked, lambda t: F.array_distinct(F.concat(*[runs(t, n) for n in range(2, longest + 1)])))
 
 
 def script_words(run: Column) -> Column:
@@ -163,7 +190,8 @@ def bracketed_spans(x) -> Column:
     """Distinct texts within 「」, 『』 or 【】 of 2 to 30 characters with a letter or digit, folded, spaces collapsed."""
     spans = F.concat(*[F.regexp_extract_all(_c(x), F.lit(f"{a}([^{b}]*){b}"), F.lit(1)) for a, b in ("「」", "『』", "【】")])
     neat = F.transform(spans, lambda s: F.btrim(F.regexp_replace(folded(s), r"\s+", " ")))
-    return F.array_distinct(F.filter(neat, lambda s: F.char_length(s).between(2, 30) & s.rlike(r"[\p{L}\p{N}]")))
+    held = F.array_distinct(F.filter(neat, lambda s: F.char_length(s).between(2, 30) & s.rlike(r"[\p{L}\p{N}]")))
+    return F.when(~_c(x).rlike("[「『【]"), F.array().cast("array<string>")).otherwise(held)
 
 
 def name_holds(name, query: str) -> Column:
