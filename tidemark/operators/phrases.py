@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bracketed_spans, content_terms, informative, phrase_grams
+from tidemark.storage import store
 
 
 def shared_phrases(posts: DataFrame, group: str, author: str, text: str, longest: int = 3, least_posts: int = 2, least_authors: int = 2) -> DataFrame:
@@ -19,10 +20,12 @@ def shared_phrases(posts: DataFrame, group: str, author: str, text: str, longest
     """
     runs, spans = phrase_grams(text, longest), bracketed_spans(text)
     each = posts.select(F.col(group).alias("g"), F.col(author).alias("a"), spans.alias("s"), F.array_union(runs, spans).alias("p"))
-    each = each.select("g", "a", F.explode("p").alias("phrase"), "s").select("g", "a", "phrase", F.array_contains("s", F.col("phrase")).alias("b"))
+    # explode_outer, as for explode Spark infers a filter on p, which would make it twice.
+    each = each.select("g", "a", F.explode_outer("p").alias("phrase"), "s").where("phrase IS NOT NULL").select("g", "a", "phrase", F.array_contains("s", F.col("phrase")).alias("b"))
     by_author = each.groupBy("g", "phrase", "a").agg(F.count("*").alias("n"), F.bool_or("b").alias("b"))
     held = by_author.groupBy("g", "phrase").agg(F.sum("n").alias("posts"), F.count("*").alias("authors"), F.bool_or("b").alias("bracketed"))
-    held = held.where((F.col("posts") >= least_posts) & (F.col("authors") >= least_authors))
+    # Written, as both sides of the join below are made of it and would else count all posts' phrases again.
+    held = store(held.where((F.col("posts") >= least_posts) & (F.col("authors") >= least_authors)), "phrases")
     words = F.split("phrase", " ")
     n = F.size(words)
     parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
