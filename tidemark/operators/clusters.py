@@ -26,7 +26,8 @@ def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap
     added: dict[int, set[str]] = {}
     size: dict[int, int] = {}
     begun: dict[int, float] = {}
-    where: dict[str, set[int]] = {}
+    # The groups with a term added in this block, by the span of time that they began in.
+    where: dict[tuple[float, str], set[int]] = {}
     out = []
     known = rows["near"] if "near" in rows else [None] * len(rows)
     for post, at, terms, near in zip(rows["post_id"], rows["published"], rows["terms"], known, strict=True):
@@ -36,9 +37,11 @@ def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap
             common[g["leader"]] = set(g["common"])
             size.setdefault(g["leader"], g["size"])
             begun.setdefault(g["leader"], g["begun"])
-        for x in t:
-            for g in where.get(x, ()):
-                common.setdefault(g, set()).add(x)
+        if not pd.isna(at):
+            for span in (at // SPAN - 1, at // SPAN, at // SPAN + 1):
+                for x in t:
+                    for g in where.get((span, x), ()):
+                        common.setdefault(g, set()).add(x)
         hit = None
         for g in sorted(common):
             n, both = size[g] + len(added.get(g, ())), len(common[g])
@@ -52,8 +55,9 @@ def lead(rows: pd.DataFrame, shared: int = SHARED, share: float = SHARE, overlap
         else:
             fresh = t - common[hit]
         added.setdefault(hit, set()).update(fresh)
-        for x in fresh:
-            where.setdefault(x, set()).add(hit)
+        if not pd.isna(begun[hit]):
+            for x in fresh:
+                where.setdefault((begun[hit] // SPAN, x), set()).add(hit)
         out.append((rows["topic"].iloc[0], int(post), hit, at, sorted(fresh)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _JUDGED.split(", ")])
 
@@ -91,9 +95,15 @@ def leader_clusters(posts: DataFrame, block: int = BLOCK, **rule) -> DataFrame:
         if done:
             before = spark.read.schema(_JUDGED).parquet(*done)
             groups = before.groupBy("topic", "leader").agg(F.max(F.when(F.col("post_id") == F.col("leader"), F.col("published"))).alias("begun"), F.sum(F.size("fresh")).cast("int").alias("size"))
+            # Only groups that the round's posts are near enough to in time, and of these by the span of time they began in: a
+            # term that all groups have meets those of three spans, not all.
+            at = F.floor(F.col("published") / SPAN)
+            spans = now.where("published IS NOT NULL").select("topic", F.explode(F.array(at - 1, at, at + 1)).alias("at")).distinct()
+            groups = groups.withColumn("at", F.floor(F.col("begun") / SPAN)).join(spans, ["topic", "at"], "left_semi")
             held = before.select("topic", "leader", F.explode("fresh").alias("term")).join(groups, ["topic", "leader"])
-            asked = now.select("topic", "post_id", "published", F.explode("terms").alias("term"))
-            both = asked.join(held, ["topic", "term"]).where(F.abs(F.col("published") - F.col("begun")) <= SPAN)
+            asked = now.select("topic", "post_id", "published", F.explode("terms").alias("term"), F.array(at - 1, at, at + 1).alias("near_at"))
+            asked = asked.select("topic", "post_id", "published", "term", F.explode("near_at").alias("at"))
+            both = asked.join(held, ["topic", "at", "term"]).where(F.abs(F.col("published") - F.col("begun")) <= SPAN)
             common = both.groupBy("topic", "post_id", "leader").agg(F.first("begun").alias("begun"), F.first("size").alias("size"), F.collect_list("term").alias("common"))
             near = common.groupBy("topic", "post_id").agg(F.collect_list(F.struct("leader", "begun", "size", "common")).alias("near"))
             rows = now.join(near, ["topic", "post_id"], "left")
