@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: Multipliers of suffixes, as written.
 SUFFIXES = {"万": 10**4, "萬": 10**4, "w": 10**4, "W": 10**4, "亿": 10**8, "億": 10**8, "千": 10**3, "k": 10**3, "K": 10**3, "M": 10**6, "B": 10**9}
 #: Seconds of units before 前, and of English units before "ago".
@@ -17,10 +19,7 @@ def _c(x) -> Column:
 
 
 def _lookup(key: Column, values: dict[str, int]) -> Column:
-    out = F.lit(None).cast("long")
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v).cast("long")).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[c for k, v in values.items() for c in (F.lit(k), F.lit(v).cast("long"))]), key)
 
 
 def count_bounds(text) -> Column:
@@ -34,15 +33,30 @@ def count_bounds(text) -> Column:
     body = F.when(plus, F.rtrim(x.substr(F.lit(1), F.char_length(x) - 1))).otherwise(x)
     scaled = rf"^([0-9]+)(?:\.([0-9]+))?\s*({'|'.join(SUFFIXES)})$"
     bare = r"^([0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)$"
-    whole = F.coalesce(F.nullif(F.regexp_extract(body, scaled, 1), F.lit("")), F.nullif(F.regexp_replace(F.regexp_extract(body, bare, 1), ",", ""), F.lit(""))).try_cast("long")
-    part = F.regexp_extract(body, scaled, 2)
-    times = F.coalesce(_lookup(F.regexp_extract(body, scaled, 3), SUFFIXES), F.lit(1).cast("long"))
-    scale = F.pow(F.lit(10.0), F.length(part)).cast("long")
-    step = F.when(times % scale == 0, F.expr("1") * (times / scale).cast("long"))
-    nominal = F.try_add(F.try_multiply(whole, times), F.coalesce(part.try_cast("long"), F.lit(0).cast("long")) * step)
-    lower = F.when(plus, nominal).otherwise(nominal - F.floor(step / 2).cast("long"))
-    upper = F.when(~plus, F.try_add(nominal, step - 1))
-    return F.when(whole.isNotNull() & step.isNotNull() & nominal.isNotNull(), F.struct(nominal.alias("nominal"), F.greatest(lower, F.lit(0).cast("long")).alias("lower"), upper.alias("upper")))
+    # Each stage is bound, so that its expressions are matched once a text and not wherever they are named.
+    given = F.struct(plus.alias("plus"), body.alias("body"))
+    read = lambda g: F.struct(
+        g["plus"].alias("plus"),
+        F.coalesce(F.nullif(F.regexp_extract(g["body"], scaled, 1), F.lit("")), F.nullif(F.regexp_replace(F.regexp_extract(g["body"], bare, 1), ",", ""), F.lit(""))).try_cast("long").alias("whole"),
+        F.regexp_extract(g["body"], scaled, 2).alias("part"),
+        F.coalesce(_lookup(F.regexp_extract(g["body"], scaled, 3), SUFFIXES), F.lit(1).cast("long")).alias("times"),
+    )
+
+    def stepped(r: Column) -> Column:
+        scale = F.pow(F.lit(10.0), F.length(r["part"])).cast("long")
+        return F.struct(r.alias("r"), F.when(r["times"] % scale == 0, F.expr("1") * (r["times"] / scale).cast("long")).alias("step"))
+
+    def named(s: Column) -> Column:
+        r = s["r"]
+        return F.struct(r["plus"].alias("plus"), s["step"].alias("step"), F.try_add(F.try_multiply(r["whole"], r["times"]), F.coalesce(r["part"].try_cast("long"), F.lit(0).cast("long")) * s["step"]).alias("nominal"))
+
+    def bounds(b: Column) -> Column:
+        plus, step, nominal = b["plus"], b["step"], b["nominal"]
+        lower = F.when(plus, nominal).otherwise(nominal - F.floor(step / 2).cast("long"))
+        upper = F.when(~plus, F.try_add(nominal, step - 1))
+        return F.when(step.isNotNull() & nominal.isNotNull(), F.struct(nominal.alias("nominal"), F.greatest(lower, F.lit(0).cast("long")).alias("lower"), upper.alias("upper")))
+
+    return bound(bound(bound(bound(given, read), stepped), named), bounds)
 
 
 def age_window(text, captured: Column) -> Column:
