@@ -9,6 +9,7 @@ from tidemark.functions import text as x
 from tidemark.operators import phrases
 from tidemark.operators.copies import copy_pairs
 from tidemark.operators.graph import connected_components, depths
+from tidemark.storage import store
 
 from .registry import Registry, table
 
@@ -78,13 +79,15 @@ def name_match(spark, sf_dir):
 
 @query("topic_subset", f"SELECT b.item_id, count(*) AS n FROM (SELECT item_id, {TERMS} AS t FROM benchmark) b JOIN (SELECT {TERMS} AS t FROM documents) d ON list_has_all(d.t, b.t) GROUP BY 1")
 def topic_subset(spark, sf_dir):
-    """Documents that have all terms of an item: joined on the item's rarest term, and then compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", x.terms("text").alias("t"))
-    df = docs.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """Documents that have all terms of an item: joined on the item's rarest term, and then compared. Texts are read once,
+    and only their terms that items have are kept."""
     items = table(spark, sf_dir, "benchmark").select("item_id", x.terms("text").alias("q"))
+    asked = items.select(F.explode("q").alias("term")).distinct()
+    terms = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "text").select("row", F.explode_outer(x.terms("text")).alias("term"))
+    docs = store(terms.join(asked, "term").groupBy("row").agg(F.collect_set("term").alias("t")), "topic-terms")
+    df = docs.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     rare = items.select("item_id", "q", F.explode("q").alias("term")).join(df, "term").groupBy("item_id", "q").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = docs.select("doc_id", F.explode("t").alias("term")).join(rare, "term").select("doc_id", "item_id", "q")
-    hits = docs.join(found, "doc_id").where(F.size(F.array_except("q", "t")) == 0)
+    hits = docs.select("t", F.explode("t").alias("term")).join(rare, "term").where(F.size(F.array_except("q", "t")) == 0)
     return hits.groupBy("item_id").agg(F.count("*").alias("n"))
 
 
