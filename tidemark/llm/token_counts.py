@@ -191,31 +191,56 @@ class Counter:
                 p += len(t)
         return out
 
-    def table(self, s: str) -> np.ndarray:
-        """prefixes(s), put together from the tables of its words where no run of white space crosses them."""
+    def _rows(self, s: str) -> list[bytes] | None:
+        """The tables of a text's words, where no run of white space crosses them and each is short."""
         if not s or _FAR.search(s) or _RUN.search(s) or (self.added and self.added.search(s)):
-            return self.prefixes(s)
+            return None
         known, head, *rest = self.rows, *s.split(" ")
-        rows = [self.prefixes(head).astype(np.uint8).tobytes()] if len(head) <= 64 else None
+        if len(head) > 64:
+            return None
+        rows = [self.prefixes(head).astype(np.uint8).tobytes()]
         for piece in rest:
-            if rows is None:
-                break
             row = known.get(piece)
             if row is None:
                 if len(piece) > 64:
-                    rows = None  # counts of a word are held as bytes
-                    break
+                    return None  # counts of a word are held as bytes
                 if len(known) >= MEMO:
                     known.clear()
                 row = known[piece] = self.prefixes(" " + piece)[1:].astype(np.uint8).tobytes()
             rows.append(row)
-        if rows is None:
-            return self.prefixes(s)
+        return rows
+
+    @staticmethod
+    def _laid(rows: list[bytes]) -> np.ndarray:
         flat = np.frombuffer(b"".join(rows), np.uint8)
         size = np.fromiter(map(len, rows), np.int64, len(rows))
         n = flat[np.cumsum(size) - 1].astype(np.int32)
         return flat + np.repeat(np.cumsum(n, dtype=np.int32) - n, size)
 
+    def table(self, s: str) -> np.ndarray:
+        """prefixes(s), put together from the tables of its words where it can be."""
+        rows = self._rows(s)
+        return self.prefixes(s) if rows is None else self._laid(rows)
+
+    def within(self, s: str, budget: int) -> tuple[int, int]:
+        """The last entry of table(s), and the length of the longest prefix of at most budget tokens.
+
+        The words' tables are laid out only where the text has more, and only up to the word after which no prefix fits.
+        """
+        rows = self._rows(s)
+        if rows is None:
+            t = self.prefixes(s)
+            return int(t[-1]), longest_within(t, budget)
+        ends = [r[-1] for r in rows]
+        n = sum(ends)
+        if n <= budget:
+            return n, len(s)
+        k = base = 0
+        while base <= budget:
+            base += ends[k]
+            k += 1
+        return n, longest_within(self._laid(rows[:k]), budget)
+
     def _tail(self, s: str, out: np.ndarray, end: int) -> int:
         """The count of s[:end], from the last place before it that no longer pre-token can cross."""
         a = max(0, end - 1)
@@ -253,13 +278,19 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", keep_text:
             if prefixes or budget is not None:
                 n, stored, within, over = [], [], [], []
                 for x in texts:
-                    t = c.table(x.as_py())
-                    n.append(int(t[-1]))
+                    s = x.as_py()
                     if prefixes:
+                        t = c.table(s)
+                        n.append(int(t[-1]))
                         stored.append(t.astype(np.int32))
+                        if budget is not None:
+                            within.append(longest_within(t, budget))
+                    else:
+                        whole, fits = c.within(s, budget)
+                        n.append(whole)
+                        within.append(fits)
                     if budget is not None:
-                        within.append(longest_within(t, budget))
-                        over.append(within[-1] < len(t) - 1)
+                        over.append(within[-1] < len(s))
                 cols = [pa.array(n, pa.int64())] + [pa.array(stored, pa.list_(pa.int32()))] * prefixes
                 cols += [pa.array(within, pa.int64()), pa.array(over, pa.bool_())] * (budget is not None)
             else:
