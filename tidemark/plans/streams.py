@@ -38,7 +38,7 @@ def stream_dedup(spark, sf_dir):
 
 @query("stream_changes", "SELECT user_id, event_type, event_id, before, after FROM (SELECT user_id, event_type, event_id, lag(CAST(floor(value / 20) AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before, CAST(floor(value / 20) AS BIGINT) AS after FROM events) WHERE before <> after")
 def stream_changes(spark, sf_dir):
-    return s.drain(s.changes(s.read_events(spark, sf_dir), 20.0), "append")
+    return s.drain_changes(s.changes(s.read_events(spark, sf_dir), 20.0))
 
 
 @query("simulation_dispersion")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.storage import new_folder
@@ -42,27 +38,39 @@ def first_of_each(events: DataFrame, keys: list[str], late: str = "40 days") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-_CHANGE = "user_id long, event_type string, event_id long, before long, after long"
+def changes(events: DataFrame, band: float) -> DataFrame:
+    """The stream that drain_changes() reads: events with the band of their value; an event without one says nothing."""
+    value = F.nanvl("value", F.lit(None).cast("double"))
+    return events.select("user_id", "event_type", "ts", "event_id", F.floor(value / band).alias("after")).where("after IS NOT NULL")
 
 
-def changes(events: DataFrame, band: float) -> DataFrame:
-    """An event whose value is in another band than its user's and type's one before: the baseline is kept as state."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        base, out = (state.get[0] if state.exists else None), []
-        for event_id, value in zip(rows["event_id"], rows["value"], strict=True):
-            if pd.isna(value):
-                continue
-            now = int(value // band)
-            if base is not None and now != base:
-                out.append((key[0], key[1], event_id, base, now))
-            base = now
-        if base is not None:
-            state.update((base,))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _CHANGE.split(", ")])
-
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(run, _CHANGE, "base long", "append", GroupStateTimeout.NoTimeout)
+def drain_changes(stream: DataFrame) -> DataFrame:
+    """(user_id, event_type, event_id, before, after): events whose value is in another band than their user's and type's one
+    before, over all files there are.
+
+    The last band of each user and type is a table for each epoch, made from the epoch before, so that an epoch that runs
+    again leaves the same rows. Within an epoch the one before is found by a sort, which Spark may spill.
+    """
+    spark = stream.sparkSession
+    base, key = new_folder(spark, "changes"), ["user_id", "event_type"]
+    schema = stream.schema
+    done: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        now = batch.withColumn("fresh", F.lit(True))
+        if done:
+            now = now.unionByName(spark.read.schema(schema).parquet(f"{base}/last/epoch={done[-1]}").withColumn("fresh", F.lit(False)))
+        # What the epochs before have left comes first, whatever its time.
+        order = Window.partitionBy(*key).orderBy("fresh", "ts", "event_id")
+        told = now.withColumn("before", F.lag("after").over(order)).where("fresh AND before <> after")
+        told.select(*key, "event_id", "before", "after").write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        left = now.groupBy(*key).agg(F.max_by(F.struct("ts", "event_id", "after"), F.struct("fresh", "ts", "event_id")).alias("x")).select(*key, "x.*")
+        left.write.mode("overwrite").parquet(f"{base}/last/epoch={epoch}")
+        done.append(epoch)
+
+    stream.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    out = "user_id long, event_type string, event_id long, before long, after long"
+    return spark.read.schema(out).parquet(*[f"{base}/out/epoch={e}" for e in done]) if done else spark.createDataFrame([], out)
 
 
 def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
