@@ -25,8 +25,14 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_W}{_L}{_
 _FAR = re.compile("[^\\x00-\\u024f]")
 #: A space that a run of white space may take: where there is none, a space begins a pre-token.
 _RUN = re.compile(f" (?=[{_W}])|(?<=[{_W}]) ")
+#: Two of white space: a prefix that ends between them takes them whole.
+_TWO = re.compile(f"[{_W}]{{2}}")
 #: Solved strings kept by a worker; beyond it, it starts anew.
 MEMO = 1_200_000
+#: Bytes of the longest prefix of a pre-token that is kept, characters of the longest word.
+KEPT = 64
+#: Tables of bytes that add a number.
+_PLUS = [bytes(min(255, i + n) for i in range(256)) for n in range(256)]
 
 
 class Counter:
@@ -60,7 +66,9 @@ class Counter:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.tokens: dict[bytes, int] = {}
         self.chunks: dict[str, int] = {}
+        self.sizes: dict[bytes, int] = {}
         self.rows: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def merged(self, b: bytes) -> list[bytes]:
         """b merged by rank, the lowest first and from the left; for the short strings of two tokens."""
@@ -104,17 +112,28 @@ class Counter:
         return ok
 
     def row(self, b: bytes) -> list[int]:
-        """The table of one pre-token: the token count of each prefix of its bytes."""
-        last, count, vocab, fits, alone, most = [b""], [0], self.vocab, self.fits, self.alone, self.longest
+        """The table of one pre-token: the token count of each prefix of its bytes.
+
+        The last token of a prefix doesn't depend on what comes after it: its size is kept for all pre-tokens that begin
+        with the prefix, so that only the others are solved.
+        """
+        known, size, count, vocab, fits, alone, most = self.sizes, [0], [0], self.vocab, self.fits, self.alone, self.longest
         for i in range(1, len(b) + 1):
-            for a in range(max(0, i - most), i):
-                t = b[a:i]
-                if t in vocab and (fits(last[a], t) if a else alone(t)):
-                    last.append(t)
-                    count.append(count[a] + 1)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+            n = known.get(b[:i]) if i <= KEPT else None
+            if n is None:
+                for a in range(max(0, i - most), i):
+                    t = b[a:i]
+                    if t in vocab and (fits(b[a - size[a] : a], t) if a else alone(t)):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                n = i - a
+                if i <= KEPT:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[b[:i]] = n
+            size.append(n)
+            count.append(count[i - n] + 1)
         return count
 
     def _token(self, b: bytes) -> int:
@@ -191,23 +210,52 @@ class Counter:
                 p += len(t)
         return out
 
+    def _solved(self, t: str) -> bytes:
+        """The counts of t[:1], t[:2] to t, a pre-token; kept with the words where it begins with a space."""
+        known, key = (self.rows, t[1:]) if t[0] == " " else (self.bare, t)
+        row = known.get(key)
+        if row is None:
+            b = t.encode()
+            row = bytes(self.row(b)[1:])
+            if len(b) > len(t):
+                row = bytes(n for n, after in zip(row, b[1:] + b"a") if after & 0xC0 != 0x80)
+            if len(known) >= MEMO:
+                known.clear()
+            known[key] = row
+        return row
+
+    def _word(self, s: str) -> bytes:
+        """prefixes(s) without its first, as bytes, for a short stretch without added tokens and far characters."""
+        if _TWO.search(s):
+            return self.prefixes(s)[1:].astype(np.uint8).tobytes()
+        out, base = b"", 0
+        for t in _SPLIT.findall(s):
+            row = self._solved(t)
+            out += row.translate(_PLUS[base]) if base else row
+            base += row[-1]
+        return out
+
     def _rows(self, s: str) -> list[bytes] | None:
         """The tables of a text's words, where no run of white space crosses them and each is short."""
         if not s or _FAR.search(s) or _RUN.search(s) or (self.added and self.added.search(s)):
             return None
         known, head, *rest = self.rows, *s.split(" ")
-        if len(head) > 64:
+        if len(head) > KEPT:
             return None
-        rows = [self.prefixes(head).astype(np.uint8).tobytes()]
-        for piece in rest:
-            row = known.get(piece)
-            if row is None:
-                if len(piece) > 64:
-                    return None  # counts of a word are held as bytes
-                if len(known) >= MEMO:
-                    known.clear()
-                row = known[piece] = self.prefixes(" " + piece)[1:].astype(np.uint8).tobytes()
-            rows.append(row)
+        rows = [b"\0" + self._word(head), *map(known.get, rest)]
+        if None in rows:
+            for i, row in enumerate(rows):
+                if row is None:
+                    piece = rest[i - 1]
+                    row = known.get(piece)
+                    if row is None:
+                        if len(piece) > KEPT:
+                            return None  # counts of a word are held as bytes
+                        row = self._word(" " + piece)
+                        if len(known) >= MEMO:
+                            known.clear()
+                        known[piece] = row
+                    rows[i] = row
         return rows
 
     @staticmethod
