@@ -79,16 +79,24 @@ def name_match(spark, sf_dir):
 
 @query("topic_subset", f"SELECT b.item_id, count(*) AS n FROM (SELECT item_id, {TERMS} AS t FROM benchmark) b JOIN (SELECT {TERMS} AS t FROM documents) d ON list_has_all(d.t, b.t) GROUP BY 1")
 def topic_subset(spark, sf_dir):
-    """Documents that have all terms of an item: joined on the item's rarest term, and then compared. Texts are read once,
-    and only their terms that items have are kept."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", x.terms("text").alias("q"))
+    """Documents that have all terms of an item: found by the item's rarest term, and then compared. Texts are read once,
+    and only their terms that items have are kept. A document's terms are moved once for all items, not for each of its terms."""
+    texts = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark").select("item_id", x.terms("text").alias("q")).groupBy("item_id", "q").agg(F.count("*").alias("rows"))
     asked = items.select(F.explode("q").alias("term")).distinct()
-    terms = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "text").select("row", F.explode_outer(x.terms("text")).alias("term"))
+    terms = texts.select(F.monotonically_increasing_id().alias("row"), "text").select("row", F.explode(x.terms("text")).alias("term"))
     docs = store(terms.join(asked, "term").groupBy("row").agg(F.collect_set("term").alias("t")), "topic-terms")
-    df = docs.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    rare = items.select("item_id", "q", F.explode("q").alias("term")).join(df, "term").groupBy("item_id", "q").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    hits = docs.select("t", F.explode("t").alias("term")).join(rare, "term").where(F.size(F.array_except("q", "t")) == 0)
-    return hits.groupBy("item_id").agg(F.count("*").alias("n"))
+    held = docs.select("row", F.explode("t").alias("term"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rare = items.select("item_id", "q", "rows", F.explode("q").alias("term")).join(df, "term", "left").groupBy("item_id", "q", "rows").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    found = held.join(rare, "term").drop("term").join(docs, "row").where(F.size(F.array_except("q", "t")) == 0).select("item_id", "rows")
+    n = found.groupBy("item_id").agg(F.sum("rows").alias("n"))
+    bare = items.where(F.size("q") == 0).select("item_id", "rows")
+    if bare.isEmpty():
+        return n
+    # An item without terms is held by every document that has a text.
+    every = texts.agg(F.count("text").alias("every")).where("every > 0")
+    return n.unionByName(bare.crossJoin(every).select("item_id", (F.col("rows") * F.col("every")).alias("n"))).groupBy("item_id").agg(F.sum("n").alias("n"))
 
 
 @query("reply_tree", """WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn FROM conversations), t AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
