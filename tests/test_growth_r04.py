@@ -1,13 +1,15 @@
 """Steps whose shuffles, rounds or rows had grown faster than their input, and sums that had depended on the order of tasks."""
 
+import random
 import re
+from datetime import datetime, timedelta
 
 import duckdb
 
 from tests import oracle
 from tests.test_clusters import POSTS, greedy, made
 from tidemark.operators import clusters
-from tidemark.plans import text
+from tidemark.plans import text, trend
 
 TEXTS = [(0, "alpha beta gamma"), (1, "alpha the"), (2, "beta"), (3, None), (4, ""), (5, "gamma alpha")]
 ITEMS = [(1, "alpha"), (1, "alpha"), (1, "beta"), (2, "the and"), (2, "alpha beta"), (3, ""), (3, ""), (None, "gamma"), (5, None), (6, "alpha zeta")]
@@ -51,3 +53,20 @@ def test_groups_with_more_terms_than_a_task_takes(spark, monkeypatch):
     posts = made(7, 400)
     got = clusters.leader_clusters(spark.createDataFrame(posts, POSTS), 50_000)
     assert {tuple(r) for r in got.collect()} == greedy(posts)
+
+
+def test_values_are_added_in_the_order_of_rows(spark, tmp_path):
+    """Whole sums of cents in several files, against the SQL on one thread; rows without a user or a type meet nothing."""
+    rng, rows = random.Random(4), []
+    for user in range(300):
+        for day in (1, 20):
+            cents = [rng.randrange(1, 50_000) for _ in range(7)]
+            rows += [(datetime(2024, 1, day), user, c / 100) for c in [*cents, 100 * rng.randrange(1, 9) - sum(cents) % 100]]
+    rng.shuffle(rows)
+    rows = [(i, at + timedelta(seconds=i), user, "view", v) for i, (at, user, v) in enumerate(rows)]
+    rows += [(9000 + i, datetime(2024, 1, d), u, k, 1.5) for i, (d, u, k) in enumerate([(1, None, "view"), (20, None, "view"), (1, 500, None), (20, 500, None), (1, 501, "view"), (20, 502, "view")])]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    oracle.same(con, trend.QUERIES["counter_delta"](spark, str(tmp_path)), trend.ORACLE["counter_delta"])

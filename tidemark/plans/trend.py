@@ -99,9 +99,16 @@ def novelty(spark, sf_dir):
 
 @query("counter_delta", "SELECT a.user_id, max(greatest(b.n - a.n, b.v - a.v)) AS delta FROM (SELECT user_id, event_type, count(*) AS n, CAST(floor(sum(value)) AS BIGINT) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2) a JOIN (SELECT user_id, event_type, count(*) AS n, CAST(floor(sum(value)) AS BIGINT) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.event_type = b.event_type GROUP BY 1")
 def counter_delta(spark, sf_dir):
+    """Sums of doubles that are whole numbers of cents: a whole sum comes out as n or just under it by the order of addition.
+    So values are added one by one in the order of the file's rows, as the SQL does on one thread, and not task by task."""
     late = F.col("ts") >= "2024-01-16"
-    g = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    x = g.agg(F.count_if(~late).alias("n0"), F.count_if(late).alias("n1"), F.floor(F.sum(F.when(~late, F.col("value")))).alias("v0"), F.floor(F.sum(F.when(late, F.col("value")))).alias("v1"))
+    e = table(spark, sf_dir, "events").where(late.isNotNull() & F.col("user_id").isNotNull() & F.col("event_type").isNotNull())
+    e = e.select("user_id", "event_type", late.alias("late"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    key = ["user_id", "event_type", "late"]
+    so_far = Window.partitionBy(key).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = e.select(*key, F.count("*").over(so_far).alias("n"), F.sum("value").over(so_far).alias("v"))
+    half = sums.groupBy(key).agg(F.max("n").alias("n"), F.floor(F.max_by("v", "n")).alias("v"))
+    x = half.groupBy("user_id", "event_type").agg(*[F.max(F.when(F.col("late") == i, F.col(c))).alias(f"{c}{int(i)}") for i in (False, True) for c in ("n", "v")])
     return x.where("n0 > 0 AND n1 > 0").groupBy("user_id").agg(F.max(F.greatest(F.col("n1") - F.col("n0"), F.col("v1") - F.col("v0"))).alias("delta"))
 
 
