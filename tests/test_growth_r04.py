@@ -5,10 +5,11 @@ import re
 from datetime import datetime, timedelta
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tests import oracle
 from tests.test_clusters import POSTS, greedy, made
-from tidemark.operators import clusters
+from tidemark.operators import clusters, leads
 from tidemark.plans import text, trend
 
 TEXTS = [(0, "alpha beta gamma"), (1, "alpha the"), (2, "beta"), (3, None), (4, ""), (5, "gamma alpha")]
@@ -70,3 +71,22 @@ def test_values_are_added_in_the_order_of_rows(spark, tmp_path):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     oracle.same(con, trend.QUERIES["counter_delta"](spark, str(tmp_path)), trend.ORACLE["counter_delta"])
+
+
+def test_pairs_of_one_kind_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Lists of candidates and suppliers are joined, not rows, so one kind isn't one task's; repeated rows are one."""
+    monkeypatch.setattr(leads, "CANDIDATES", 8)
+    monkeypatch.setattr(leads, "THINGS", 5)
+    monkeypatch.setattr(leads, "PAIRS", 100)
+    c = [(i, "abc", "o") for i in range(40)] + [(3, "abc", "o"), (None, "abc", "o"), (90, "x", None), (91, None, "p")]
+    s = [(i, f"S{i}", "o") for i in range(30)] + [(5, "S5", "o"), (31, "-ABC-", "q"), (None, "n", "o"), (33, None, "p")]
+    cs = spark.createDataFrame(c, "candidate long, brand string, origin string"), spark.createDataFrame(s, "supplier long, label string, origin string")
+    got = leads.related(*cs)
+    want = {(a, b, int("abc" in (label or "").lower() and brand == "abc")) for a, brand, o in c for b, label, p in s if (o and o == p) or (brand == "abc" and "abc" in (label or "").lower())}
+    assert sorted(((r.candidate, r.supplier, int("LABEL" in r.association)) for r in got.collect()), key=str) == sorted(want, key=str)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) < len(want) / 2
+    t = spark.createDataFrame([(b, "s", f"u{b % 9}{e}") for b in range(30) for e in ("/contact", "")] + [(1, "s", "s")], "supplier long, source string, url string")
+    by_row = leads.follow_ups(got, t).select("candidate", "url", "association", "points")
+    by_kind = leads.related_follow_ups(*cs, t)
+    assert by_kind.columns == by_row.columns and sorted(map(str, by_kind.collect())) == sorted(map(str, by_row.collect()))
